@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import mixing, preferences, topk, url_filter
+from stowage.llm import bpe, mixing, preferences, topk, url_filter
 from stowage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,5 +31,22 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def byte_bpe() -> list[tuple[bytes, int]]:
+    import public_tokenizers
+
+    return bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = byte_bpe()
+    docs = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN).drop("text")
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return bpe.decode(docs, ranks).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op6_url_filter, op7_format_preferences, op8_exact_topk)}
+    return {f.__name__: f for f in (op1_mix_sources, op6_url_filter, op7_format_preferences, op8_exact_topk, op9_byte_bpe)}
