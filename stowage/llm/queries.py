@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import bpe, mixing, preferences, topk, url_filter
+from stowage.llm import bpe, mixing, preferences, topk, toxicity, url_filter
 from stowage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,5 +48,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_model(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op6_url_filter, op7_format_preferences, op8_exact_topk, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_mix_sources, op6_url_filter, op7_format_preferences, op8_exact_topk, op9_byte_bpe, op10_toxicity)}
