@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import bpe, mixing, near_dedup, preferences, topk, toxicity, url_filter
+from stowage.llm import bpe, mixing, near_dedup, preferences, suffix_dedup, topk, toxicity, url_filter
 from stowage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -60,4 +65,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_minhash_near_dedup, op6_url_filter, op7_format_preferences, op8_exact_topk, op9_byte_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_minhash_near_dedup, op5_suffix_dedup, op6_url_filter, op7_format_preferences, op8_exact_topk, op9_byte_bpe, op10_toxicity)}
