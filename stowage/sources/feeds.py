@@ -42,7 +42,8 @@ def zipped_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
                 data = unzipped(content)
                 if data is not None:
                     for part in pd.read_csv(io.BytesIO(data), dtype=str, chunksize=100_000):
-                        yield part.reindex(columns=names).where(lambda x: x.notna(), None)
+                        part = part.reindex(columns=names).astype(object)
+                        yield part.where(part.notna(), None)
 
     text = ", ".join(f"{n} string" for n in names)
     raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(go, text)
