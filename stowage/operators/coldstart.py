@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import exprs as X
+from stowage.functions.bounds import small
 
 
 def priors(rows: DataFrame, value: str, tier: str = "tier", station: str = "station") -> DataFrame:
@@ -19,8 +20,8 @@ def prior_of(keys: DataFrame, table: DataFrame) -> DataFrame:
     """Each (station, tier) with its station's prior if there is one, else its tier's, else the global one, else (0, 100)."""
     s = table.filter("level = 'station'").select("station", F.struct("mean", "var", "n").alias("s"))
     t = table.filter("level = 'tier'").select("tier", F.struct("mean", "var", "n").alias("t"))
-    g = table.filter("level = 'global'").select(F.struct("mean", "var", "n").alias("g"))
-    rows = keys.join(s, "station", "left").join(t, "tier", "left").join(F.broadcast(g), F.lit(True), "left")
+    g = table.filter("level = 'global'").select("level", F.struct("mean", "var", "n").alias("g"))
+    rows = keys.join(s, "station", "left").join(t, "tier", "left").withColumn("level", F.lit("global")).join(g, "level", "left")
     none = F.struct(F.lit(0.0).alias("mean"), F.lit(100.0).alias("var"), F.lit(0).cast("long").alias("n"))
     return rows.withColumn("p", F.coalesce("s", "t", "g", none)).select("station", "tier", F.col("p.mean").alias("prior_mean"), F.col("p.var").alias("prior_var"))
 
@@ -45,7 +46,7 @@ def similar(new: DataFrame, known: DataFrame, k: int = 5, kernel: str = "rbf", b
 
     known is the register of routes, a bounded dimension (its size is an airline's network), and goes to every task.
     """
-    pairs = new.select("id", "x").join(F.broadcast(known.select(F.col("id").alias("other"), F.col("x").alias("ox"))), F.col("id") != F.col("other"))
+    pairs = new.select("id", "x").join(small(known.select(F.col("id").alias("other"), F.col("x").alias("ox"))), F.col("id") != F.col("other"))
     pairs = pairs.withColumn("s", X.similarity(F.col("x"), F.col("ox"), kernel, bandwidth))
     top = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "other"))).filter(F.col("_r") <= k)
     total = F.sum("s").over(Window.partitionBy("id"))
@@ -55,7 +56,7 @@ def similar(new: DataFrame, known: DataFrame, k: int = 5, kernel: str = "rbf", b
 def similarity_matrix(routes: DataFrame, kernel: str = "rbf", bandwidth: float = 1.0) -> DataFrame:
     """All pairs a < b of a bounded register; the other half is the same and the diagonal 1."""
     other = routes.select(F.col("id").alias("b"), F.col("x").alias("bx"))
-    pairs = routes.select(F.col("id").alias("a"), F.col("x").alias("ax")).join(F.broadcast(other), F.col("a") < F.col("b"))
+    pairs = routes.select(F.col("id").alias("a"), F.col("x").alias("ax")).join(small(other), F.col("a") < F.col("b"))
     return pairs.select("a", "b", X.similarity(F.col("ax"), F.col("bx"), kernel, bandwidth).alias("similarity"))
 
 

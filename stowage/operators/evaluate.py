@@ -68,9 +68,9 @@ def pit_histogram(rows: DataFrame, pit: str, bins: int = 10) -> DataFrame:
     v = F.col(pit)
     b = F.when(v.between(0, 1), F.least(F.floor(v * bins).cast("int"), F.lit(bins - 1)))
     counts = rows.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
+    total = counts.agg(F.sum("n")).first()[0]
     every = rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return every.join(counts, "bin", "left").join(F.broadcast(total), F.lit(True)).select("bin", (F.coalesce("n", F.lit(0)) / F.col("total")).alias("share"))
+    return every.join(counts, "bin", "left").select("bin", F.try_divide(F.coalesce("n", F.lit(0)).cast("double"), F.lit(total)).alias("share"))
 
 
 def reliability(rows: DataFrame, y: str, quantiles: dict[float, str]) -> DataFrame:

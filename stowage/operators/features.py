@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import exprs as X
+from stowage.functions.bounds import small
 from stowage.plans import dims
 
 LAGS = (1, 2, 3, 7, 14, 21, 28, 364, 365, 371)
@@ -77,7 +78,7 @@ def event_impact(events: DataFrame, stations: DataFrame, sigma: float = 50.0) ->
     """log1p(sum of attendance * weight * exp(-km / sigma) / 1000) per station; stations are a bounded dimension."""
     km = X.flat_km(F.col("e_lat"), F.col("e_lon"), F.col("lat"), F.col("lon"))
     weight = dims.lookup(dims.EVENT_WEIGHTS, F.col("category"), 0.5)
-    rows = events.join(F.broadcast(stations), F.lit(True)).withColumn("part", F.col("attendance") * weight * X.decay(km, sigma))
+    rows = events.crossJoin(small(stations)).withColumn("part", F.col("attendance") * weight * X.decay(km, sigma))
     return rows.groupBy("station").agg(F.log1p(F.sum("part") / 1000.0).alias("impact"), F.count(F.lit(1)).alias("events"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stowage.functions.bounds import small
+
 
 def duration_hours(departure: Column, arrival: Column) -> Column:
     return (F.unix_micros(arrival.cast("timestamp")) - F.unix_micros(departure.cast("timestamp"))) / 3.6e9
@@ -68,7 +70,7 @@ def at_airport(flights: DataFrame, airport, direction: str = "both") -> DataFram
 def connections(stations: DataFrame) -> DataFrame:
     """A hub connects with every other station, the others with hubs: (code, other). The table has a few rows."""
     a, b = stations.select("code", (F.col("tier") == "hub").alias("hub")), stations.select(F.col("code").alias("other"), (F.col("tier") == "hub").alias("other_hub"))
-    return a.join(F.broadcast(b), (F.col("code") != F.col("other")) & (F.col("hub") | F.col("other_hub"))).select("code", "other")
+    return a.join(small(b), (F.col("code") != F.col("other")) & (F.col("hub") | F.col("other_hub"))).select("code", "other")
 
 
 def load_plan(units: DataFrame, positions: int, max_kg: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,10 +33,11 @@ def demand_band(point: Column) -> Column:
     return X.band(point, F.greatest(F.lit(1.0), 0.15 * point))
 
 
-def demand_by_type(rows: DataFrame, mix: DataFrame, point: str = "demand") -> DataFrame:
-    """Each row times the type mix (a fixed, small table): whole units and a wider band."""
+def demand_by_type(rows: DataFrame, mix: Sequence[tuple[str, float]], point: str = "demand") -> DataFrame:
+    """Each row for each (type, share) of the mix: whole units and a wider band."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(t).alias("uld_type"), F.lit(s).alias("share")) for t, s in mix]))
     unit = (F.col(point) * F.col("share")).cast("int").cast("double")
-    out = rows.crossJoin(F.broadcast(mix)).withColumn("type_point", unit)
+    out = rows.withColumn("_k", kinds).select(*rows.columns, "_k.*").withColumn("type_point", unit)
     return out.withColumn("type_band", X.band(F.col("type_point"), F.greatest(F.lit(1.0), 0.2 * F.col("type_point"))))
 
 

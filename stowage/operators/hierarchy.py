@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stowage.functions.bounds import small
+
 
 def closure(edges: DataFrame, depth: int = 16) -> DataFrame:
     """(node, leaf): every node with each leaf below it, a leaf with itself; from (child, parent), level by level."""
@@ -30,9 +32,9 @@ def bottom_up(forecasts: DataFrame, edges: DataFrame, value: str = "yhat", keys:
 def top_down(total: DataFrame, past: DataFrame, value: str = "yhat", keys: tuple[str, ...] = ()) -> DataFrame:
     """Leaves' shares of past sums times the total: total (keys, value), past (leaf, amount)."""
     sums = past.groupBy("leaf").agg(F.sum("amount").alias("amount"))
-    everything = sums.agg(F.sum("amount").alias("all"))
-    shares = sums.join(F.broadcast(everything), F.lit(True)).select("leaf", F.try_divide("amount", "all").alias("share"))
-    return total.join(F.broadcast(shares), F.lit(True)).select(*keys, "leaf", (F.col(value) * F.col("share")).alias(value))
+    everything = sums.agg(F.sum("amount")).first()[0]
+    shares = sums.select("leaf", F.try_divide("amount", F.lit(everything)).alias("share"))
+    return total.crossJoin(small(shares)).select(*keys, "leaf", (F.col(value) * F.col("share")).alias(value))
 
 
 def summing_matrix(pairs: list[tuple[str, str]]) -> tuple[list[str], list[str], np.ndarray]:

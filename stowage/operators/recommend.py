@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import exprs as X
+from stowage.functions.bounds import small
 
 GROUND, FLIGHT, HANDLING, SHORTAGE, DELAY_MINUTE, DELAY_MINUTES = 150.0, 50.0, 25.0, 500.0, 100.0, 30.0
 KM_COST, MOVE_REVENUE, MOVE_CAP, CRUISE_KMH = 0.05, 250.0, 20, 800.0
@@ -74,7 +75,7 @@ def nearest_surplus(imbalances: DataFrame, distances: DataFrame, default_km: flo
     """Every short station's nearest station with a surplus above 5. Stations are a bounded dimension, sent to all."""
     surplus = imbalances.filter("q50 > 5").select(F.col("station").alias("origin"), F.col("q50").cast("int").alias("surplus"))
     short = imbalances.filter("q50 < 0").select(F.col("station").alias("destination"), F.abs(F.col("q50").cast("int")).alias("shortage"))
-    pairs = short.join(F.broadcast(surplus), F.col("origin") != F.col("destination"))
+    pairs = short.join(small(surplus), F.col("origin") != F.col("destination"))
     km = pairs.join(distances, ["origin", "destination"], "left").withColumn("km", F.coalesce("km", F.lit(default_km)))
     by = Window.partitionBy("destination").orderBy("km", "origin")
     return km.withColumn("_r", F.row_number().over(by)).filter("_r = 1").drop("_r")
@@ -86,6 +87,8 @@ def greedy_moves(networks: DataFrame, distances: DataFrame, max_moves: int = 3,
     networks: network, station, q50. Each step depends on the last, over the stations of one network: one small group a network,
     all networks in parallel. distances is a small table and goes to every group.
     """
+    if distances.limit(100_001).count() > 100_000:
+        raise ValueError("distances must be a small table")
     km = {(r["origin"], r["destination"]): r["km"] for r in distances.collect()}
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import exprs as X
+from stowage.functions.bounds import small
 
 
 def conformal_level(n: Column, alpha: float) -> Column:
@@ -44,6 +45,6 @@ def local_conformal(calibration: DataFrame, queries: DataFrame, k: int = 100, al
 
     calibration (cal_id, x array, score) is a bounded calibration set; its distances are computed beside each query.
     """
-    pairs = queries.join(F.broadcast(calibration.withColumnRenamed("x", "cx")), F.lit(True)).withColumn("d", X.euclidean(F.col("x"), F.col("cx")))
+    pairs = queries.crossJoin(small(calibration.withColumnRenamed("x", "cx"))).withColumn("d", X.euclidean(F.col("x"), F.col("cx")))
     near = pairs.withColumn("_k", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "cal_id"))).filter(F.col("_k") <= k)
     return score_quantile(near, ["query_id"], F.col("score"), alpha)

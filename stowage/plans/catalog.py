@@ -126,7 +126,7 @@ def demand_horizon(spark, sf_dir):
     keys = dims.stations(spark).select(F.col("code").alias("station"), "tier")
     rows = forecast.horizon(keys, B.as_of(), 24)
     rows = rows.withColumn("demand", forecast.demand_point(dims.lookup(dims.BASE_DEMAND, F.col("tier"), 10.0), F.col("forecast_time")))
-    out = forecast.demand_by_type(rows, dims.type_mix(spark))
+    out = forecast.demand_by_type(rows, dims.TYPE_MIX)
     return out.select("station", "forecast_time", "uld_type", "demand", F.col("type_point").alias("type_q50"), r("type_band.q05").alias("type_q05"), r("type_band.q95").alias("type_q95"))
 
 
