@@ -727,6 +727,107 @@ def sessions(spark, sf_dir):
     return B.table(spark, sf_dir, "events").groupBy("user_id", w.alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+# ---- tables, reports and small derivations ----
+@query(f"SELECT rec_id, strftime(o_orderdate, '%Y%m%d') AS day, 'REC-' || strftime(o_orderdate, '%Y%m%d') || '-' || lpad((row_number() OVER (PARTITION BY o_orderdate ORDER BY rec_id))::VARCHAR, 5, '0') AS label FROM {RECS}")
+def surrogate_ids(spark, sf_dir):
+    rows = recs(spark, sf_dir).withColumnRenamed("rec_id", "n")
+    return recommend.ids(rows, "REC", "o_orderdate", ["n"]).select(F.col("n").alias("rec_id"), F.date_format("o_orderdate", "yyyyMMdd").alias("day"), F.col("rec_id").alias("label"))
+
+
+@query(f"SELECT rec_id, priority, quantity FROM {COSTS} WHERE origin = '3' OR destination = '3' ORDER BY CASE priority WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, o_orderdate, rec_id")
+def pending_recs(spark, sf_dir):
+    from stowage.sources import store
+
+    rows = recs(spark, sf_dir).select(F.col("rec_id").alias("recommendation_id"), "priority", "quantity", F.col("origin").alias("origin_station"), F.col("destination").alias("destination_station"), F.col("o_orderdate").alias("required_by"), F.lit("pending").alias("status"))
+    return store.pending(rows, "3").select(F.col("recommendation_id").alias("rec_id"), "priority", "quantity")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey = 7 THEN 'executed' ELSE o_orderstatus END AS status FROM orders WHERE NOT o_orderkey % 10 = 3 AND o_orderdate >= TIMESTAMP '1998-01-01' - INTERVAL 90 DAY")
+def rewrite_rows(spark, sf_dir):
+    """Delete by predicate, retention and a conditional update, as the next version of a table."""
+    from stowage.sources import store
+
+    rows = B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("recommendation_id"), F.col("o_orderstatus").alias("status"), "o_orderdate")
+    kept = store.retained(store.without(rows, F.col("recommendation_id") % 10 == 3), "o_orderdate", F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"))
+    return store.with_status(kept, 7, "executed").select(F.col("recommendation_id").alias("o_orderkey"), "status")
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 25 OFFSET 50")
+def pagination(spark, sf_dir):
+    from stowage.sources import store
+
+    return store.page(B.table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", 25, 50)
+
+
+@query("SELECT n_name AS code, CASE WHEN length(n_name) = 3 AND n_name NOT LIKE 'K%' THEN 'international' ELSE 'spoke' END AS tier, CASE WHEN length(n_name) = 3 AND n_name NOT LIKE 'K%' THEN 20 ELSE 10 END AS safety_stock FROM nation")
+def safety_stock(spark, sf_dir):
+    tier = dims.tier_of(F.col("n_name"))
+    return B.table(spark, sf_dir, "nation").select(F.col("n_name").alias("code"), tier.alias("tier"), dims.lookup(dims.SAFETY_STOCK, tier, 10).alias("safety_stock"))
+
+
+@query(f"SELECT * FROM (VALUES {sql_values([(c[0], c[1] - c[2], round(c[4] * c[5] * c[6] / 1e6, 3)) for c in dims.CONTAINERS])}) t(uld_type, payload_kg, box_m3)")
+def container_specs(spark, sf_dir):
+    return dims.containers(spark).select("uld_type", "payload_kg", r(F.col("height_cm") * F.col("width_cm") * F.col("length_cm") / 1e6, 3).alias("box_m3"))
+
+
+@query(f"SELECT d, (month(d) * 100 + day(d) BETWEEN 1120 AND 1130) OR (month(d) * 100 + day(d) >= 1220 OR month(d) * 100 + day(d) <= 105) OR (month(d) * 100 + day(d) BETWEEN 701 AND 707) AS travel FROM (SELECT DISTINCT d FROM {DEMAND})")
+def travel_periods(spark, sf_dir):
+    return B.demand(spark, sf_dir).select("d").distinct().select("d", features.is_travel_period(F.col("d")).alias("travel"))
+
+
+@query("SELECT event_id, '{\"id\":' || event_id || ',\"kind\":\"' || event_type || '\"}' AS doc FROM events")
+def json_encode(spark, sf_dir):
+    return B.table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))).alias("doc"))
+
+
+@query(f"SELECT sum(total)::BIGINT AS total, sum(available)::BIGINT AS available, round((sum(total) - sum(available)) / sum(total), 6) AS utilisation, round(avg(available / total), 6) AS mean_ratio FROM (SELECT station, sum(total) AS total, sum(available) AS available FROM {INVENTORY} GROUP BY station)")
+def kpi_summary(spark, sf_dir):
+    s = tracking.inventory(B.assets(spark, sf_dir)).groupBy("station").agg(F.sum("total").alias("total"), F.sum("available").alias("available"))
+    return s.agg(F.sum("total").alias("t"), F.sum("available").alias("a"), F.avg(F.col("available") / F.col("total")).alias("m")).select(F.col("t").alias("total"), F.col("a").alias("available"), r((F.col("t") - F.col("a")) / F.col("t")).alias("utilisation"), r("m").alias("mean_ratio"))
+
+
+@query(f"SELECT station, uld_type, floor(n * share)::BIGINT AS units FROM (SELECT o_orderpriority AS station, count(*) AS n FROM orders GROUP BY 1), (VALUES {sql_values(dims.TYPE_MIX)}) m(uld_type, share)")
+def type_split(spark, sf_dir):
+    kinds = F.explode(F.array(*[F.struct(F.lit(t).alias("uld_type"), F.lit(v).alias("share")) for t, v in dims.TYPE_MIX]))
+    s = B.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("station")).agg(F.count(F.lit(1)).alias("n"))
+    return s.withColumn("k", kinds).select("station", "k.uld_type", F.floor(F.col("n") * F.col("k.share")).alias("units"))
+
+
+@query(f"""WITH e AS (SELECT origin, destination, sum(quantity)::BIGINT AS units FROM {RECS} WHERE origin <> destination GROUP BY ALL), n AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS i FROM (SELECT origin AS name FROM e UNION SELECT destination FROM e))
+SELECT a.i AS source, b.i AS target, units FROM e JOIN n a ON a.name = e.origin JOIN n b ON b.name = e.destination""")
+def edge_list(spark, sf_dir):
+    """Flows between numbered nodes, as a flow diagram needs them. Nodes are a bounded dimension."""
+    e = recs(spark, sf_dir).filter("origin <> destination").groupBy("origin", "destination").agg(F.sum("quantity").alias("units"))
+    n = e.select(F.explode(F.array("origin", "destination")).alias("name")).distinct().withColumn("i", (F.row_number().over(Window.orderBy("name")) - 1).cast("long"))
+    a, b = n.toDF("origin", "source"), n.toDF("destination", "target")
+    return e.join(a, "origin").join(b, "destination").select("source", "target", "units")
+
+
+@query(f"WITH e AS (SELECT k, d, yhat - y AS e FROM {PREDICTIONS}) SELECT a.k AS a, b.k AS b, round(covar_samp(a.e, b.e), 3) AS cov FROM e a JOIN e b ON a.d = b.d GROUP BY ALL")
+def residual_covariance(spark, sf_dir):
+    e = B.predictions(spark, sf_dir).select("k", "d", (F.col("yhat") - F.col("y")).alias("e"))
+    a, b = e.toDF("a", "d", "ea"), e.toDF("b", "d", "eb")
+    return a.join(b, "d").groupBy("a", "b").agg(r(F.covar_samp("ea", "eb"), 3).alias("cov"))
+
+
+@query(f"""WITH c AS (SELECT user_id, event_id, up > 100 OR down > 100 AS alarm, least(greatest(up, down) / 100, 1) AS cs FROM {CUSUM}),
+z AS (SELECT event_id, abs(value - avg(value) OVER w) / greatest(stddev_pop(value) OVER w, 1e-6) AS z FROM events WINDOW w AS (PARTITION BY user_id))
+SELECT c.event_id, alarm OR z > 2 AS is_anomaly, round((least(cs, 1) + least(z / 2, 1)) / 2, 6) AS anomaly_score, (CASE WHEN alarm THEN 'cusum' ELSE '' END) || '|' || (CASE WHEN z > 2 THEN 'zscore' ELSE '' END) AS reasons FROM c JOIN z ON z.event_id = c.event_id""")
+def anomaly_ensemble(spark, sf_dir):
+    rows = anomaly.cusum(B.table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 50.0, 5.0, 100.0)
+    rows = anomaly.zscore(rows, "user_id", "value", 2.0).withColumns({"c": F.greatest("up", "down") / 100, "s": F.col("z") / 2})
+    out = rows.withColumns(anomaly.ensemble({"cusum": ("alarm", "c"), "zscore": ("outlier", "s")}))
+    has = lambda n: F.when(F.array_contains("reasons", n), n).otherwise("")
+    return out.select("event_id", "is_anomaly", r("anomaly_score").alias("anomaly_score"), F.concat_ws("|", has("cusum"), has("zscore")).alias("reasons"))
+
+
+@query("SELECT n_regionkey, n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance, grouping(n_regionkey)::INT + grouping(n_name)::INT AS level FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, n_name)")
+def rollup_levels(spark, sf_dir):
+    c = B.table(spark, sf_dir, "customer").join(B.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    level = (F.grouping("n_regionkey") + F.grouping("n_name")).cast("int")
+    return c.rollup("n_regionkey", "n_name").agg(F.count(F.lit(1)).alias("customers"), r(F.sum("c_acctbal"), 2).alias("balance"), level.alias("level"))
+
+
 # ---- generators ----
 @query()
 def generated_schedule(spark, sf_dir):
