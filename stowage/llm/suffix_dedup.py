@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +37,10 @@ SPAN, GRAM = 100, 32
 REACH = SPAN - GRAM + 1
 PLACE_BITS = 24
 #: Bytes that are hashed at a time; longer texts are hashed in pieces that share SPAN - 1 bytes.
-CHUNK = 1 << 20
-BUCKET_BYTES = 16 << 20
+CHUNK = 1 << 18
+#: Bytes whose anchors are compared before they are sent.
+SENT = 6 << 20
+BUCKET_BYTES = 6 << 20
 ANCHOR = np.dtype([("gram", "<u8"), ("span", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("offset", "u1"), ("count", "u1")])
 NEED = np.dtype([("gram", "<u8"), ("lo", "<i4"), ("offset", "u1"), ("count", "u1")])
 CONTEXT = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("offset", "u1"), ("count", "u1")])
@@ -179,23 +182,8 @@ def suffix_order(data: np.ndarray, prefix: Prefix, place: np.ndarray, turn: np.n
     return order
 
 
-def repeated_windows(contexts: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of the windows in contexts that also start earlier in another; data holds their bytes."""
-    begin = np.cumsum(sizes) - sizes
-    count = contexts["count"].astype(np.int64)
-    owner = np.repeat(np.arange(len(contexts)), count)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    offset = contexts["offset"][owner].astype(np.int64) - step
-    # equal windows have one anchor at one offset: those are the runs
-    order = np.lexsort((offset, contexts["gram"][owner]))
-    owner, step, offset = owner[order], step[order], offset[order]
-    gram = contexts["gram"][owner]
-    run = np.cumsum(np.r_[True, (gram[1:] != gram[:-1]) | (offset[1:] != offset[:-1])]) if len(gram) else np.zeros(0, np.int64)
-    shared = np.bincount(run)[run] > 1 if len(run) else np.zeros(0, bool)
-    owner, step, run = owner[shared], step[shared], run[shared]
-    if not len(run):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place, doc, start = begin[owner] + step, contexts["doc"][owner], contexts["lo"][owner].astype(np.int64) + step
+def repeated_windows(data: np.ndarray, place: np.ndarray, doc: np.ndarray, start: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Which of the windows at place also start earlier in their run; each run lies together."""
     turn = np.empty(len(run), np.int64)
     turn[np.lexsort((start, doc))] = np.arange(len(run))
     prefix = Prefix(data)
@@ -203,8 +191,8 @@ def repeated_windows(contexts: np.ndarray, data: np.ndarray, sizes: np.ndarray)
     a, b = order[:-1], order[1:]
     same = (run[a] == run[b]) & (prefix.raw(place[a], place[a] + SPAN) == prefix.raw(place[b], place[b] + SPAN))
     hit, bad = np.flatnonzero(same), []
-    for at in range(0, len(hit), 1 << 16):
-        h = hit[at : at + (1 << 16)]
+    for at in range(0, len(hit), 1 << 13):
+        h = hit[at : at + (1 << 13)]
         wide = np.arange(SPAN)
         bad.append(h[(data[place[a[h], None] + wide] != data[place[b[h], None] + wide]).any(1)])
     for r in np.unique(run[a[np.concatenate([*bad, np.zeros(0, np.int64)]).astype(np.int64)]]):
@@ -212,8 +200,7 @@ def repeated_windows(contexts: np.ndarray, data: np.ndarray, sizes: np.ndarray)
         text = {i: data[place[i] : place[i] + SPAN].tobytes() for i in own.tolist()}
         order[own] = sorted(own.tolist(), key=lambda i: (text[i], turn[i]))
         same[own[:-1]] = [text[i] == text[j] for i, j in zip(order[own[:-1]].tolist(), order[own[1:]].tolist(), strict=True)]
-    repeats = order[1:][same]
-    return doc[repeats], start[repeats]
+    return order[1:][same]
 
 
 FOUND = "doc_id long, marks binary, needs binary"
@@ -226,26 +213,34 @@ def found(docs: np.ndarray, marks: np.ndarray, need_docs: np.ndarray, needs: np.
 
 
 def send_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, blob) of a batch's first anchors; (-1 - k, found) of what already repeats inside of the batch."""
+    """(bucket, blob) of the first anchors among SENT bytes; (bucket, doc_id, marks) of what repeats inside of them."""
+
+    def packed(every: list[np.ndarray]) -> pa.Table:
+        a, _, first = ordered(np.concatenate(every))
+        again = a[~first]
+        a = a[first]
+        key = bucket_of(a["gram"], buckets)
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        doc, marks = by_doc(again["doc"], marks_of(again))
+        blob = [b"".join(np.ascontiguousarray(x[f]).tobytes() for f in ANCHOR.names) for x in np.split(a, edge[1:])] if len(edge) else []
+        return pa.table({
+            "bucket": pa.array(np.concatenate([key[edge], doc % buckets]), pa.int64()),
+            "blob": pa.array(blob + [None] * len(doc), pa.binary()),
+            "doc_id": pa.array([None] * len(blob) + doc.tolist(), pa.int64()),
+            "marks": pa.array([None] * len(blob) + marks, pa.binary()),
+        })
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            ids = b.column("doc_id").to_numpy()
-            every = list(pieces(b.column("raw"), ids))
-            a, _, first = ordered(np.concatenate([*every, np.zeros(0, ANCHOR)]))
-            again = a[~first]
-            a = a[first]
-            key = bucket_of(a["gram"], buckets)
-            edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-            doc, marks = by_doc(again["doc"], marks_of(again))
-            blob = [b"".join(np.ascontiguousarray(x[f]).tobytes() for f in ANCHOR.names) for x in np.split(a, edge[1:])] if len(edge) else []
-            out = pa.table({
-                "bucket": pa.array(np.concatenate([key[edge], -1 - doc % buckets]), pa.int64()),
-                "blob": pa.array(blob + [None] * len(doc), pa.binary()),
-                "doc_id": pa.array([None] * len(blob) + doc.tolist(), pa.int64()),
-                "marks": pa.array([None] * len(blob) + marks, pa.binary()),
-            })
-            yield from out.to_batches()
+            for some in pieces(b.column("raw"), b.column("doc_id").to_numpy()):
+                held.append(some)
+                size += CHUNK
+                if size >= SENT:
+                    yield from packed(held).to_batches()
+                    held, size = [], 0
+        if held:
+            yield from packed(held).to_batches()
 
     return docs.mapInArrow(go, "bucket long, blob binary, doc_id long, marks binary")
 
@@ -261,8 +256,8 @@ def unpacked(blob: bytes) -> np.ndarray:
 
 
 def compare_spans(t: pa.Table) -> pa.Table:
-    """A bucket's anchors: marks for all but the first of equal spans, needs for grams with several spans."""
-    a, gram, first = ordered(np.concatenate([unpacked(v.as_py()) for v in t["blob"]]))
+    """A bucket's anchors: marks for all but the first of equal spans, needs for grams with several spans. Marks pass through."""
+    a, gram, first = ordered(np.concatenate([np.zeros(0, ANCHOR), *(unpacked(v.as_py()) for v in t["blob"] if v.is_valid)]))
     again = a[~first]
     group = np.cumsum(gram) - 1
     spans = np.bincount(group[first], minlength=group[-1] + 1) if len(group) else group
@@ -270,7 +265,8 @@ def compare_spans(t: pa.Table) -> pa.Table:
     needs = np.zeros(len(ask), NEED)
     for f in NEED.names:
         needs[f] = ask[f]
-    return found(again["doc"], marks_of(again), ask["doc"], needs)
+    early = t.filter(pc.is_valid(t["marks"])).select(["doc_id", "marks"]).append_column("needs", pa.nulls(t.num_rows - t["marks"].null_count, pa.binary()))
+    return pa.concat_tables([found(again["doc"], marks_of(again), ask["doc"], needs), early])
 
 
 def send_contexts(rows: DataFrame, buckets: int) -> DataFrame:
@@ -302,27 +298,57 @@ def send_contexts(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.mapInArrow(go, "bucket long, contexts binary, bytes binary")
 
 
-#: Windows that are sorted at a time; a group of one anchor is never divided.
-SORTED = 1 << 21
+#: Windows that are sorted at a time; only those of one anchor at one offset stay together.
+SORTED = 1 << 17
 
 
 def compare_windows(t: pa.Table) -> pa.Table:
+    """A bucket's contexts: marks for windows that also start earlier. Equal windows have one anchor at one offset."""
     contexts = np.concatenate([np.frombuffer(v.as_py(), CONTEXT) for v in t["contexts"]])
     data = np.frombuffer(b"".join(v.as_py() for v in t["bytes"]), np.uint8)
-    sizes = contexts["count"].astype(np.int64) + SPAN - 1
-    begin = np.cumsum(sizes) - sizes
+    begin = np.cumsum(contexts["count"].astype(np.int64) + SPAN - 1) - (contexts["count"].astype(np.int64) + SPAN - 1)
     order = np.argsort(contexts["gram"], kind="stable")
-    gram = contexts["gram"][order]
-    part = np.cumsum(contexts["count"][order].astype(np.int64)) // SORTED
-    group = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
-    cuts = group[np.flatnonzero(np.diff(part[group])) + 1] if len(group) else group
+    contexts, begin = contexts[order], begin[order]
+    new = np.r_[True, contexts["gram"][1:] != contexts["gram"][:-1]] if len(contexts) else np.zeros(0, bool)
+    group = np.cumsum(new)
     docs, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for own in np.split(order, cuts):
-        n = sizes[own]
-        take = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        d, s = repeated_windows(contexts[own], data[take], n)
-        docs.append(d)
-        starts.append(s)
+    edges = np.append(np.flatnonzero(new), len(contexts))
+    ahead = np.concatenate([[0], np.cumsum(contexts["count"].astype(np.int64))])
+    at = 0
+    while at < len(edges) - 1:
+        # whole groups up to SORTED windows, or a part of the offsets of one larger group
+        to = max(at + 1, int(np.searchsorted(ahead[edges], ahead[edges[at]] + SORTED, side="right")) - 1)
+        own = slice(edges[at], edges[to])
+        parts = max(1, -(-int(ahead[edges[to]] - ahead[edges[at]]) // SORTED))
+        for k in range(parts):
+            c = contexts[own]
+            most = c["offset"].astype(np.int64)
+            least = most - c["count"].astype(np.int64) + 1
+            lo, hi = np.maximum(least, k * REACH // parts), np.minimum(most, (k + 1) * REACH // parts - 1)
+            n = np.maximum(hi - lo + 1, 0)
+            owner = np.repeat(np.arange(len(c)), n)
+            offset = np.repeat(lo, n) + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            run = group[own][owner].astype(np.int64) * REACH + offset
+            order = np.argsort(run, kind="stable")
+            owner, offset, run = owner[order], offset[order], run[order]
+            edge = np.r_[True, run[1:] != run[:-1]] if len(run) else np.zeros(0, bool)
+            run = np.cumsum(edge)
+            shared = np.bincount(run)[run] > 1 if len(run) else np.zeros(0, bool)
+            owner, offset, run = owner[shared], offset[shared], run[shared]
+            if not len(run):
+                continue
+            step = most[owner] - offset
+            doc, start = c["doc"][owner], c["lo"][owner].astype(np.int64) + step
+            base = begin[own]
+            used = np.unique(owner)
+            size = c["count"][used].astype(np.int64) + SPAN - 1
+            moved = np.zeros(len(c), np.int64)
+            moved[used] = np.cumsum(size) - size
+            take = np.repeat(base[used] - moved[used], size) + np.arange(size.sum())
+            hit = repeated_windows(data[take], moved[owner] + step, doc, start, run)
+            docs.append(doc[hit])
+            starts.append(start[hit])
+        at = to
     doc, start = np.concatenate(docs), np.concatenate(starts)
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
@@ -366,10 +392,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     plain = rows.filter("_id IS NOT NULL").select(F.col("_id").alias("doc_id"), F.col("_raw").alias("raw"))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(24, -(-total // BUCKET_BYTES))
-    sent = cut(send_anchors(plain.filter(F.length("raw") >= SPAN), buckets))
-    none = F.lit(None).cast("binary").alias("needs")
-    spans = sent.filter("blob IS NOT NULL").select("bucket", "blob").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(compare_spans, FOUND)
-    first = cut(spans.unionByName(sent.filter("doc_id IS NOT NULL").select("doc_id", "marks", none)))
+    sent = send_anchors(plain.filter(F.length("raw") >= SPAN), buckets)
+    first = cut(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(compare_spans, FOUND))
     needs = first.filter("needs IS NOT NULL").groupBy("doc_id").agg(F.collect_list("needs").alias("needs"))
     contexts = send_contexts(plain.join(needs, "doc_id"), buckets)
     windows = cut(contexts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(compare_windows, FOUND))
@@ -379,21 +403,25 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {name: [] for name in ADDED}
-            for raw, marks in zip(b.column("_raw"), b.column("_marks").to_pylist(), strict=True):
-                text = raw.as_py()
-                lo, hi = removed_spans(marks or [], len(text))
-                if characters and len(lo):
-                    lo, hi = whole_characters(text, lo, hi)
-                    lo, hi = lo[hi > lo], hi[hi > lo]
-                out["n_bytes"].append(len(text))
-                out["n_removed"].append(int((hi - lo).sum()))
-                out["n_spans"].append(len(lo))
-                out["kept"].append(b"".join(text[s:e] for s, e in zip([0, *hi.tolist()], [*lo.tolist(), len(text)], strict=True)))
-            kept = b.drop_columns(["_raw", "_marks", "_id"])
-            for name, kind in (("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())):
-                kept = kept.append_column(name, pa.array(out[name], kind))
-            yield kept
+            for at in range(0, b.num_rows, 500):
+                yield cut_out(b.slice(at, 500))
+
+    def cut_out(b: pa.RecordBatch) -> pa.RecordBatch:
+        out: dict[str, list] = {name: [] for name in ADDED}
+        for raw, marks in zip(b.column("_raw"), b.column("_marks").to_pylist(), strict=True):
+            text = raw.as_py()
+            lo, hi = removed_spans(marks or [], len(text))
+            if characters and len(lo):
+                lo, hi = whole_characters(text, lo, hi)
+                lo, hi = lo[hi > lo], hi[hi > lo]
+            out["n_bytes"].append(len(text))
+            out["n_removed"].append(int((hi - lo).sum()))
+            out["n_spans"].append(len(lo))
+            out["kept"].append(b"".join(text[s:e] for s, e in zip([0, *hi.tolist()], [*lo.tolist(), len(text)], strict=True)))
+        kept = b.drop_columns(["_raw", "_marks", "_id"])
+        for name, kind in (("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())):
+            kept = kept.append_column(name, pa.array(out[name], kind))
+        return kept
 
     fields = [f for f in joined_rows.schema.fields if f.name not in ("_raw", "_marks", "_id")]
     return joined_rows.mapInArrow(go, T.StructType([*fields, *(T.StructField(n, k) for n, k in ADDED.items())]))
