@@ -9,18 +9,21 @@ from pyspark.sql import functions as F
 from stowage.functions.bounds import small
 
 
-def closure(edges: DataFrame, depth: int = 16) -> DataFrame:
-    """(node, leaf): every node with each leaf below it, a leaf with itself; from (child, parent), level by level."""
-    parents = edges.select(F.col("parent").alias("leaf")).distinct()
-    leaves = edges.select(F.col("child").alias("leaf")).distinct().join(parents, "leaf", "left_anti")
-    level = leaves.select(F.col("leaf").alias("node"), "leaf")
-    out = level
-    for _ in range(depth):
-        level = level.join(edges, level["node"] == edges["child"]).select(F.col("parent").alias("node"), "leaf")
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.distinct()
+CLOSURE = """
+WITH RECURSIVE up(node, leaf) AS (
+  SELECT DISTINCT child, child FROM {edges} WHERE child NOT IN (SELECT parent FROM {edges} WHERE parent IS NOT NULL)
+  UNION ALL
+  SELECT e.parent, up.leaf FROM up JOIN {edges} AS e ON e.child = up.node)
+SELECT DISTINCT node, leaf FROM up
+"""
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(node, leaf): every node with each leaf below it, a leaf with itself; from (child, parent), by one recursive query.
+
+    A hierarchy that has a cycle ends at Spark's limit of recursion levels with an error.
+    """
+    return edges.sparkSession.sql(CLOSURE, edges=edges.select("child", "parent"))
 
 
 def bottom_up(forecasts: DataFrame, edges: DataFrame, value: str = "yhat", keys: tuple[str, ...] = ()) -> DataFrame:
