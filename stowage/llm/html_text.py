@@ -51,6 +51,8 @@ class Tree(HTMLParser):
         self.root: list = ["#root", {}, []]
         self.open: list[list] = [self.root]
         self.feed(html)
+        if re.match(r"<[a-zA-Z/!?]", self.rawdata):  # a tag or comment that never ends is no text
+            self.rawdata = ""
         self.close()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:

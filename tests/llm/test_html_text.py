@@ -9,6 +9,7 @@ PAGES = {
     "<p>only <b>bold</b>text</p><script>x</script><style>y</style><!-- c -->": "only boldtext",
     "<article><ul><li>a<li>b</ul><table><tr><td>1<td>2<tr><td>3</table></article>": "a\n\nb\n\n1 2\n\n3",
     "<article><p>cut &am": "cut &am",
+    "<article><p>a <b hre": "a", "<article><p>a</p><!-- un": "a", "<article><p>x<script>if(a<b)</script>y": "xy",
     "": "", "plain < text": "plain < text", "<article><p>a&nbsp;&nbsp;b&#233;&copy;</p></article><article>second</article>": "a bé©\n\nsecond",
 }
 
