@@ -46,9 +46,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each row, with the digest of the bytes that they decode to."""
-    ranks = byte_bpe()
-    rows = bpe.encode(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN).drop("text")
-    return bpe.decode(rows, ranks).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    rows = bpe.encode(docs.select("doc_id", "source", "text"), byte_bpe(), public_tokenizers.PATTERN, decoded_col="decoded").drop("text")
+    return rows.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("suffix_dedup", cut_repeats), ("mixing", mix), ("byte_bpe", tokenize)]

@@ -32,7 +32,7 @@ from stowage.llm.common import without
 
 LONG_PIECE = 96
 #: Bytes of text that are split and looked up at a time, and pieces that a task remembers.
-CHUNK, REMEMBERED = 4 << 20, 700_000
+CHUNK, REMEMBERED = 2 << 20, 450_000
 
 ENCODE = """
 WITH RECURSIVE step(k, piece, pos, id) AS (
@@ -103,7 +103,7 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.byte_ids = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
         self.seen: dict[str, bytes] = {}  # ids as int32
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
         a, b, merged = merge_table(self.ranks)
         self.con.register("merge_rows", pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "merged": pa.array(merged, pa.int32())}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
@@ -118,8 +118,8 @@ class Encoder:
                 self.seen[p] = array("i", merge_long(raw, self.ranks)).tobytes()
             else:
                 work.append((p, raw))
-        for at in range(0, len(work), 50_000):
-            part = work[at : at + 50_000]
+        for at in range(0, len(work), 25_000):
+            part = work[at : at + 25_000]
             sizes = np.array([len(raw) for _, raw in part])
             ids = self.byte_ids[np.frombuffer(b"".join(raw for _, raw in part), dtype=np.uint8)]
             first = np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -140,8 +140,41 @@ class Encoder:
         return [np.frombuffer(b"".join(map(look, own)), dtype=np.int32) for own in pieces]
 
 
-#: The encoder of a Python worker lasts from task to task: what it has learnt is a cache, never a result.
-ENCODERS: dict[object, Encoder] = {}
+class Decoder:
+    """The vocabulary as a DuckDB table, bytes as characters of the same number."""
+
+    def __init__(self, ranks: list[tuple[bytes, int]]):
+        import duckdb
+
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB"})
+        self.con.register("words", pa.table({"id": pa.array([r for _, r in ranks], pa.int32()), "chars": [t.decode("latin-1") for t, _ in ranks]}))
+        self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM words")
+
+    def decode(self, col: pa.Array) -> list[bytes | None]:
+        """The bytes of each list of ids."""
+        every: list[bytes | None] = []
+        for at, size in spans(col):
+            ids = col.slice(at, size)
+            self.con.register("batch", pa.table({"row": np.arange(size, dtype=np.int32), "ids": ids}))
+            got = self.con.sql(DECODE).to_arrow_table()
+            if sum(got["n"].to_pylist()) != len(ids.flatten()):
+                raise ValueError("token ids outside the vocabulary")
+            out = [b"" if valid else None for valid in ids.is_valid().to_pylist()]
+            for row, chars in zip(got["row"].to_pylist(), got["chars"].to_pylist(), strict=True):
+                out[row] = chars.encode("latin-1")
+            every += out
+        return every
+
+
+#: The coders of a Python worker last from task to task: what they have learnt is a cache, never a result.
+CODERS: dict[object, tuple[Encoder, Decoder]] = {}
+
+
+def coders(key: object, ranks: list[tuple[bytes, int]], pattern: str) -> tuple[Encoder, Decoder]:
+    if key not in CODERS:
+        CODERS.clear()
+        CODERS[key] = Encoder(ranks, pattern), Decoder(ranks)
+    return CODERS[key]
 
 
 def chunks(col: pa.Array) -> Iterator[list[bytes]]:
@@ -157,33 +190,38 @@ def chunks(col: pa.Array) -> Iterator[list[bytes]]:
     yield held
 
 
-def added(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+def spans(ids: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """(start, rows) of slices with about `most` ids."""
+    sizes = np.array([len(v) if v.is_valid else 0 for v in ids], dtype=np.int64)
+    group = (np.cumsum(sizes) - sizes) // most
+    for g in np.unique(group):
+        at = np.flatnonzero(group == g)
+        yield int(at[0]), len(at)
+
 
+def encode(df: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, *, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """df with ids array<int>; with decoded_col also what the ids decode to, in the same pass.
 
-def encode(df: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """df with ids array<int>. The vocabulary, of a fixed size, goes to the executors as a broadcast variable."""
+    The vocabulary, of a fixed size, goes to the executors as a broadcast variable.
+    """
     spread = df.sparkSession.sparkContext.broadcast(ranks)
     key = (hashlib.sha256(repr(ranks).encode()).hexdigest(), pattern)
-    rows = without(df, [ids_col, "_raw"]).withColumn("_raw", F.col(text_col).cast("binary"))
+    rows = without(df, [ids_col, "_raw", *([decoded_col] if decoded_col else [])]).withColumn("_raw", F.col(text_col).cast("binary"))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if key not in ENCODERS:
-                ENCODERS.clear()
-                ENCODERS[key] = Encoder(spread.value, pattern)
-            coder = ENCODERS[key]
+            encoder, decoder = coders(key, spread.value, pattern)
             done, raw, rest = 0, b.column("_raw"), b.drop_columns(["_raw"])
             for part in chunks(raw):
-                ids = coder.encode(part)
+                ids = encoder.encode(part)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                values = np.concatenate([*ids, np.zeros(0, np.int32)])
-                col = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
-                yield rest.slice(done, len(part)).append_column(ids_col, col)
+                col = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()))
+                out = rest.slice(done, len(part)).append_column(ids_col, col)
+                yield out.append_column(decoded_col, pa.array(decoder.decode(col), pa.binary())) if decoded_col else out
                 done += len(part)
 
-    kept = rows.drop("_raw")
-    return rows.mapInArrow(go, added(kept, ids_col, T.ArrayType(T.IntegerType())))
+    fields = [f for f in rows.schema.fields if f.name != "_raw"] + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))]
+    return rows.mapInArrow(go, T.StructType(fields + ([T.StructField(decoded_col, T.BinaryType())] if decoded_col else [])))
 
 
 def decode(df: DataFrame, ranks: list[tuple[bytes, int]], *, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -192,33 +230,8 @@ def decode(df: DataFrame, ranks: list[tuple[bytes, int]], *, ids_col: str = "ids
     rows = without(df, [bytes_col])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import duckdb
-
-        con = None
+        decoder = Decoder(spread.value)
         for b in batches:
-            if con is None:
-                con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
-                words = pa.table({"id": pa.array([r for _, r in spread.value], pa.int32()), "chars": [t.decode("latin-1") for t, _ in spread.value]})
-                con.register("words", words)
-                con.execute("CREATE TABLE vocabulary AS SELECT * FROM words")
-            for at, size in spans(b.column(ids_col)):
-                ids = b.column(ids_col).slice(at, size)
-                con.register("batch", pa.table({"row": np.arange(size, dtype=np.int32), "ids": ids}))
-                got = con.sql(DECODE).to_arrow_table()
-                out = [b"" if valid else None for valid in ids.is_valid().to_pylist()]
-                for row, chars in zip(got["row"].to_pylist(), got["chars"].to_pylist(), strict=True):
-                    out[row] = chars.encode("latin-1")
-                if sum(got["n"].to_pylist()) != len(ids.flatten()):
-                    raise ValueError("token ids outside the vocabulary")
-                yield b.slice(at, size).append_column(bytes_col, pa.array(out, pa.binary()))
-
-    return rows.mapInArrow(go, added(rows, bytes_col, T.BinaryType()))
-
-
-def spans(ids: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """(start, rows) of slices with about `most` ids."""
-    sizes = np.array([len(v) if v.is_valid else 0 for v in ids], dtype=np.int64)
-    group = (np.cumsum(sizes) - sizes) // most
-    for g in np.unique(group):
-        at = np.flatnonzero(group == g)
-        yield int(at[0]), len(at)
+            yield b.append_column(bytes_col, pa.array(decoder.decode(b.column(ids_col)), pa.binary()))
+
+    return rows.mapInArrow(go, T.StructType([*rows.schema.fields, T.StructField(bytes_col, T.BinaryType())]))

@@ -12,7 +12,7 @@ components: whatever pair is left out is connected already. So no connection is
 about n comparisons.
 
 A pair of similarity 0.85 shares no band key with probability (1 - 0.85**ROWS)**BANDS = 4e-7, and is dropped by its
-sketch (SLACK standard deviations) with less than 1e-8.
+sketch (SLACK standard deviations) with less than 3e-7.
 
 Defined results: without words or text, a document has the empty set and is linked with nothing; with fewer than five
 words, the whole sequence is its one shingle; rows with a null id are kept and in no component (null); rows that repeat
@@ -35,8 +35,8 @@ from stowage.llm.hashing import WORD_GAP, Prefix, joined, mix, powers, runs
 SHINGLE, BANDS, ROWS = 5, 25, 5
 SAMPLES = BANDS * ROWS
 #: Bits of the sketch that every set has, and samples and bits of the finer one for sets in unresolved buckets.
-SKETCH_BITS, FINE_SAMPLES, FINE_BITS = 256, 1024, 2048
-SLACK = 6
+SKETCH_BITS, FINE_SAMPLES, FINE_BITS = 256, 2048, 4096
+SLACK = 5
 CHUNK = 1 << 20
 STEP = powers(np.uint64(0xA24BAED4963EE407), SHINGLE)
 _DRAW = np.random.default_rng(7)
@@ -98,12 +98,15 @@ def odd_sketches(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
 def most_different_bits(percent: int, samples: int = SAMPLES, bits: int = SKETCH_BITS) -> int:
     """The most bits that two sketches of a pair at the threshold may differ by, with SLACK standard deviations to spare.
 
-    Of all samples, Binomial(1 - J) differ, each flips two bits, and 2m flips leave bits / 2 * (1 - exp(-4m / bits)) set.
+    Of all samples, Binomial(1 - J) differ; each flips two bits, and 2m flips leave bits / 2 * (1 - exp(-4m / bits)) set.
+    Both draws spread: the samples by their binomial, the bits by their occupancy.
     """
     apart = 1 - percent / 100
-    m = samples * apart + SLACK * np.sqrt(samples * apart * (1 - apart))
-    expected = bits / 2 * (1 - np.exp(-4 * m / bits))
-    return int(expected + SLACK / 2 * np.sqrt(bits) / 2)
+    m, load = samples * apart, 2 * samples * apart / bits
+    odd = (1 - np.exp(-2 * load)) / 2
+    by_samples = 2 * np.exp(-2 * load) * np.sqrt(samples * apart * (1 - apart))
+    by_bits = bits * (odd * (1 - odd) - load * np.exp(-4 * load))
+    return int(np.ceil(bits / 2 * (1 - np.exp(-4 * m / bits)) + SLACK * np.sqrt(by_samples**2 + by_bits)))
 
 
 FINE = [f"f{i}" for i in range(FINE_BITS // 64)]
@@ -215,14 +218,15 @@ def link_classes(classes: DataFrame, texts_of, percent: int) -> DataFrame:
     texts_of gives (cls, raw) for a table of (cls, doc_id).
     """
     member = F.struct("n_shingles", *SKETCH).alias("m")
-    in_bands = classes.select("cls", F.explode("bands").alias("key"))
-    crowded = in_bands.groupBy("key").agg(F.min("cls").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    in_bands = classes.select("cls", "doc_id", F.explode("bands").alias("key"))
+    # the lowest document is one pivot for most buckets of a group, so that few different pairs are compared
+    crowded = in_bands.groupBy("key").agg(F.min(F.struct("doc_id", "cls"))["cls"].alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = cut(in_bands.join(crowded, "key").select("key", "cls", "pivot"))
     texts = cut(texts_of(classes.join(buckets.select("cls").distinct(), "cls", "left_semi").select("cls", "doc_id")))
     sketches = classes.select("cls", member)
-    stars = buckets.filter("cls <> pivot").select(F.col("pivot").alias("u"), F.col("cls").alias("v")).distinct()
+    stars = buckets.filter("cls <> pivot").select(F.least("pivot", "cls").alias("u"), F.greatest("pivot", "cls").alias("v")).distinct()
     stars = stars.join(sketches.toDF("v", "right"), "v").join(sketches.toDF("u", "left"), "u")
-    stars = stars.filter(may_link("left", "right", SKETCH, percent, most_different_bits(percent))).select("u", "v")
+    stars = cut(stars.filter(may_link("left", "right", SKETCH, percent, most_different_bits(percent))).select("u", "v"))
     links = cut(confirmed(stars, texts, percent))
     roots = connected_components(links)
 
@@ -248,8 +252,8 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
     rows = cut(signatures(docs, id_col, text_col))
     known = rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    first = known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    classes = cut(known.join(first, ["cls", "doc_id"], "left_semi").dropDuplicates(["cls"]).select("cls", "doc_id", "n_shingles", *SKETCH, "bands"))
+    one = F.min(F.struct("doc_id", "n_shingles", *SKETCH, "bands")).alias("one")  # equal sets have equal sketches
+    classes = cut(known.groupBy("cls").agg(one).select("cls", "one.*"))
 
     def texts_of(chosen: DataFrame) -> DataFrame:
         raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw")).join(chosen, "doc_id").select("cls", "raw")

@@ -35,7 +35,7 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -60,12 +60,10 @@ def byte_bpe() -> list[tuple[bytes, int]]:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    ranks = byte_bpe()
-    docs = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN).drop("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = bpe.encode(docs, byte_bpe(), public_tokenizers.PATTERN, decoded_col="decoded").drop("text")
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return bpe.decode(docs, ranks).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,9 +128,13 @@ def marks_of(a: np.ndarray) -> np.ndarray:
     return out
 
 
-def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
-    """Rises with gram, so that what is sorted by gram is sorted by bucket."""
-    return ((gram >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def dealt(gram: np.ndarray, buckets: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Buckets with rows, and each one's rows. Anchors are the lowest of their neighbours' hashes, so hashes are mixed anew."""
+    key = ((mix(gram) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[edge], np.split(order, edge[1:]) if len(edge) else []
 
 
 def extension(prefix: Prefix, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -219,12 +223,11 @@ def send_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         a, _, first = ordered(np.concatenate(every))
         again = a[~first]
         a = a[first]
-        key = bucket_of(a["gram"], buckets)
-        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        key, parts = dealt(a["gram"], buckets)
         doc, marks = by_doc(again["doc"], marks_of(again))
-        blob = [b"".join(np.ascontiguousarray(x[f]).tobytes() for f in ANCHOR.names) for x in np.split(a, edge[1:])] if len(edge) else []
+        blob = [b"".join(np.ascontiguousarray(x[f]).tobytes() for f in ANCHOR.names) for x in (a[p] for p in parts)]
         return pa.table({
-            "bucket": pa.array(np.concatenate([key[edge], doc % buckets]), pa.int64()),
+            "bucket": pa.array(np.concatenate([key, doc % buckets]), pa.int64()),
             "blob": pa.array(blob + [None] * len(doc), pa.binary()),
             "doc_id": pa.array([None] * len(blob) + doc.tolist(), pa.int64()),
             "marks": pa.array([None] * len(blob) + marks, pa.binary()),
@@ -285,12 +288,9 @@ def send_contexts(rows: DataFrame, buckets: int) -> DataFrame:
                 text = raw.as_py()
                 texts += [text[lo : lo + count + SPAN - 1] for lo, count in zip(n["lo"].tolist(), n["count"].tolist(), strict=True)]
             c = np.concatenate([*some, np.zeros(0, CONTEXT)])
-            order = np.argsort(c["gram"], kind="stable")
-            key = bucket_of(c["gram"][order], buckets)
-            edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-            parts = np.split(order, edge[1:]) if len(edge) else []
+            key, parts = dealt(c["gram"], buckets)
             yield from pa.table({
-                "bucket": pa.array(key[edge], pa.int64()),
+                "bucket": pa.array(key, pa.int64()),
                 "contexts": pa.array([c[p].tobytes() for p in parts], pa.binary()),
                 "bytes": pa.array([b"".join(texts[i] for i in p.tolist()) for p in parts], pa.binary()),
             }).to_batches()
