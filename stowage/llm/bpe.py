@@ -32,14 +32,16 @@ from stowage.llm.common import without
 
 LONG_PIECE = 96
 #: Bytes of text that are split and looked up at a time, and pieces that a task remembers.
-CHUNK, REMEMBERED = 2 << 20, 450_000
+CHUNK, REMEMBERED = 2 << 20, 600_000
 
+#: start holds (piece, pos, id); positions run on from piece to piece, so one order serves all.
 ENCODE = """
 WITH RECURSIVE step(k, piece, pos, id) AS (
   SELECT 0, piece, pos, id FROM start
   UNION ALL
   (WITH pair AS (
-     SELECT k, piece, pos, id, lead(id) OVER w AS next_id, lag(pos) OVER w AS prev_pos FROM step WINDOW w AS (PARTITION BY piece ORDER BY pos)),
+     SELECT k, piece, pos, id, CASE WHEN lead(piece) OVER w = piece THEN lead(id) OVER w END AS next_id, CASE WHEN lag(piece) OVER w = piece THEN lag(pos) OVER w END AS prev_pos
+     FROM step WINDOW w AS (ORDER BY pos)),
    ranked AS (SELECT k, piece, pos, id, prev_pos, (merged::BIGINT << 32) | pos AS key FROM pair LEFT JOIN merges ON id = a AND next_id = b),
    lowest AS (SELECT piece, min(key) AS best FROM ranked WHERE key IS NOT NULL GROUP BY piece)
    SELECT k + 1, r.piece, pos, CASE WHEN pos = (best & 4294967295) THEN (best >> 32)::INT ELSE id END
@@ -49,7 +51,7 @@ SELECT s.piece, s.id FROM step s JOIN last l ON s.piece = l.piece AND s.k = l.k
 """
 DECODE = """
 SELECT row, string_agg(vocabulary.chars, '' ORDER BY pos) AS chars, count(*) AS n
-FROM (SELECT row, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM batch) AS tokens JOIN vocabulary USING (id) GROUP BY row
+FROM tokens JOIN vocabulary USING (id) GROUP BY row
 """
 
 
@@ -122,8 +124,7 @@ class Encoder:
             part = work[at : at + 25_000]
             sizes = np.array([len(raw) for _, raw in part])
             ids = self.byte_ids[np.frombuffer(b"".join(raw for _, raw in part), dtype=np.uint8)]
-            first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-            start = pa.table({"piece": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "pos": (np.arange(len(ids)) - first).astype(np.int32), "id": ids})
+            start = pa.table({"piece": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "pos": np.arange(len(ids), dtype=np.int32), "id": ids})
             self.con.register("start", start)
             got = self.con.sql(ENCODE).to_arrow_table()
             packed = got["id"].to_numpy().astype(np.int32).tobytes()
@@ -132,10 +133,11 @@ class Encoder:
                 self.seen[p] = packed[bounds[i] : bounds[i + 1]]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
         pieces = [self.split(t.decode("utf-8", "surrogateescape")) for t in texts]
-        self.learn(dict.fromkeys(p for p in chain.from_iterable(pieces) if p not in self.seen))
+        here = set(chain.from_iterable(pieces))
+        if len(self.seen) > REMEMBERED:  # the frequent ones stay
+            self.seen = {p: self.seen[p] for p in here if p in self.seen}
+        self.learn(here.difference(self.seen))
         look = self.seen.__getitem__
         return [np.frombuffer(b"".join(map(look, own)), dtype=np.int32) for own in pieces]
 
@@ -155,9 +157,11 @@ class Decoder:
         every: list[bytes | None] = []
         for at, size in spans(col):
             ids = col.slice(at, size)
-            self.con.register("batch", pa.table({"row": np.arange(size, dtype=np.int32), "ids": ids}))
+            flat, counts = ids.flatten(), [len(v) if v.is_valid else 0 for v in ids]
+            tokens = {"row": np.repeat(np.arange(size, dtype=np.int32), counts), "pos": np.arange(len(flat), dtype=np.int32), "id": flat}
+            self.con.register("tokens", pa.table(tokens))
             got = self.con.sql(DECODE).to_arrow_table()
-            if sum(got["n"].to_pylist()) != len(ids.flatten()):
+            if sum(got["n"].to_pylist()) != len(flat):
                 raise ValueError("token ids outside the vocabulary")
             out = [b"" if valid else None for valid in ids.is_valid().to_pylist()]
             for row, chars in zip(got["row"].to_pylist(), got["chars"].to_pylist(), strict=True):
