@@ -46,7 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each row, with the digest of the bytes that they decode to."""
-    rows = bpe.encode(docs.select("doc_id", "source", "text"), byte_bpe(), public_tokenizers.PATTERN, decoded_col="decoded").drop("text")
+    rows = bpe.encode(docs.select("doc_id", "source", "text"), byte_bpe(), public_tokenizers.PATTERN, decoded_col="decoded", lasting=False).drop("text")
     return rows.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -61,10 +61,15 @@ def load_ranks(path: str) -> list[tuple[bytes, int]]:
         return [(base64.b64decode(a), int(b)) for a, b in (line.split() for line in lines if line.strip())]
 
 
-def merge_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int], list[int]]:
-    """Every pair of tokens that together are a token: ids of both and of the whole."""
-    rows = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-    return tuple(map(list, zip(*rows, strict=True))) if rows else ([], [], [])
+def merge_table(ranks: dict[bytes, int]) -> pa.Table:
+    """Every pair of tokens that together are a token: ids a and b of both and merged of the whole."""
+    rows = array("i")
+    for t, r in ranks.items():
+        for i in range(1, len(t)):
+            if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None:
+                rows.extend((a, b, r))
+    cols = np.frombuffer(rows, dtype=np.int32).reshape(-1, 3)
+    return pa.table({name: np.ascontiguousarray(cols[:, k]) for k, name in enumerate(("a", "b", "merged"))})
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
@@ -106,9 +111,9 @@ class Encoder:
         self.byte_ids = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
         self.seen: dict[str, bytes] = {}  # ids as int32
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
-        a, b, merged = merge_table(self.ranks)
-        self.con.register("merge_rows", pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "merged": pa.array(merged, pa.int32())}))
+        self.con.register("merge_rows", merge_table(self.ranks))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
+        self.con.unregister("merge_rows")
 
     def learn(self, pieces: Iterable[str]) -> None:
         work: list[tuple[str, bytes]] = []
@@ -151,6 +156,7 @@ class Decoder:
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB"})
         self.con.register("words", pa.table({"id": pa.array([r for _, r in ranks], pa.int32()), "chars": [t.decode("latin-1") for t, _ in ranks]}))
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM words")
+        self.con.unregister("words")
 
     def decode(self, col: pa.Array) -> list[bytes | None]:
         """The bytes of each list of ids."""
@@ -203,9 +209,10 @@ def spans(ids: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
         yield int(at[0]), len(at)
 
 
-def encode(df: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, *, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+def encode(df: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, *, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, lasting: bool = True) -> DataFrame:
     """df with ids array<int>; with decoded_col also what the ids decode to, in the same pass.
 
+    lasting: coders stay in their Python worker for its next task; without, each task returns their memory at its end.
     The vocabulary, of a fixed size, goes to the executors as a broadcast variable.
     """
     spread = df.sparkSession.sparkContext.broadcast(ranks)
@@ -223,6 +230,9 @@ def encode(df: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, *, text_
                 out = rest.slice(done, len(part)).append_column(ids_col, col)
                 yield out.append_column(decoded_col, pa.array(decoder.decode(col), pa.binary())) if decoded_col else out
                 done += len(part)
+        if not lasting:
+            CODERS.clear()
+            pa.default_memory_pool().release_unused()
 
     fields = [f for f in rows.schema.fields if f.name != "_raw"] + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))]
     return rows.mapInArrow(go, T.StructType(fields + ([T.StructField(decoded_col, T.BinaryType())] if decoded_col else [])))
