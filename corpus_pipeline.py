@@ -25,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the smallest id."""
-    gone = near_dedup.near_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
+    """One document of each group of near copies stays: that of the smallest id. Near are texts whose sets of five-word shingles have a similarity of 0.8 or more."""
+    gone = near_dedup.near_dedup(docs, percent=80).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
     return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").select(*COLUMNS)
 
 

@@ -1,8 +1,8 @@
 """MinHash near-dedup with odd sketches: every document gets the smallest id that a chain of similar texts reaches.
 
 A document's set are its distinct five-word shingles, as 64-bit hashes. Documents with equal sets are one class, and only
-classes go on. BANDS * ROWS MinHash samples of a set give its band keys, and folded into a bitmap by parity its odd
-sketch: the XOR of two sketches has so many bits as the samples differ, which tells high similarities precisely. Classes
+classes go on. ROWS MinHash samples of a set for each band give its band keys, and the first SAMPLES folded into a bitmap
+by parity its odd sketch: the XOR of two sketches has so many bits as the samples differ, which tells high similarities precisely. Classes
 that share a band key are candidates; those whose sizes or sketches can't reach the threshold go; the rest is confirmed
 on the full sets of the whole texts.
 
@@ -11,8 +11,8 @@ have made components, only members outside of the bucket's largest component are
 components: whatever pair is left out is connected already. So no connection is lost, and a group of n near copies costs
 about n comparisons.
 
-A pair of similarity 0.85 shares no band key with probability (1 - 0.85**ROWS)**BANDS = 4e-7, and is dropped by its
-sketch (SLACK standard deviations) with less than 3e-7.
+There are so many bands that a pair at the threshold shares no key with a probability of at most MISSED: 25 at 0.85, 37 at
+0.8, (1 - 0.8**ROWS)**37 = 4e-7. Its sketch (SLACK standard deviations) drops it with less than 3e-7.
 
 Defined results: without words or text, a document has the empty set and is linked with nothing; with fewer than five
 words, the whole sequence is its one shingle; rows with a null id are kept and in no component (null); rows that repeat
@@ -34,6 +34,8 @@ from stowage.llm.hashing import WORD_GAP, Prefix, joined, mix, powers, runs
 
 SHINGLE, BANDS, ROWS = 5, 25, 5
 SAMPLES = BANDS * ROWS
+#: The most that a pair at the threshold may have as its probability to share no band key.
+MISSED = 5e-7
 #: Bits of the sketch that every set has, and samples and bits of the finer one for sets in unresolved buckets.
 SKETCH_BITS, FINE_SAMPLES, FINE_BITS = 256, 2048, 4096
 SLACK = 5
@@ -80,11 +82,18 @@ def minhashes(sets: list[np.ndarray], samples: int = SAMPLES) -> np.ndarray:
     return out
 
 
+def bands_for(percent: int) -> int:
+    """The bands that a threshold needs."""
+    agree = (percent / 100) ** ROWS
+    return 1 if agree >= 1 else int(np.ceil(np.log(MISSED) / np.log1p(-agree)))
+
+
 def band_keys(samples: np.ndarray) -> np.ndarray:
-    key = np.zeros((len(samples), BANDS), np.uint64)
+    bands = samples.shape[1] // ROWS
+    key = np.zeros((len(samples), bands), np.uint64)
     for r in range(ROWS):
-        key = mix(key + samples[:, r::ROWS][:, :BANDS] * np.uint64(2 * r + 3))
-    return mix(key + np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
+        key = mix(key + samples[:, r::ROWS][:, :bands] * np.uint64(2 * r + 3))
+    return mix(key + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
 
 
 def odd_sketches(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -132,7 +141,7 @@ def class_of(s: np.ndarray) -> np.uint64:
     return mix(both[:1] + both[1:] * np.uint64(3) + np.array([len(s)], np.uint64))[0]
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands_each: int = BANDS) -> DataFrame:
     """One row a document: set size, class, sketch and band keys (none for the empty set)."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,12 +155,12 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 sketch = np.zeros((len(texts), len(SKETCH)), np.uint64)
                 cls = np.zeros(len(texts), np.uint64)
                 count = np.zeros(len(texts), np.int64)
-                keys = np.zeros((0, BANDS), np.uint64)
+                keys = np.zeros((0, bands_each), np.uint64)
                 if full:
-                    samples = minhashes([sets[i] for i in full])
-                    sketch[full], keys = odd_sketches(samples), band_keys(samples)
+                    samples = minhashes([sets[i] for i in full], max(SAMPLES, bands_each * ROWS))
+                    sketch[full], keys = odd_sketches(samples[:, :SAMPLES]), band_keys(samples[:, : bands_each * ROWS])
                     cls[full] = [class_of(sets[i]) for i in full]
-                    count[full] = BANDS
+                    count[full] = bands_each
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
                 cols = [b.column("doc_id").slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls.view(np.int64)), *(pa.array(np.ascontiguousarray(sketch[:, k]).view(np.int64)) for k in range(len(SKETCH))), bands]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "cls", *SKETCH, "bands"])
@@ -250,7 +259,7 @@ def link_classes(classes: DataFrame, texts_of, percent: int) -> DataFrame:
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
-    rows = cut(signatures(docs, id_col, text_col))
+    rows = cut(signatures(docs, id_col, text_col, bands_for(percent)))
     known = rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
     one = F.min(F.struct("doc_id", "n_shingles", *SKETCH, "bands")).alias("one")  # equal sets have equal sketches
     classes = cut(known.groupBy("cls").agg(one).select("cls", "one.*"))

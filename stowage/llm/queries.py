@@ -27,7 +27,7 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

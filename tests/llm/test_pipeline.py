@@ -1,8 +1,10 @@
+import random
+
 import corpus_pipeline as cp
 import pytest
 from pyspark.sql import functions as F
 
-from stowage.llm import mixing
+from stowage.llm import mixing, near_dedup
 
 
 @pytest.fixture(scope="module")
@@ -32,3 +34,34 @@ def test_tokens_decode_to_the_text(stages):
     digest = stages["mixing"].select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("h")).distinct()
     out = stages["byte_bpe"].select("doc_id", F.col("decoded_sha256").alias("h")).distinct()
     assert digest.exceptAll(out).isEmpty() and out.exceptAll(digest).isEmpty()
+
+
+def test_near_copies_from_a_similarity_of_four_fifths(spark, sf_dir):
+    """The stage against all pairs of shingle sets, in pairs and chains on both sides of 0.8."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for group in range(40):
+        base = [word() for _ in range(200)]
+        for k in range(3):
+            text = list(base)
+            for at in rng.sample(range(0, 200, 6), rng.randrange(1, 4)):
+                text[at] = word()
+            rows.append((10 * group + k, " ".join(text), "en", "s", 1))
+    sets = {r[0]: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for r in rows for w in [r[1].split()]}
+    root, ids, between = {i: i for i in sets}, sorted(sets), 0
+    find = lambda i: i if root[i] == i else find(root[i])
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            between += 80 * either <= 100 * both < 85 * either
+            if 100 * both >= 80 * either:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert between > 10 and {r["doc_id"] for r in cp.drop_near_copies(spark, df, sf_dir).collect()} == {i for i in ids if find(i) == i}
+
+
+def test_bands_follow_the_threshold():
+    assert near_dedup.bands_for(85) == near_dedup.BANDS == 25 and near_dedup.bands_for(80) == 37
+    assert all((1 - (p / 100) ** near_dedup.ROWS) ** near_dedup.bands_for(p) <= near_dedup.MISSED for p in range(50, 100))
