@@ -16,11 +16,12 @@ run of windows and the hash of all the bytes they span.
 
 Defined results: a null text is empty; matches never cross documents; a null id's row keeps all and serves no other;
 rows that repeat an id are told apart by no order, so none of them counts as earlier than another for equal starts, and each
-loses what repeats in any of them; an empty table gives an empty result; columns with an added name are replaced.
+loses what starts earlier in its own text, in another row's or in another document; an empty table gives an empty result; columns with an added name are replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,10 +42,11 @@ CHUNK = 1 << 18
 #: Bytes whose anchors are compared before they are sent.
 SENT = 6 << 20
 BUCKET_BYTES = 6 << 20
-ANCHOR = np.dtype([("gram", "<u8"), ("span", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("offset", "u1"), ("count", "u1")])
-NEED = np.dtype([("gram", "<u8"), ("lo", "<i4"), ("offset", "u1"), ("count", "u1")])
-CONTEXT = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("offset", "u1"), ("count", "u1")])
-MARK = np.dtype([("lo", "<i4"), ("count", "<i4")])
+#: own is a hash of the whole text, which tells the texts of one id apart.
+ANCHOR = np.dtype([("gram", "<u8"), ("span", "<u8"), ("doc", "<i8"), ("own", "<u4"), ("lo", "<i4"), ("offset", "u1"), ("count", "u1")])
+NEED = np.dtype([("gram", "<u8"), ("own", "<u4"), ("lo", "<i4"), ("offset", "u1"), ("count", "u1")])
+CONTEXT = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("own", "<u4"), ("lo", "<i4"), ("offset", "u1"), ("count", "u1")])
+MARK = np.dtype([("own", "<u4"), ("lo", "<i4"), ("count", "<i4")])
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -58,8 +60,8 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def anchors(texts: list[bytes], docs: np.ndarray, bases: np.ndarray) -> np.ndarray:
-    """The anchors of the texts, which are pieces of docs that start at bases."""
+def anchors(texts: list[bytes], docs: np.ndarray, bases: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The anchors of the texts, which are pieces of docs that start at bases, in whole texts of hash own."""
     data, bounds = joined(texts)
     if len(data) < SPAN:
         return np.zeros(0, ANCHOR)
@@ -82,36 +84,53 @@ def anchors(texts: list[bytes], docs: np.ndarray, bases: np.ndarray) -> np.ndarr
     out = np.zeros(len(lo), ANCHOR)
     out["gram"] = grams[place]
     out["span"] = mix(prefix.hash(lo, hi + SPAN) + (place - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    out["doc"], out["lo"] = docs[owner], lo - bounds[owner] + bases[owner]
+    out["doc"], out["own"], out["lo"] = docs[owner], own[owner], lo - bounds[owner] + bases[owner]
     out["offset"], out["count"] = place - lo, hi - lo + 1
     return out
 
 
+def text_hash(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "little")
+
+
 def pieces(raw: pa.Array, ids: np.ndarray) -> Iterator[np.ndarray]:
     """The anchors of each CHUNK of the texts."""
-    texts, docs, bases, size = [], [], [], 0
+    texts, docs, bases, owns, size = [], [], [], [], 0
     for i, v in zip(ids.tolist(), raw, strict=True):
         text = v.as_py() or b""
+        own = text_hash(text)
         for base in range(0, max(1, len(text) - SPAN + 1), CHUNK):
             texts.append(text[base : base + CHUNK + SPAN - 1])
             docs.append(i)
             bases.append(base)
+            owns.append(own)
             size += len(texts[-1])
             if size >= CHUNK:
-                yield anchors(texts, np.array(docs), np.array(bases))
-                texts, docs, bases, size = [], [], [], 0
+                yield anchors(texts, np.array(docs), np.array(bases), np.array(owns))
+                texts, docs, bases, owns, size = [], [], [], [], 0
     if texts:
-        yield anchors(texts, np.array(docs), np.array(bases))
+        yield anchors(texts, np.array(docs), np.array(bases), np.array(owns))
+
 
+def later(doc: np.ndarray, start: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which rows lie after the first of their group, where groups lie together in the order of (doc, start). Equal places aren't after each other."""
+    head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    return (doc != doc[head]) | (start != start[head])
 
-def ordered(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """a by gram, span, doc and start; where a gram begins; where a span does."""
-    a = a[np.lexsort((a["lo"], a["doc"], a["span"], a["gram"]))]
+
+def ordered(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """a by gram, span, doc, start and text, each once; where a gram begins; where a span does; what lies after its span's first."""
+    a = a[np.lexsort((a["own"], a["lo"], a["doc"], a["span"], a["gram"]))]
+    new = np.ones(len(a), bool)
+    new[1:] = False
+    for f in ("gram", "span", "doc", "lo", "own"):
+        new[1:] |= a[f][1:] != a[f][:-1]
+    a = a[new]
     gram = np.ones(len(a), bool)
     gram[1:] = a["gram"][1:] != a["gram"][:-1]
     span = gram.copy()
     span[1:] |= a["span"][1:] != a["span"][:-1]
-    return a, gram, span
+    return a, gram, span, later(a["doc"], a["lo"], span)
 
 
 def by_doc(doc: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
@@ -124,7 +143,7 @@ def by_doc(doc: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, list[bytes]]
 
 def marks_of(a: np.ndarray) -> np.ndarray:
     out = np.zeros(len(a), MARK)
-    out["lo"], out["count"] = a["lo"], a["count"]
+    out["own"], out["lo"], out["count"] = a["own"], a["lo"], a["count"]
     return out
 
 
@@ -204,7 +223,9 @@ def repeated_windows(data: np.ndarray, place: np.ndarray, doc: np.ndarray, start
         text = {i: data[place[i] : place[i] + SPAN].tobytes() for i in own.tolist()}
         order[own] = sorted(own.tolist(), key=lambda i: (text[i], turn[i]))
         same[own[:-1]] = [text[i] == text[j] for i, j in zip(order[own[:-1]].tolist(), order[own[1:]].tolist(), strict=True)]
-    return order[1:][same]
+    if not len(order):
+        return order
+    return order[later(doc[order], start[order], np.r_[True, ~same])]
 
 
 FOUND = "doc_id long, marks binary, needs binary"
@@ -220,9 +241,9 @@ def send_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, blob) of the first anchors among SENT bytes; (bucket, doc_id, marks) of what repeats inside of them."""
 
     def packed(every: list[np.ndarray]) -> pa.Table:
-        a, _, first = ordered(np.concatenate(every))
-        again = a[~first]
-        a = a[first]
+        a, _, _, after = ordered(np.concatenate(every))
+        again = a[after]
+        a = a[~after]
         key, parts = dealt(a["gram"], buckets)
         doc, marks = by_doc(again["doc"], marks_of(again))
         blob = [b"".join(np.ascontiguousarray(x[f]).tobytes() for f in ANCHOR.names) for x in (a[p] for p in parts)]
@@ -260,11 +281,11 @@ def unpacked(blob: bytes) -> np.ndarray:
 
 def compare_spans(t: pa.Table) -> pa.Table:
     """A bucket's anchors: marks for all but the first of equal spans, needs for grams with several spans. Marks pass through."""
-    a, gram, first = ordered(np.concatenate([np.zeros(0, ANCHOR), *(unpacked(v.as_py()) for v in t["blob"] if v.is_valid)]))
-    again = a[~first]
+    a, gram, first, after = ordered(np.concatenate([np.zeros(0, ANCHOR), *(unpacked(v.as_py()) for v in t["blob"] if v.is_valid)]))
+    again = a[after]
     group = np.cumsum(gram) - 1
     spans = np.bincount(group[first], minlength=group[-1] + 1) if len(group) else group
-    ask = a[first & (spans[group] > 1)]
+    ask = a[~after & (spans[group] > 1)]
     needs = np.zeros(len(ask), NEED)
     for f in NEED.names:
         needs[f] = ask[f]
@@ -276,16 +297,24 @@ def send_contexts(rows: DataFrame, buckets: int) -> DataFrame:
     """From (doc_id, raw, needs array<binary>), (bucket, contexts, bytes)."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sent = None, set()
         for b in batches:
             some, texts = [], []
             for doc, raw, needs in zip(b.column("doc_id").to_pylist(), b.column("raw"), b.column("needs").to_pylist(), strict=True):
+                if doc != last:
+                    last, sent = doc, set()
+                text = raw.as_py()
+                own = text_hash(text)
+                if own in sent:  # a row that repeats id and text
+                    continue
+                sent.add(own)
                 n = np.frombuffer(b"".join(needs), NEED)
+                n = n[n["own"] == own]
                 c = np.zeros(len(n), CONTEXT)
                 for f in NEED.names:
                     c[f] = n[f]
                 c["doc"] = doc
                 some.append(c)
-                text = raw.as_py()
                 texts += [text[lo : lo + count + SPAN - 1] for lo, count in zip(n["lo"].tolist(), n["count"].tolist(), strict=True)]
             c = np.concatenate([*some, np.zeros(0, CONTEXT)])
             key, parts = dealt(c["gram"], buckets)
@@ -307,11 +336,14 @@ def compare_windows(t: pa.Table) -> pa.Table:
     contexts = np.concatenate([np.frombuffer(v.as_py(), CONTEXT) for v in t["contexts"]])
     data = np.frombuffer(b"".join(v.as_py() for v in t["bytes"]), np.uint8)
     begin = np.cumsum(contexts["count"].astype(np.int64) + SPAN - 1) - (contexts["count"].astype(np.int64) + SPAN - 1)
-    order = np.argsort(contexts["gram"], kind="stable")
+    order = np.lexsort((contexts["own"], contexts["lo"], contexts["doc"], contexts["gram"]))
     contexts, begin = contexts[order], begin[order]
+    once = np.ones(len(contexts), bool)
+    once[1:] = contexts[1:] != contexts[:-1]
+    contexts, begin = contexts[once], begin[once]
     new = np.r_[True, contexts["gram"][1:] != contexts["gram"][:-1]] if len(contexts) else np.zeros(0, bool)
     group = np.cumsum(new)
-    docs, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    docs, starts, owns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
     edges = np.append(np.flatnonzero(new), len(contexts))
     ahead = np.concatenate([[0], np.cumsum(contexts["count"].astype(np.int64))])
     at = 0
@@ -348,19 +380,22 @@ def compare_windows(t: pa.Table) -> pa.Table:
             hit = repeated_windows(data[take], moved[owner] + step, doc, start, run)
             docs.append(doc[hit])
             starts.append(start[hit])
+            owns.append(c["own"][owner][hit])
         at = to
-    doc, start = np.concatenate(docs), np.concatenate(starts)
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)]) if len(doc) else np.zeros(0, np.int64)
+    doc, start, own = np.concatenate(docs), np.concatenate(starts), np.concatenate(owns)
+    order = np.lexsort((start, own, doc))
+    doc, start, own = doc[order], start[order], own[order]
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1)]) if len(doc) else np.zeros(0, np.int64)
     marks = np.zeros(len(first), MARK)
-    marks["lo"], marks["count"] = start[first], np.diff(np.append(first, len(start)))
+    marks["own"], marks["lo"], marks["count"] = own[first], start[first], np.diff(np.append(first, len(start)))
     return found(doc[first], marks, np.zeros(0, np.int64), np.zeros(0, NEED))
 
 
-def removed_spans(marks: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of covered bytes."""
-    m = np.frombuffer(b"".join(marks), MARK)
+def removed_spans(marks: list[bytes], text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of covered bytes; marks of other texts of the id are left out."""
+    m, size = np.frombuffer(b"".join(marks), MARK), len(text)
+    if len(m):
+        m = m[m["own"] == text_hash(text)]
     m = m[np.argsort(m["lo"], kind="stable")]
     lo, hi = m["lo"].astype(np.int64), np.minimum(m["lo"].astype(np.int64) + m["count"] + SPAN - 1, size)
     if not len(lo):
@@ -410,7 +445,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         out: dict[str, list] = {name: [] for name in ADDED}
         for raw, marks in zip(b.column("_raw"), b.column("_marks").to_pylist(), strict=True):
             text = raw.as_py()
-            lo, hi = removed_spans(marks or [], len(text))
+            lo, hi = removed_spans(marks or [], text)
             if characters and len(lo):
                 lo, hi = whole_characters(text, lo, hi)
                 lo, hi = lo[hi > lo], hi[hi > lo]

@@ -66,3 +66,34 @@ def test_characters_stay_whole(spark):
     out = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(df, characters=True).collect()}
     assert bytes(out[2]["kept"]).decode() == "xè" + "z" * 20 and bytes(out[1]["kept"]).decode().startswith("é") and bytes(out[None]["kept"]).decode() == a
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
+
+
+def brute_rows(rows):
+    """For each row what is left: a window goes if it is also at a lower (id, start) of any row."""
+    least = {}
+    for i, t in rows:
+        for p in range(len(t) - 99):
+            w = t[p : p + 100]
+            least[w] = min(least.get(w, (i, p)), (i, p))
+    out = []
+    for i, t in rows:
+        covered = bytearray(len(t))
+        for p in range(len(t) - 99):
+            if least[t[p : p + 100]] < (i, p):
+                covered[p : p + 100] = b"\1" * 100
+        out.append((i, t, bytes(b for b, c in zip(t.encode(), covered, strict=True) if not c)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_rows_that_repeat_an_id(spark, parts):
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    a, b, c, d = noise(700), noise(300), noise(500), noise(400)
+    rows = [(1, a), (1, a), (1, a), (2, noise(40) + a[100:500] + noise(40))]  # the same row, then a later document
+    rows += [(3, b + noise(300)), (3, b + noise(200)), (3, b + noise(200) + c), (4, b), (4, c)]  # one start in several texts of an id
+    rows += [(5, noise(200) + d), (5, noise(150) + d + noise(90)), (6, d), (6, noise(400)), (6, d)]  # other starts; own text beside a repeat
+    rows += [(7, "xy" * 200), (7, "xy" * 200), (7, "xy" * 150 + noise(120))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = sorted((r["doc_id"], r["text"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(df).collect())
+    assert got == brute_rows(rows) and (1, a, a.encode()) in got
