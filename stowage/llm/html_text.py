@@ -4,7 +4,8 @@ Every page is parsed into a tree, and every element subtree that has text is has
 a page once; subtrees on at least min_share of a host's pages (and min_pages of them) are the site's template. Each page is then
 parsed again, next to its host's template hashes, and loses those subtrees. As a host of few pages shows no template,
 elements that HTML itself or their names mark as no content go too: navigation, forms, scripts, adverts, comments
-and the like. What is left of the article (else of the main element, else of the body) is the text, block by block.
+and the like. A name is a whole token of a class or id, or one that is made of such names only; it removes no element that
+holds an article or main element or more than half of the page's text. What is left of the article (else of the main element, else of the body) is the text, block by block.
 
 Defined results: null or empty html has an empty text; a null url belongs to the host ''; unclosed and unknown tags, and
 html that ends inside a tag, are read as far as they go; pages that repeat a page_id are pages of their own; an empty
@@ -102,15 +103,38 @@ def subtree_hashes(node: list, found: dict[int, int]) -> tuple[bytes, bool]:
 
 
 def is_boilerplate(node: list, in_article: bool) -> bool:
+    """Whether HTML itself marks an element as no content."""
     tag, attrs, _ = node
     if tag in NO_TEXT or (tag == "header" and not in_article) or "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "").lower() in ROLES:
         return True
     if tag in ("article", "main", "body", "html"):
         return False
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", re.I):
-        return True
-    names = set(re.split(r"[^a-z]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
-    return bool(names & NAMES or (not in_article and names & HEADS))
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", re.I))
+
+
+def has_name(node: list, in_article: bool) -> bool:
+    """Whether a class or id of an element is a name of no content: 'sidebar' and 'cookie-notice' are, 'has-sidebar' is none."""
+    attrs = node[1]
+    names = NAMES if in_article else NAMES | HEADS
+    tokens = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()
+    return any(parts <= names for t in tokens if (parts := set(re.split(r"[^a-z]+", t)) - {""}))
+
+
+def measure(node: list, repeated: set[int], found: dict[int, tuple[int, bool]]) -> tuple[int, bool]:
+    """The characters of text that an element shows and whether it holds an article or main element; found gets both by node id."""
+    size, holds = 0, False
+    for child in node[2]:
+        if isinstance(child, str):
+            size += len("".join(child.split()))
+        else:
+            own, inner = measure(child, repeated, found)
+            size += own
+            # a comment that is marked up as an article is no article of the page
+            holds |= inner or (child[0] in ("article", "main") and not has_name(child, True))
+    if id(node) in repeated or is_boilerplate(node, True):
+        size, holds = 0, False
+    found[id(node)] = size, holds
+    return size, holds
 
 
 def first_of(node: list, tag: str, drop) -> list | None:
@@ -159,8 +183,20 @@ def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
     if template:
         subtree_hashes(tree, found)
     repeated = {i for i, h in found.items() if h in template}
-    outside = lambda n: id(n) in repeated or is_boilerplate(n, False)
-    inside = lambda n: id(n) in repeated or is_boilerplate(n, True)
+    measured: dict[int, tuple[int, bool]] = {}
+
+    def dropped(node: list, in_article: bool) -> bool:
+        if id(node) in repeated or is_boilerplate(node, in_article):
+            return True
+        if node[0] in ("article", "main", "body", "html") or not has_name(node, in_article):
+            return False
+        if not measured:
+            measure(tree, repeated, measured)
+        size, holds = measured[id(node)]
+        return not holds and 2 * size <= measured[id(tree)][0]
+
+    outside = lambda n: dropped(n, False)
+    inside = lambda n: dropped(n, True)
     parts = list(every_of(tree, "article", outside))
     if not parts and (main := first_of(tree, "main", outside)) is not None:
         parts = [main]

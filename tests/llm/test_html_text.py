@@ -33,3 +33,21 @@ def test_template_goes_by_counting(spark):
 def test_deep_and_odd_html():
     assert html_text.main_text("<div>" * 5000 + "x") == "x"
     assert html_text.main_text("</p></div>" * 10 + "<p>y</b></p>") == "y"
+
+
+TEXT = "<p>The text of the page, which is longer than what stands beside it.</p>"
+WRAPPED = ["content has-sidebar", "content-sidebar-wrap", "site no-menu", "social-studies", "related", "sidebar widget"]
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_wrappers_keep_the_text(name, tag):
+    want = "The text of the page, which is longer than what stands beside it."
+    page = f"<body><div class='sidebar'>links</div><div class='{name}'><{tag}>{TEXT}<div class='share'>share</div></{tag}></div><div id='cookie-notice'>we use</div></body>"
+    assert html_text.main_text(page) == want
+    assert html_text.main_text(page.replace("class='" + name, "id='" + name)) == want
+
+
+def test_comments_marked_up_as_articles():
+    page = f"<main>{TEXT}<div class='comments'><article class='comment'>first!</article></div></main>"
+    assert html_text.main_text(page) == "The text of the page, which is longer than what stands beside it."
