@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import cut
+from stowage.llm.common import cut, cut_and_sum
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,19 +23,21 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
+def counted(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """edges as a table, with figures that tell whether a round has changed them."""
+    return cut_and_sum(edges, n=F.count(F.lit(1)), hash=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, root) for every node of edges (u long, v long); root is the component's smallest node.
 
     Converges in about log2 of the longest path rounds; each is written to the shared folder, which cuts lineage.
     """
-    now = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    sums = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = sums(now)
+    now, before = counted(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(most_rounds):
-        if not before[0]:
+        if not before["n"]:
             break
-        now = cut(star(star(now, True), False))
-        after = sums(now)
+        now, after = counted(star(star(now, True), False))
         if after == before:
             break
         before = after
@@ -43,3 +45,12 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         raise RuntimeError("components did not converge")
     roots = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     return cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
+
+
+def extended(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) once edges are added to the components of roots (node, root): only the roots that they touch are linked anew."""
+    end = lambda c: F.coalesce(f"{c}_root", c).alias(c)
+    lifted = edges.select("u", "v").join(roots.toDF("u", "u_root"), "u", "left").join(roots.toDF("v", "v_root"), "v", "left").select(end("u"), end("v"))
+    upper = connected_components(lifted)
+    every = roots.unionByName(upper.select("node", F.col("node").alias("root"))).distinct()
+    return cut(every.join(upper.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root")))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.common import cut
-from stowage.llm.components import connected_components
+from stowage.llm.components import connected_components, extended
 from stowage.llm.hashing import WORD_GAP, Prefix, joined, mix, powers, runs
 
 SHINGLE, BANDS, ROWS = 5, 25, 5
@@ -253,8 +253,7 @@ def link_classes(classes: DataFrame, texts_of, percent: int) -> DataFrame:
     once = (F.col("v_root") == F.col("main")) | (F.col("u") < F.col("v"))
     near = may_link("left", "right", FINE, percent, most_different_bits(percent, FINE_SAMPLES, FINE_BITS))
     rest = left.join(right, (F.col("key") == F.col("r_key")) & (F.col("u_root") != F.col("v_root")) & once & near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    more = cut(confirmed(rest.join(stars, ["u", "v"], "left_anti"), texts, percent))
-    return connected_components(links.unionByName(more)) if not more.isEmpty() else roots
+    return extended(roots, confirmed(rest.join(stars, ["u", "v"], "left_anti"), texts, percent))
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
