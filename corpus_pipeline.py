@@ -1,18 +1,21 @@
 """A training corpus from raw documents, in five stages; each reads the Parquet table that the one before has written.
 
 All stages but the last return the columns of documents, for every row that they keep.
+
+Defined results: a null text has the score of no word, is no near copy, repeats nothing, stays null and has no ids; rows
+with a null id stay, as no copy of another; rows that repeat an id are judged by their own texts, and a stage that drops
+a document drops all rows of its id; without labels no document is rejected; an empty table gives an empty result; other
+columns of documents don't pass.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm import bpe, mixing, near_dedup, suffix_dedup, toxicity
-from stowage.llm.common import shared_dir, table
+from stowage.llm.common import new_folder, table
 from stowage.llm.queries import byte_bpe
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -57,7 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = new_folder(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
