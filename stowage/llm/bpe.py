@@ -5,8 +5,8 @@ recursive query joins neighbours with the merge table and contracts each piece's
 piece has a pair left. Pieces repeat, so each batch sends only pieces that it hasn't seen. Decoding joins token-position
 rows with the vocabulary and aggregates their bytes in order. Neither step shuffles: every row is encoded where it lies.
 
-The recursive query holds the rows of all rounds, which for a piece of n bytes may be n * n / 2; pieces above
-LONG_PIECE bytes take a heap of pairs instead, with the same result.
+The recursive query is keyed by position: it holds each token's latest state and works on the rows of the last round, so
+memory is linear in the bytes of a batch, however long a piece. A piece of n bytes takes at most n rounds over its live tokens.
 
 Defined results: a null text is empty and has no ids; bytes that aren't UTF-8 survive the round trip; ids that are null
 or outside the vocabulary raise an error; an empty table gives an empty result; other columns pass through unchanged,
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -30,24 +29,22 @@ from pyspark.sql import types as T
 
 from stowage.llm.common import without
 
-LONG_PIECE = 96
-#: Bytes of text that are split and looked up at a time, and pieces that a task remembers.
-CHUNK, REMEMBERED = 2 << 20, 600_000
+#: Bytes of text that are split and looked up at a time, bytes of pieces that one query takes, and pieces that a task remembers.
+CHUNK, BATCH, REMEMBERED = 2 << 20, 1 << 18, 600_000
 
-#: start holds (piece, pos, id); positions run on from piece to piece, so one order serves all.
+#: start holds (piece, pos, id); positions run on from piece to piece, so one order serves all. A token that its left neighbour took in has id -1.
 ENCODE = """
-WITH RECURSIVE step(k, piece, pos, id) AS (
-  SELECT 0, piece, pos, id FROM start
-  UNION ALL
+WITH RECURSIVE step(pos, piece, id, round) USING KEY (pos) AS (
+  SELECT pos, piece, id, 0 FROM start
+  UNION
   (WITH pair AS (
-     SELECT k, piece, pos, id, CASE WHEN lead(piece) OVER w = piece THEN lead(id) OVER w END AS next_id, CASE WHEN lag(piece) OVER w = piece THEN lag(pos) OVER w END AS prev_pos
-     FROM step WINDOW w AS (ORDER BY pos)),
-   ranked AS (SELECT k, piece, pos, id, prev_pos, (merged::BIGINT << 32) | pos AS key FROM pair LEFT JOIN merges ON id = a AND next_id = b),
+     SELECT piece, pos, id, round, CASE WHEN lead(piece) OVER w = piece THEN lead(id) OVER w END AS next_id, CASE WHEN lag(piece) OVER w = piece THEN lag(pos) OVER w END AS prev_pos
+     FROM step WHERE id >= 0 WINDOW w AS (ORDER BY pos)),
+   ranked AS (SELECT piece, pos, id, round, prev_pos, (merged::BIGINT << 32) | pos AS key FROM pair LEFT JOIN merges ON id = a AND next_id = b),
    lowest AS (SELECT piece, min(key) AS best FROM ranked WHERE key IS NOT NULL GROUP BY piece)
-   SELECT k + 1, r.piece, pos, CASE WHEN pos = (best & 4294967295) THEN (best >> 32)::INT ELSE id END
-   FROM ranked r JOIN lowest l ON r.piece = l.piece WHERE prev_pos IS DISTINCT FROM (best & 4294967295))),
-last AS (SELECT piece, max(k) AS k FROM step GROUP BY piece)
-SELECT s.piece, s.id FROM step s JOIN last l ON s.piece = l.piece AND s.k = l.k ORDER BY s.piece, s.pos
+   SELECT pos, r.piece, CASE WHEN pos = (best & 4294967295) THEN (best >> 32)::INT WHEN prev_pos = (best & 4294967295) THEN -1 ELSE id END, round + 1
+   FROM ranked r JOIN lowest l ON r.piece = l.piece))
+SELECT piece, id FROM step WHERE id >= 0 ORDER BY pos
 """
 DECODE = """
 SELECT row, string_agg(vocabulary.chars, '' ORDER BY pos) AS chars, count(*) AS n
@@ -72,33 +69,6 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table({name: np.ascontiguousarray(cols[:, k]) for k, name in enumerate(("a", "b", "merged"))})
 
 
-def merge_long(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """The same merges for one long piece, by a heap of (rank, start) over a linked list."""
-    ends, nexts, prevs = list(range(1, len(piece) + 1)), list(range(1, len(piece) + 1)), list(range(-1, len(piece) - 1))
-    rank_at = lambda i: ranks.get(piece[i : ends[nexts[i]]]) if nexts[i] < len(piece) else None
-    now = [rank_at(i) for i in range(len(piece))]
-    heap = [(r, i) for i, r in enumerate(now) if r is not None]
-    heapq.heapify(heap)
-    while heap:
-        r, i = heapq.heappop(heap)
-        if now[i] != r:
-            continue
-        gone = nexts[i]
-        ends[i], nexts[i], now[gone] = ends[gone], nexts[gone], None
-        if nexts[i] < len(piece):
-            prevs[nexts[i]] = i
-        for j in (i, prevs[i]):
-            if j >= 0:
-                now[j] = rank_at(j)
-                if now[j] is not None:
-                    heapq.heappush(heap, (now[j], j))
-    out, i = [], 0
-    while i < len(piece):
-        out.append(ranks[piece[i : ends[i]]])
-        i = nexts[i]
-    return tuple(out)
-
-
 class Encoder:
     """One task's DuckDB connection with the merge table, and the pieces that it has encoded."""
 
@@ -121,12 +91,13 @@ class Encoder:
             raw = p.encode("utf-8", "surrogateescape")
             if (whole := self.ranks.get(raw)) is not None:
                 self.seen[p] = array("i", (whole,)).tobytes()
-            elif len(raw) > LONG_PIECE:
-                self.seen[p] = array("i", merge_long(raw, self.ranks)).tobytes()
             else:
                 work.append((p, raw))
-        for at in range(0, len(work), 25_000):
-            part = work[at : at + 25_000]
+        upto = np.cumsum([len(raw) for _, raw in work])
+        at = 0
+        while at < len(work):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BATCH, side="right")))
+            part, at = work[at:to], to
             sizes = np.array([len(raw) for _, raw in part])
             ids = self.byte_ids[np.frombuffer(b"".join(raw for _, raw in part), dtype=np.uint8)]
             start = pa.table({"piece": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "pos": np.arange(len(ids), dtype=np.int32), "id": ids})

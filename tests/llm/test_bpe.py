@@ -27,12 +27,18 @@ def test_same_as_the_library(spark, sf_dir, ranks):
         assert r["ids"] == lib.encode_ordinary(text) and bytes(r["decoded"]) == text.encode()
 
 
-def test_long_pieces_merge_as_short_ones(ranks, monkeypatch):
+def test_long_pieces_merge_as_short_ones(ranks):
+    """Pieces of up to 5,000 bytes, beside short ones in the same queries, against the library."""
     rng = random.Random(1)
     coder = bpe.Encoder(ranks, P.PATTERN)
-    for n in (1, 2, 5, 40, 90):
-        piece = "".join(rng.choice("theandingabé") for _ in range(n))
-        assert coder.encode([piece.encode()])[0].tolist() == [x for p in coder.split(piece) for x in ([coder.ranks[p.encode()]] if p.encode() in coder.ranks else bpe.merge_long(p.encode(), coder.ranks))]
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=dict(ranks), special_tokens={})
+    pieces = ["".join(rng.choice("theandingabé") for _ in range(n)) for n in (1, 2, 5, 40, 90, 96, 97, 300, 1000, 5000)]
+    assert [x.tolist() for x in coder.encode([p.encode() for p in pieces])] == [lib.encode_ordinary(p) for p in pieces]
+
+
+def test_no_rows(spark, ranks):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert bpe.decode(bpe.encode(docs, ranks, P.PATTERN), ranks).collect() == []
 
 
 def test_bytes_that_are_not_text(spark, ranks):
