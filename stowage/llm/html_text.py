@@ -1,14 +1,15 @@
 """HTML extraction: main text by removing what a site repeats.
 
-Every page is parsed into a tree, and every element subtree that has text is hashed. The hashes are counted per host,
-a page once; subtrees on at least min_share of a host's pages (and min_pages of them) are the site's template. Each page is then
-parsed again, next to its host's template hashes, and loses those subtrees. As a host of few pages shows no template,
+Every page is parsed into a tree, and every element subtree that has text is hashed. The hashes are counted per host and
+per section of a host (the first part of the path, which often has a layout of its own), a page once; subtrees on at
+least min_share of the pages of either (and min_pages of them) are template. Each page is then parsed again, next to the
+template hashes of its host and section, and loses those subtrees. As a host of few pages shows no template,
 elements that HTML itself or their names mark as no content go too: navigation, forms, scripts, adverts, comments
 and the like. A name is a whole token of a class or id, or one that is made of such names only; it removes no element that
 holds an article or main element or more than half of the page's text. What is left of the article (else of the main element, else of the body) is the text, block by block.
 
 Defined results: null or empty html has an empty text; a null url belongs to the host ''; unclosed and unknown tags, and
-html that ends inside a tag, are read as far as they go; pages that repeat a page_id are pages of their own; an empty
+html that ends inside a tag, are read as far as they go; elements may nest as deeply as they like; pages that repeat a page_id are pages of their own; an empty
 table gives an empty result.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.common import cut
-from stowage.llm.url_filter import url_host
+from stowage.llm.url_filter import url_host, url_path
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
@@ -41,7 +43,8 @@ NAMES = frozenset(
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer share sharing social related recommended comment comments commentlist disqus reply replies respond popup modal overlay widget login signup search pagination skip".split()
 )
 HEADS = frozenset("header masthead topbar".split())
-DEEP = 400
+#: Stands for a whole host where a section is named; no section has it.
+WHOLE = "/"
 
 
 class Tree(HTMLParser):
@@ -51,55 +54,72 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root: list = ["#root", {}, []]
         self.open: list[list] = [self.root]
+        self.tags: Counter[str] = Counter()  # of the open elements
         self.feed(html)
         if re.match(r"<[a-zA-Z/!?]", self.rawdata):  # a tag or comment that never ends is no text
             self.rawdata = ""
         self.close()
 
+    def shut(self, k: int) -> None:
+        self.tags.subtract(n[0] for n in self.open[k:])
+        del self.open[k:]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if closing := CLOSES.get(tag):
+        closing = CLOSES.get(tag, ())
+        if any(self.tags[t] for t in closing):
             scope = SCOPE.get(tag, {"table", "button"} if tag == "p" else {"table"})
             for k in range(len(self.open) - 1, 0, -1):
                 if self.open[k][0] in closing:
-                    del self.open[k:]
+                    self.shut(k)
                     break
                 if self.open[k][0] in scope:
                     break
         node = [tag, dict(attrs), []]
         self.open[-1][2].append(node)
-        if tag not in VOID and len(self.open) < DEEP:
+        if tag not in VOID:
             self.open.append(node)
+            self.tags[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
+        if self.tags[tag]:
+            self.shut(next(k for k in range(len(self.open) - 1, 0, -1) if self.open[k][0] == tag))
 
     def handle_data(self, data: str) -> None:
         self.open[-1][2].append(data)
 
 
-def subtree_hashes(node: list, found: dict[int, int]) -> tuple[bytes, bool]:
-    """The digest of a subtree (tag, text, children) and whether it has text; found gets node id -> hash of those that do."""
-    h, text = hashlib.blake2b(node[0].encode("utf-8", "surrogatepass"), digest_size=8), False
-    for child in node[2]:
-        if isinstance(child, str):
-            words = " ".join(child.split())
-            if words:
-                h.update(b"\x01" + words.encode("utf-8", "surrogatepass"))
-                text = True
-        else:
-            own, has = subtree_hashes(child, found)
-            h.update(b"\x02" + own)
-            text |= has
-    digest = h.digest()
-    if text and node[0] not in ("#root", "html", "body"):
-        found[id(node)] = int.from_bytes(digest, "little", signed=True)
-    return digest, text
+def in_order(tree: list) -> list[list]:
+    """All elements, each before its children."""
+    out, waiting = [], [tree]
+    while waiting:
+        node = waiting.pop()
+        out.append(node)
+        waiting += [c for c in reversed(node[2]) if not isinstance(c, str)]
+    return out
+
+
+def subtree_hashes(tree: list) -> dict[int, int]:
+    """The hash (of tag, text and children) of each element that has text, by node id."""
+    done: dict[int, tuple[bytes, bool]] = {}
+    found: dict[int, int] = {}
+    for node in reversed(in_order(tree)):
+        h, text = hashlib.blake2b(node[0].encode("utf-8", "surrogatepass"), digest_size=8), False
+        for child in node[2]:
+            if isinstance(child, str):
+                if words := " ".join(child.split()):
+                    h.update(b"\x01" + words.encode("utf-8", "surrogatepass"))
+                    text = True
+            else:
+                own, has = done.pop(id(child))
+                h.update(b"\x02" + own)
+                text |= has
+        done[id(node)] = h.digest(), text
+        if text and node[0] not in ("#root", "html", "body"):
+            found[id(node)] = int.from_bytes(done[id(node)][0], "little", signed=True)
+    return found
 
 
 def is_boilerplate(node: list, in_article: bool) -> bool:
@@ -120,69 +140,63 @@ def has_name(node: list, in_article: bool) -> bool:
     return any(parts <= names for t in tokens if (parts := set(re.split(r"[^a-z]+", t)) - {""}))
 
 
-def measure(node: list, repeated: set[int], found: dict[int, tuple[int, bool]]) -> tuple[int, bool]:
-    """The characters of text that an element shows and whether it holds an article or main element; found gets both by node id."""
-    size, holds = 0, False
-    for child in node[2]:
-        if isinstance(child, str):
-            size += len("".join(child.split()))
-        else:
-            own, inner = measure(child, repeated, found)
-            size += own
-            # a comment that is marked up as an article is no article of the page
-            holds |= inner or (child[0] in ("article", "main") and not has_name(child, True))
-    if id(node) in repeated or is_boilerplate(node, True):
+def measure(tree: list, repeated: set[int]) -> dict[int, tuple[int, bool]]:
+    """The characters of text that each element shows and whether it holds an article or main element, by node id."""
+    found: dict[int, tuple[int, bool]] = {}
+    for node in reversed(in_order(tree)):
         size, holds = 0, False
-    found[id(node)] = size, holds
-    return size, holds
-
-
-def first_of(node: list, tag: str, drop) -> list | None:
-    for child in node[2]:
-        if not isinstance(child, str) and not drop(child):
-            if child[0] == tag:
-                return child
-            if (got := first_of(child, tag, drop)) is not None:
-                return got
-    return None
+        for child in node[2]:
+            if isinstance(child, str):
+                size += len("".join(child.split()))
+            else:
+                own, inner = found[id(child)]
+                size += own
+                # a comment that is marked up as an article is no article of the page
+                holds |= inner or (child[0] in ("article", "main") and not has_name(child, True))
+        found[id(node)] = (0, False) if id(node) in repeated or is_boilerplate(node, True) else (size, holds)
+    return found
 
 
-def every_of(node: list, tag: str, drop) -> Iterator[list]:
+def every_of(tree: list, tag: str, drop) -> Iterator[list]:
     """The outermost elements of a tag outside of what is dropped."""
-    for child in node[2]:
-        if not isinstance(child, str) and not drop(child):
-            if child[0] == tag:
-                yield child
-            else:
-                yield from every_of(child, tag, drop)
+    waiting = [tree]
+    while waiting:
+        node = waiting.pop()
+        if node[0] == tag:
+            yield node
+        else:
+            waiting += [c for c in reversed(node[2]) if not isinstance(c, str) and not drop(c)]
 
 
 def blocks_of(node: list, drop, out: list[list[str]]) -> None:
-    for child in node[2]:
-        if isinstance(child, str):
-            out[-1].append(child)
-        elif child[0] in SPACE and not child[2]:
-            out[-1].append(" ")
-        elif drop(child):
-            if child[0] in BLOCK:
-                out.append([])
-        elif child[0] in BLOCK:
-            out.append([])
-            blocks_of(child, drop, out)
-            out.append([])
-        else:
-            if child[0] in SPACE:
+    open_: list[tuple[Iterator, bool]] = [(iter(node[2]), False)]  # children that are still to come, and whether a block ends after them
+    while open_:
+        children, ends = open_[-1]
+        for child in children:
+            if isinstance(child, str):
+                out[-1].append(child)
+            elif child[0] in SPACE and not child[2]:
                 out[-1].append(" ")
-            blocks_of(child, drop, out)
+            elif drop(child):
+                if child[0] in BLOCK:
+                    out.append([])
+            else:
+                if child[0] in BLOCK:
+                    out.append([])
+                elif child[0] in SPACE:
+                    out[-1].append(" ")
+                open_.append((iter(child[2]), child[0] in BLOCK))
+                break
+        else:
+            open_.pop()
+            if ends:
+                out.append([])
 
 
 def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
     """The main text of a page whose host repeats the subtrees of these hashes."""
     tree = Tree(html).root
-    found: dict[int, int] = {}
-    if template:
-        subtree_hashes(tree, found)
-    repeated = {i for i, h in found.items() if h in template}
+    repeated = {i for i, h in subtree_hashes(tree).items() if h in template} if template else set()
     measured: dict[int, tuple[int, bool]] = {}
 
     def dropped(node: list, in_article: bool) -> bool:
@@ -191,14 +205,14 @@ def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
         if node[0] in ("article", "main", "body", "html") or not has_name(node, in_article):
             return False
         if not measured:
-            measure(tree, repeated, measured)
+            measured.update(measure(tree, repeated))
         size, holds = measured[id(node)]
         return not holds and 2 * size <= measured[id(tree)][0]
 
     outside = lambda n: dropped(n, False)
     inside = lambda n: dropped(n, True)
     parts = list(every_of(tree, "article", outside))
-    if not parts and (main := first_of(tree, "main", outside)) is not None:
+    if not parts and (main := next(every_of(tree, "main", outside), None)) is not None:
         parts = [main]
     blocks: list[list[str]] = [[]]
     for part in parts:
@@ -214,34 +228,39 @@ def extract_text(
 ) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
-    A host's template has at most 1 / min_share times the subtrees of a mean page, so its hashes fit one row; counts
+    A host's or section's template has at most 1 / min_share times the subtrees of a mean page, so its hashes fit one row; counts
     combine before their shuffle, and html itself is shuffled only if the template table is too large to broadcast.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), url_host(F.col(url_col)).alias("host"), F.col(html_col).cast("binary").alias("html"))
+    section = F.regexp_extract(url_path(F.col(url_col)), r"^/([^/]*)/", 1)
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), url_host(F.col(url_col)).alias("host"), section.alias("section"), F.col(html_col).cast("binary").alias("html"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, every = [], []
-            for host, raw in zip(b.column("host").to_pylist(), b.column("html"), strict=True):
-                found: dict[int, int] = {}
-                tree = Tree((raw.as_py() or b"").decode("utf-8", "replace")).root
-                subtree_hashes(tree, found)
-                own = set(found.values())
-                hosts += [host] * len(own)
+            which, every = [], []
+            for i, raw in enumerate(b.column("html")):
+                own = set(subtree_hashes(Tree((raw.as_py() or b"").decode("utf-8", "replace")).root).values())
+                which += [i] * len(own)
                 every += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(every, pa.int64())], names=["host", "hash"])
-
-    counts = rows.select("host", "html").mapInArrow(hashes, "host string, hash long").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
-    repeated = counts.join(sizes, "host").filter(F.col("n") >= min_share * F.col("n_pages"))
-    template = cut(repeated.groupBy("host").agg(F.collect_set("hash").alias("template"))).withColumnRenamed("host", "t_host")
+            yield b.select(["host", "section"]).take(pa.array(which, pa.int64())).append_column("hash", pa.array(every, pa.int64()))
+
+    # each page counts for its host and for its section
+    both = F.explode(F.array(F.lit(WHOLE), F.col("section"))).alias("section")
+    counts = rows.select("host", "section", "html").mapInArrow(hashes, "host string, section string, hash long").select("host", both, "hash")
+    counts = counts.groupBy("host", "section", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    sizes = rows.select("host", both).groupBy("host", "section").agg(F.count(F.lit(1)).alias("n_pages"))
+    repeated = counts.join(sizes, ["host", "section"]).filter(F.col("n") >= min_share * F.col("n_pages"))
+    template = cut(repeated.groupBy("host", "section").agg(F.collect_set("hash").alias("template")))
+    of_host = template.filter(F.col("section") == WHOLE).select(F.col("host").alias("t_host"), F.col("template").alias("of_host"))
+    of_section = template.filter(F.col("section") != WHOLE).select(F.col("host").alias("s_host"), F.col("section").alias("s_section"), F.col("template").alias("of_section"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [main_text((raw.as_py() or b"").decode("utf-8", "replace"), frozenset(t or ())) for raw, t in zip(b.column("html"), b.column("template").to_pylist(), strict=True)]
+            known = [frozenset(a or ()).union(c or ()) for a, c in zip(b.column("of_host").to_pylist(), b.column("of_section").to_pylist(), strict=True)]
+            out = [main_text((raw.as_py() or b"").decode("utf-8", "replace"), t) for raw, t in zip(b.column("html"), known, strict=True)]
             out = [t.encode("utf-8", "replace").decode() for t in out]
             yield b.select(["page_id", "url"]).append_column("text", pa.array(out, pa.string())).append_column("n_chars", pa.array([len(t) for t in out], pa.int64()))
 
-    joined = rows.join(template, F.col("host") == F.col("t_host"), "left").select("page_id", "url", "html", "template")
+    joined = rows.join(of_host, F.col("host") == F.col("t_host"), "left").join(of_section, (F.col("host") == F.col("s_host")) & (F.col("section") == F.col("s_section")), "left")
+    joined = joined.select("page_id", "url", "html", "of_host", "of_section")
     kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     return joined.mapInArrow(texts, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long")

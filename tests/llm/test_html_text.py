@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from stowage.llm import html_text
@@ -35,6 +37,40 @@ def test_deep_and_odd_html():
     assert html_text.main_text("</p></div>" * 10 + "<p>y</b></p>") == "y"
 
 
+def test_what_lies_deep_is_still_an_element():
+    assert html_text.main_text("<article>" + "<div>" * 1000 + "<p>kept</p><nav>menu</nav><form>f</form>") == "kept"
+
+
+def repeated_blocks(pages, min_pages=10, share=0.5):
+    """By hand, for pages that are lists of plain paragraphs: those which recur on a host or in a section of it go."""
+    out = []
+    for i, host, section, paragraphs in pages:
+        whole = [p for _, h, _, p in pages if h == host]
+        own = [p for _, h, s, p in pages if (h, s) == (host, section)]
+        often = lambda x, group: sum(x in p for p in group) >= max(min_pages, share * len(group))
+        out.append((i, "\n\n".join(x for x in paragraphs if not any(often(x, g) for g in (whole, own)))))
+    return out
+
+
+def test_template_against_counting_by_hand(spark):
+    """Hosts with a block on all pages, on those of one section, on a few pages of a section and on half of them."""
+    rng = random.Random(4)
+    pages = []
+    for i in range(240):
+        host, section = rng.choice(["a.org", "a.org", "b.net", "small.com"]) if i % 30 else "small.com", rng.choice(["news", "news", "shop", "", "x"])
+        paragraphs = [f"text {i} {k}" for k in range(rng.randrange(1, 4))]
+        blocks = [("of the host", host == "a.org"), ("of the section", section == "shop"), ("now and then", rng.random() < 0.3), ("half", section == "news" and rng.random() < 0.5)]
+        paragraphs += [b for b, here in blocks if here]
+        rng.shuffle(paragraphs)
+        pages.append((i, host, section, paragraphs))
+    url = lambda h, s: f"http://{h}/{s}/p" if s else f"http://{h}/p"
+    rows = [(i, url(h, s), "<body>" + "".join(f"<p>{x}</p>" for x in p)) for i, h, s, p in pages]
+    out = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = repeated_blocks(pages)
+    assert sorted((r["page_id"], r["text"]) for r in out) == want
+    assert any("of the host" in p and "of the host" not in t for (_, _, _, p), (_, t) in zip(pages, want)) and any("now and then" in t for _, t in want)
+
+
 TEXT = "<p>The text of the page, which is longer than what stands beside it.</p>"
 WRAPPED = ["content has-sidebar", "content-sidebar-wrap", "site no-menu", "social-studies", "related", "sidebar widget"]
 
