@@ -62,9 +62,18 @@ WITH c AS (
   SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS turns
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
 l AS (SELECT *, list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant')) AS last FROM c),
-p AS (
-  SELECT a.conv_id AS pair_id, a.turns[1:a.last] AS a, list_concat(a.turns[1:a.last - 1], o.turns[o.last:o.last]) AS b
-  FROM l a JOIN l o ON xor(a.conv_id, 1) = o.conv_id WHERE a.last IS NOT NULL AND o.last IS NOT NULL),
+w AS (
+  SELECT conv_id AS pair_id, turns[1:last] AS a, last, turns[last] AS answer,
+         ('0x' || substr(md5(conv_id::VARCHAR), 1, 8))::BIGINT % (SELECT greatest(1, ceil(count(*) / 4096)::BIGINT) FROM conversations WHERE conv_id IS NOT NULL AND role = 'assistant') AS ring
+  FROM l WHERE last IS NOT NULL),
+x AS (SELECT *, CASE WHEN answer <> lag(answer) OVER (PARTITION BY ring ORDER BY pair_id) THEN answer END AS begins FROM w),
+y AS (
+  SELECT *, first_value(begins IGNORE NULLS) OVER (PARTITION BY ring ORDER BY pair_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS following,
+         first_value(answer) OVER (PARTITION BY ring ORDER BY pair_id) AS lowest,
+         first_value(begins IGNORE NULLS) OVER (PARTITION BY ring ORDER BY pair_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second
+  FROM x),
+z AS (SELECT *, coalesce(following, CASE WHEN lowest <> answer THEN lowest END, CASE WHEN second <> answer THEN second END) AS other FROM y),
+p AS (SELECT pair_id, a, CASE WHEN other IS NULL THEN a[1:last - 1] ELSE list_append(a[1:last - 1], other) END AS b FROM z),
 n AS (SELECT *, coalesce(list_min(list_filter(range(1, greatest(len(a), len(b)) + 1), lambda i: a[i] IS DISTINCT FROM b[i])) - 1, len(a))::INT AS n_common FROM p),
 r AS (
   SELECT pair_id, n_common,

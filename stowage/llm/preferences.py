@@ -7,7 +7,7 @@ empty completions after the whole conversation as prompt; an empty table gives a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,17 +56,28 @@ def format_preferences(pairs: DataFrame, *, pair_id: str = "pair_id", chosen: st
     )
 
 
-def contrast_pairs(turns: DataFrame, **names: str) -> DataFrame:
-    """(pair_id, chosen, rejected) for conversations without preference labels.
+def contrast_pairs(turns: DataFrame, *, ring: int = 4096, **names: str) -> DataFrame:
+    """(pair_id, chosen, rejected) for every conversation that has an assistant turn; without preference labels.
 
-    A conversation up to its last assistant turn is chosen; the same with the last assistant turn of its neighbour
-    (the conversation whose id differs in the lowest bit) in that place is rejected. Without such a turn on both
-    sides there is nothing to prefer, and no pair.
+    A conversation up to its last assistant turn is chosen; the same with another conversation's last assistant turn in
+    that place is rejected. Conversations lie in rings of about `ring` assistant turns by a hash of their id, in the order of their ids;
+    the other is the next one around the ring whose answer differs. Where all answers of a ring are equal, no answer is
+    rejected: the rejected side ends before it.
     """
     convs = conversations_of(turns, **names)
     last = F.size("turns") - F.array_position(F.transform(F.reverse("turns"), lambda t: t["role"] == "assistant"), True) + 1
     convs = convs.withColumn("last", last.cast("int")).filter(F.exists("turns", lambda t: t["role"] == "assistant"))
-    own = convs.select(F.col("conv_id").alias("pair_id"), F.slice("turns", F.lit(1), F.col("last")).alias("chosen"), "last")
-    other = convs.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("other_id"), F.slice("turns", F.col("last"), F.lit(1)).alias("answer"))
-    joined = own.join(other, F.col("pair_id") == F.col("other_id"))
-    return joined.select("pair_id", "chosen", F.concat(F.slice("chosen", F.lit(1), F.col("last") - 1), F.col("answer")).alias("rejected"))
+    answers = turns.filter((F.col(names.get("role", "role")) == "assistant") & F.col(names.get("conv_id", "conv_id")).isNotNull()).count()
+    rings = max(1, -(-answers // ring))
+    digest = F.conv(F.substring(F.md5(F.col("conv_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    own = convs.select(F.col("conv_id").alias("pair_id"), F.slice("turns", F.lit(1), F.col("last")).alias("chosen"), "last", F.element_at("turns", F.col("last")).alias("answer"), (digest % rings).alias("ring"))
+    onward = Window.partitionBy("ring").orderBy("pair_id")
+    backward = Window.partitionBy("ring").orderBy(F.desc("pair_id"))
+    begins = F.col("answer") != F.lag("answer").over(onward)  # a run of equal answers begins here; null at the ring's first
+    changed = own.withColumn("begins", F.when(begins, F.col("answer")))
+    following = F.last("begins", ignorenulls=True).over(backward.rowsBetween(Window.unboundedPreceding, -1))
+    # past the ring's end: its first answer, or the first that differs from that
+    lowest, second = F.last("answer").over(backward.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last("begins", ignorenulls=True).over(backward.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    other = F.coalesce(following, F.when(lowest != F.col("answer"), lowest), F.when(second != F.col("answer"), second))
+    before = F.slice("chosen", F.lit(1), F.col("last") - 1)
+    return changed.withColumn("other", other).select("pair_id", "chosen", F.when(F.col("other").isNull(), before).otherwise(F.concat(before, F.array("other"))).alias("rejected"))
