@@ -29,31 +29,31 @@ FROM p
 """
 
 
-def op6(rounds: int = 6, damping: float = 0.85) -> str:
+def op6(rounds: int = 120, damping: float = 0.85) -> str:
     host = lambda c: f"coalesce(translate(regexp_extract({c}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
     fit = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     rules = [("block", "example.org", "/en/1"), ("block", "example.org", "/es/"), ("allow", "com", "/fr/"), ("block", "com", "/de/"), ("allow", "org", "/")]
     cases = " ".join(f"WHEN {fit(h, p)} THEN '{v} {h}{p}'" for v, h, p in rules)
-    link = r"""(?i)href\s{0,8}=\s{0,8}["'']?\s{0,8}([a-z]{2,10}://[^"''\s<>]+)"""
-    parts = [
-        f"""WITH j AS (SELECT page_id, {host('url')} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
+    href = r"""\s[^>]*?\bhref\s*=\s*["'']?\s*([^"''\s>]+)"""
+    leads = lambda c, relative: f"CASE WHEN regexp_matches({c}, '(?i)^[a-z][a-z0-9+.-]*://') THEN {host(c)} WHEN starts_with({c}, '//') THEN {host(f"('x:' || {c})")} WHEN regexp_matches({c}, '(?i)^[a-z][a-z0-9+.-]*:') THEN '' ELSE {relative} END"
+    # a round's additions alone: their sum over all rounds is the score
+    series = lambda name, edges, kind: f"""{name}_k AS (
+  SELECT 0 AS k, host, {1 - damping}::DOUBLE AS score FROM h WHERE 2 * {kind} > n UNION ALL
+  SELECT k + 1, dst, sum({damping}::DOUBLE * share * score) FROM {name}_k JOIN {edges} ON src = host WHERE k < {rounds} GROUP BY k, dst),
+{name} AS (SELECT host, sum(score) AS score FROM {name}_k GROUP BY host)"""
+    return f"""WITH RECURSIVE j AS (SELECT page_id, {host('url')} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(html, '') AS html FROM pages),
 f AS (SELECT *, CASE {cases} END AS found FROM j),
 h AS (SELECT host, count(*) AS n, count(*) FILTER (found LIKE 'allow %') AS good, count(*) FILTER (found LIKE 'block %') AS bad FROM f WHERE host <> '' GROUP BY host),
-x AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS link FROM j),
-y AS (SELECT src, {host('link')} AS dst FROM x),
+x AS (SELECT host AS src, regexp_extract(html, '(?i)<base{href}', 1) AS base, unnest(regexp_extract_all(html, '(?i)<a(?:rea)?{href}', 1)) AS link FROM j),
+y AS (SELECT src, {leads('link', leads('base', 'src'))} AS dst FROM x),
 e AS (SELECT src, dst, count(*) AS n FROM y WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
 fw AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM e),
 bw AS (SELECT dst AS src, src AS dst, n / sum(n) OVER (PARTITION BY dst) AS share FROM e),
-t0 AS (SELECT host, {1 - damping}::DOUBLE AS score FROM h WHERE 2 * good > n),
-b0 AS (SELECT host, {1 - damping}::DOUBLE AS score FROM h WHERE 2 * bad > n)"""
-    ]
-    for name, edges in (("t", "fw"), ("b", "bw")):
-        for k in range(1, rounds + 1):
-            parts.append(f"{name}{k} AS (SELECT host, sum(score) AS score FROM (SELECT * FROM {name}0 UNION ALL SELECT dst, {damping}::DOUBLE * share * score FROM {edges} JOIN {name}{k - 1} ON src = host) GROUP BY host)")
-    return ",\n".join(parts) + f"""
+{series('t', 'fw', 'good')},
+{series('b', 'bw', 'bad')}
 SELECT page_id, f.host, path, substr(found, 7) AS rule,
        coalesce(substr(found, 1, 5), CASE WHEN coalesce(b.score, 0) > coalesce(t.score, 0) THEN 'block' ELSE 'allow' END) AS verdict
-FROM f LEFT JOIN t{rounds} t ON f.host = t.host LEFT JOIN b{rounds} b ON f.host = b.host
+FROM f LEFT JOIN t ON f.host = t.host LEFT JOIN b ON f.host = b.host
 """
 
 

@@ -51,3 +51,39 @@ def test_segments_have_hysteresis():
     assert (level[[2, 3, 4, 6, 7]] > media.LOW).all()
     got = media.active_segments(e)
     assert got.tolist()[0] == [2, 5] and len(got) == (2 if level[6] > media.HIGH else 1)
+
+
+def test_features_against_the_formulas():
+    """Resampling as zero stuffing, one convolution and decimation; mel energies by a plain Fourier sum; segments by a walk. Over several blocks of frames."""
+    rng = np.random.default_rng(2)
+    for size in (192, 192 * 7, 192 * (media.BLOCK + 3)):
+        raw = bytes((128 + 60 * np.sin(np.arange(size) / 9) * (rng.random(size) > 0.3) * (np.arange(size) // 3000 % 2)).astype(np.uint8))
+        mels, energy = media.log_mel(raw)
+        x = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
+        stuffed = np.zeros(len(x) * media.UP)
+        stuffed[:: media.UP] = x
+        y = np.convolve(stuffed, media.FILTER.astype(np.float64))[media.UP * (media.TAPS - 1 - media.TAPS // 2) :: media.DOWN]
+        length = -(-size * media.UP // media.DOWN)
+        frames = max(1, -(-(length - media.FRAME) // media.HOP) + 1)
+        assert mels.shape == (frames, media.MELS) and len(energy) == frames
+        y = np.concatenate([y, np.zeros(frames * media.HOP + media.FRAME)])
+        bins = np.exp(-2j * np.pi * np.outer(np.arange(media.FRAME), np.arange(media.FRAME // 2 + 1)) / media.FRAME)
+        hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(media.FRAME) / media.FRAME)
+        for f in sorted({0, 1, frames // 2, frames - 2, frames - 1} & set(range(frames))):
+            cut = y[f * media.HOP : f * media.HOP + media.FRAME]
+            power = np.abs((cut * hann) @ bins) ** 2
+            assert np.allclose(mels[f], np.log(power @ media.BANK + 1e-6), atol=2e-2) and abs(energy[f] - np.log((cut * cut).mean() + 1e-6)) < 1e-2
+        level, walk, begun, loud = energy - energy.mean(), [], None, False
+        for f in range(frames + 1):
+            if f < frames and level[f] > media.LOW:
+                begun, loud = f if begun is None else begun, loud or level[f] > media.HIGH
+            elif begun is not None:
+                walk += [[begun, f]] if loud else []
+                begun, loud = None, False
+        assert media.active_segments(energy).tolist() == walk
+
+
+def test_null_ids_and_clashing_names(spark):
+    df = spark.createDataFrame([(None, "abc", "x")], "doc_id long, text string, Tensors string")
+    r = media.audio_features(media.store_audio(df)).first()
+    assert r["doc_id"] is None and r["payload_bytes"] == 192 and isinstance(r["tensors"], bytearray) and r["segments"] == []

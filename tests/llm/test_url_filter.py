@@ -17,3 +17,29 @@ def test_links_carry_distrust(spark):
     out = {r["page_id"]: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [out[i]["verdict"] for i in (1, 2, 3, 4, 5)] == ["block", "block", "allow", "allow", "block"]
     assert out[4]["trust"] > 0 and out[2]["distrust"] > out[5]["distrust"] > 0
+
+
+PAGES = "page_id long, url string, html string"
+
+
+def test_links_of_every_form(spark):
+    rows = [
+        (1, "http://a.net/x", "<a href='http://B.net/y'>", {"b.net"}), (2, "http://a.net/x", '<A class="x"\n HREF  =   "  //c.net/y?z">', {"c.net"}), (3, "http://a.net/x", "<a href=/y><a href=mailto:m@d.net><a href='y://'>", set()),
+        (4, "http://a.net/x", "<base href='http://e.net/b/'><a href=rel/x>", {"e.net"}), (5, "http://a.net/x", "<area href=git+ssh-longer.scheme://f.net#x><link href='http://no.net/s.css'>", {"f.net"}),
+        (6, "http://a.net/x", "<a " + "x=1 " * 50 + "href" + " " * 20 + "=" + " " * 20 + "'http://g.net'>", {"g.net"}), (7, None, "<a href='http://b.net'>", set()), (8, "http://a.net", None, set()),
+    ]
+    for i, url, html, want in rows:
+        out = url_filter.host_edges(spark.createDataFrame([(i, url, html)], PAGES), "url", "html").collect()
+        assert {r["dst"] for r in out} == want, i
+
+
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    """Against the same sums in Python, run until nothing changes; rows that repeat are judged alike."""
+    rows = [(0, "http://bad.com/de/1", "")] + [(i, f"http://f{i}.net/a", f"<a href='http://{'bad.com' if i == 1 else f'f{i - 1}.net'}/'><a href='http://side{i}.net'>") for i in range(1, 26)]
+    rows += [(i, url, html) for i, url, html in rows if i % 5 == 0]
+    out = {r["page_id"]: r for r in url_filter.filter_urls(spark.createDataFrame(rows, PAGES)).collect()}
+    want, score = {}, 0.15
+    for i in range(1, 26):
+        score *= 0.85
+        want[i] = score
+    assert all(abs(out[i]["distrust"] - want[i]) < 1e-5 and out[i]["verdict"] == "block" for i in want)
