@@ -86,4 +86,4 @@ def test_features_against_the_formulas():
 def test_null_ids_and_clashing_names(spark):
     df = spark.createDataFrame([(None, "abc", "x")], "doc_id long, text string, Tensors string")
     r = media.audio_features(media.store_audio(df)).first()
-    assert r["doc_id"] is None and r["payload_bytes"] == 192 and isinstance(r["tensors"], bytearray) and r["segments"] == []
+    assert r["doc_id"] is None and r["payload_bytes"] == 192 and len(r["tensors"]) > 0 and r["segments"] == []
