@@ -1,4 +1,4 @@
-"""Broadcasts behind a check of size."""
+"""Broadcasts behind a check of size, and searches in blocks."""
 
 from __future__ import annotations
 
@@ -9,3 +9,14 @@ from pyspark.sql import functions as F
 def small(df: DataFrame, most: int = 20_000) -> DataFrame:
     """df with a broadcast hint if it has at most `most` rows, else df as it is: the join is then planned by size alone."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def against(asked: DataFrame, rows: DataFrame, block: int = 500) -> DataFrame:
+    """Each of a stated set of asked rows beside each of rows, in blocks of about `block` rows of hashed order.
+
+    A join on the block's number: asked rows are sent once a block, rows once. Top-k windows on the result prune each task's part before they shuffle.
+    """
+    blocks = max(1, -(-rows.count() // block))
+    left = asked.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = rows.withColumn("_block", F.pmod(F.xxhash64(*rows.columns[:1]), F.lit(blocks)).cast("int"))
+    return left.join(right, "_block").drop("_block")

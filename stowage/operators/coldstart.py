@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import exprs as X
-from stowage.functions.bounds import small
+from stowage.functions.bounds import against
 
 
 def priors(rows: DataFrame, value: str, tier: str = "tier", station: str = "station") -> DataFrame:
@@ -42,22 +42,18 @@ def route_vector(r: dict[str, Column]) -> Column:
 
 
 def similar(new: DataFrame, known: DataFrame, k: int = 5, kernel: str = "rbf", bandwidth: float = 1.0) -> DataFrame:
-    """(id, other, weight): the k most similar of known for each of new, weights summing to 1.
-
-    known is the register of routes, a bounded dimension (its size is an airline's network), and goes to every task.
-    """
-    pairs = new.select("id", "x").join(small(known.select(F.col("id").alias("other"), F.col("x").alias("ox"))), F.col("id") != F.col("other"))
+    """(id, other, weight): the k most similar of known for each of new, weights summing to 1; known is searched in blocks."""
+    pairs = against(new.select("id", "x"), known.select(F.col("id").alias("other"), F.col("x").alias("ox"))).filter(F.col("id") != F.col("other"))
     pairs = pairs.withColumn("s", X.similarity(F.col("x"), F.col("ox"), kernel, bandwidth))
     top = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "other"))).filter(F.col("_r") <= k)
     total = F.sum("s").over(Window.partitionBy("id"))
     return top.select("id", "other", F.when(total > 0, F.col("s") / total).otherwise(F.col("s")).alias("weight"))
 
 
-def similarity_matrix(routes: DataFrame, kernel: str = "rbf", bandwidth: float = 1.0) -> DataFrame:
-    """All pairs a < b of a bounded register; the other half is the same and the diagonal 1."""
-    other = routes.select(F.col("id").alias("b"), F.col("x").alias("bx"))
-    pairs = routes.select(F.col("id").alias("a"), F.col("x").alias("ax")).join(small(other), F.col("a") < F.col("b"))
-    return pairs.select("a", "b", X.similarity(F.col("ax"), F.col("bx"), kernel, bandwidth).alias("similarity"))
+def similarity_matrix(asked: DataFrame, routes: DataFrame, kernel: str = "rbf", bandwidth: float = 1.0) -> DataFrame:
+    """(a, b, similarity): the matrix rows of the asked routes, against all others; the diagonal is 1."""
+    pairs = against(asked.select(F.col("id").alias("a"), F.col("x").alias("ax")), routes.select(F.col("id").alias("b"), F.col("x").alias("bx")))
+    return pairs.filter(F.col("a") != F.col("b")).select("a", "b", X.similarity(F.col("ax"), F.col("bx"), kernel, bandwidth).alias("similarity"))
 
 
 def transfer(weights: DataFrame, forecasts: DataFrame, scale: float = 1.0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,17 +33,30 @@ def rolling(series: DataFrame, key: str, day: str, value: str, widths: tuple[int
     return rows.withColumns({f"cv_{k}": F.coalesce(F.try_divide(F.col(f"std_{k}"), F.col(f"mean_{k}")), F.lit(0.0)) for k in widths})
 
 
-def ewma(series: DataFrame, key: str, day: str, value: str, spans: tuple[int, ...] = SPANS, depth: int = 12) -> DataFrame:
-    """Adjusted exponentially weighted means. Rows whose weight is below exp(-2 * depth) of the first don't change a double's
-    six digits and are left out, so each row reads depth * (span + 1) rows and not its whole past."""
-    rows = series
+def ewma(series: DataFrame, key: str, day: str, value: str, spans: tuple[int, ...] = SPANS) -> DataFrame:
+    """Adjusted exponentially weighted means over each row's whole past; a null value has no weight.
+
+    A sum of x * w**(t - i) is w**t times a running sum of x * w**-i, which would overflow on a long series. So rows lie
+    in blocks in which w**-i stays below 1e100, and a block adds what the one before it ended with; from two blocks before
+    comes less than 1e-100 of that.
+    """
+    order = Window.partitionBy(key).orderBy(day)
+    rows = series.withColumn("_i", F.row_number().over(order) - 1)
     for span in spans:
-        alpha = 2 / (span + 1)
-        w = Window.partitionBy(key).orderBy(day).rowsBetween(-depth * (span + 1), 0)
-        zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
-        fold = F.aggregate(F.collect_list(F.col(value).cast("double")).over(w), zero, lambda a, x: F.struct((a["n"] * (1 - alpha) + x).alias("n"), (a["d"] * (1 - alpha) + 1).alias("d")), lambda a: a["n"] / a["d"])
-        rows = rows.withColumn(f"ewm_{span}", fold)
-    return rows
+        keep = 1 - 2 / (span + 1)
+        if not keep:
+            rows = rows.withColumn(f"ewm_{span}", F.col(value).cast("double"))
+            continue
+        size = int(-230 / math.log(keep))
+        place = F.col("_i") % size
+        rows = rows.withColumn("_b", F.floor(F.col("_i") / size))
+        inside = Window.partitionBy(key, "_b").orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
+        for name, x in (("_n", F.col(value).cast("double")), ("_d", F.when(F.col(value).isNotNull(), 1.0))):
+            rows = rows.withColumn(name, F.coalesce(F.sum(x * F.pow(F.lit(keep), -place)).over(inside), F.lit(0.0)) * F.pow(F.lit(keep), place))
+        before = lambda c: F.coalesce(F.last(F.when(place == size - 1, F.col(c)), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        both = [F.col(c) + before(c) * F.pow(F.lit(keep), place + 1) for c in ("_n", "_d")]
+        rows = rows.withColumn(f"ewm_{span}", F.try_divide(*both)).drop("_b", "_n", "_d")
+    return rows.drop("_i")
 
 
 def calendar(series: DataFrame, day: str) -> DataFrame:

@@ -7,23 +7,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions.bounds import small
+from stowage.functions.shared import cut
 
 
-CLOSURE = """
-WITH RECURSIVE up(node, leaf) AS (
-  SELECT DISTINCT child, child FROM {edges} WHERE child NOT IN (SELECT parent FROM {edges} WHERE parent IS NOT NULL)
-  UNION ALL
-  SELECT e.parent, up.leaf FROM up JOIN {edges} AS e ON e.child = up.node)
-SELECT DISTINCT node, leaf FROM up
-"""
+def closure(edges: DataFrame, most_levels: int = 100) -> DataFrame:
+    """(node, leaf): every node with each leaf below it, a leaf with itself; from (child, parent), a join for each level.
 
-
-def closure(edges: DataFrame) -> DataFrame:
-    """(node, leaf): every node with each leaf below it, a leaf with itself; from (child, parent), by one recursive query.
-
-    A hierarchy that has a cycle ends at Spark's limit of recursion levels with an error.
+    There is no bound on rows; more than most_levels levels, or a cycle, are an error.
     """
-    return edges.sparkSession.sql(CLOSURE, edges=edges.select("child", "parent"))
+    e = cut(edges.filter("child IS NOT NULL AND parent IS NOT NULL").select("child", "parent").distinct())
+    every = level = e.join(e.select(F.col("parent").alias("child")), "child", "left_anti").select(F.col("child").alias("node"), F.col("child").alias("leaf")).distinct()
+    for _ in range(most_levels):
+        level = cut(level.join(e, F.col("node") == F.col("child")).select(F.col("parent").alias("node"), "leaf").distinct())
+        if level.isEmpty():
+            return every.distinct()
+        every = every.unionByName(level)
+    raise ValueError(f"the hierarchy has a cycle or more than {most_levels} levels")
 
 
 def bottom_up(forecasts: DataFrame, edges: DataFrame, value: str = "yhat", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -94,6 +93,47 @@ def reconcile(forecasts: DataFrame, nodes: list[str], p: np.ndarray, value: str
     return forecasts.join(matrix, "node").groupBy(F.col("to").alias("node"), *keys).agg(F.sum(F.col("weight") * F.col(value)).alias(value))
 
 
+def reconcile_tree(forecasts: DataFrame, edges: DataFrame, value: str = "yhat", method: str = "wls_structural", most_levels: int = 100) -> DataFrame:
+    """Coherent forecasts (node, value) of a tree of any size by least squares, "ols" or "wls_structural"; no matrix is formed.
+
+    On a tree the normal equations solve in two passes of joins. Upwards each node joins its own forecast with the sum
+    of its children's estimates, both by their precision; downwards a node's surplus over that sum goes to the children
+    by their variance. forecasts has a row for every node.
+    """
+    if method not in ("ols", "wls_structural"):
+        raise ValueError(f"unknown method: {method}")
+    e = cut(edges.filter("child IS NOT NULL AND parent IS NOT NULL").select("child", "parent").distinct())
+    levels, level = [], e.join(e.select(F.col("child").alias("parent")), "parent", "left_anti").select(F.col("parent").alias("node")).distinct()
+    while not level.isEmpty():
+        levels.append(level)
+        if len(levels) > most_levels:
+            raise ValueError(f"the hierarchy has a cycle or more than {most_levels} levels")
+        level = cut(level.join(e, F.col("node") == F.col("parent")).select(F.col("child").alias("node")))
+    base = cut(forecasts.select("node", F.col(value).cast("double").alias("own")))
+    below, estimates = None, []
+    for level in reversed(levels):
+        rows = level.join(base, "node")
+        if below is not None:
+            sums = below.join(e, F.col("node") == F.col("child")).groupBy(F.col("parent").alias("of")).agg(F.sum("mean").alias("total"), F.sum("var").alias("spread"), F.sum("leaves").alias("below"))
+            rows = rows.join(sums, F.col("node") == F.col("of"), "left").drop("of")
+        else:
+            rows = rows.withColumns({"total": F.lit(None).cast("double"), "spread": F.lit(None).cast("double"), "below": F.lit(None).cast("long")})
+        leaves = F.coalesce("below", F.lit(1).cast("long"))
+        own_var = leaves.cast("double") if method == "wls_structural" else F.lit(1.0)
+        var = F.when(F.col("spread").isNull(), own_var).otherwise(1 / (1 / F.col("spread") + 1 / own_var))
+        mean = F.when(F.col("spread").isNull(), F.col("own")).otherwise(var * (F.col("total") / F.col("spread") + F.col("own") / own_var))
+        below = cut(rows.select("node", mean.alias("mean"), var.alias("var"), "total", "spread", leaves.alias("leaves")))
+        estimates.append(below)
+    final = estimates.pop().select("node", F.col("mean").alias("value"), "total", "spread")
+    out = final
+    while estimates:
+        surplus = final.select(F.col("node").alias("of"), ((F.col("value") - F.col("total")) / F.col("spread")).alias("surplus"))
+        rows = estimates.pop().join(e, F.col("node") == F.col("child")).join(surplus, F.col("parent") == F.col("of"))
+        final = cut(rows.select("node", (F.col("mean") + F.col("var") * F.col("surplus")).alias("value"), "total", "spread"))
+        out = out.unionByName(final)
+    return out.select("node", F.col("value").alias(value))
+
+
 def reconciled_covariance(s: np.ndarray, p: np.ndarray, covariance: np.ndarray) -> np.ndarray:
     return p @ covariance @ p.T
 

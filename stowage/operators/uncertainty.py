@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import exprs as X
-from stowage.functions.bounds import small
+from stowage.functions.bounds import against
 
 
 def conformal_level(n: Column, alpha: float) -> Column:
@@ -43,8 +43,8 @@ def conformalized_quantiles(calibration: DataFrame, rows: DataFrame, keys: list[
 def local_conformal(calibration: DataFrame, queries: DataFrame, k: int = 100, alpha: float = 0.1) -> DataFrame:
     """(query_id, q): the level's quantile of the k calibration scores nearest in features.
 
-    calibration (cal_id, x array, score) is a bounded calibration set; its distances are computed beside each query.
+    calibration (cal_id, x array, score) is searched in blocks, each of which keeps its k nearest.
     """
-    pairs = queries.crossJoin(small(calibration.withColumnRenamed("x", "cx"))).withColumn("d", X.euclidean(F.col("x"), F.col("cx")))
+    pairs = against(queries, calibration.withColumnRenamed("x", "cx")).withColumn("d", X.euclidean(F.col("x"), F.col("cx")))
     near = pairs.withColumn("_k", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "cal_id"))).filter(F.col("_k") <= k)
     return score_quantile(near, ["query_id"], F.col("score"), alpha)

@@ -231,11 +231,11 @@ def route_groups(spark, sf_dir):
     return rounded(flights.by_route(B.flights(spark, sf_dir).withColumn("demand", F.col("units"))), 4)
 
 
-@query("""WITH h AS (SELECT DISTINCT event_type AS station, date_trunc('hour', ts) AS hour FROM events WHERE event_type = 'click')
+@query("""WITH h AS (SELECT DISTINCT event_type AS station, date_trunc('hour', ts) AS hour FROM events)
 SELECT h.station, h.hour, count(e.ts) FILTER (abs(epoch(e.ts)::BIGINT - epoch(h.hour)::BIGINT) < 3600) AS flights FROM h LEFT JOIN (SELECT event_type AS station, date_trunc('second', ts) AS ts FROM events) e ON e.station = h.station AND e.ts > h.hour - INTERVAL 2 HOUR AND e.ts < h.hour + INTERVAL 2 HOUR GROUP BY ALL""")
 def range_join_hourly(spark, sf_dir):
     e = B.table(spark, sf_dir, "events").select(F.col("event_type").alias("station"), "ts")
-    hours = e.filter("station = 'click'").select("station", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).distinct()
+    hours = e.select("station", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).distinct()
     return flights.movements_near(hours, e, "ts")
 
 
@@ -377,7 +377,7 @@ def rolling_features(spark, sf_dir):
     return rounded(features.rolling(B.demand(spark, sf_dir), "k", "d", "y").drop("y"))
 
 
-@query(f"""WITH o AS (SELECT k, d, list(y) OVER (PARTITION BY k ORDER BY d ROWS BETWEEN 96 PRECEDING AND CURRENT ROW) AS a FROM {DEMAND})
+@query(f"""WITH o AS (SELECT k, d, list(y) OVER (PARTITION BY k ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a FROM {DEMAND})
 SELECT k, d, round(list_sum(list_transform(a, lambda x, i: x * power(0.75::DOUBLE, len(a) - i))) / list_sum(list_transform(a, lambda x, i: power(0.75::DOUBLE, len(a) - i))), 4) AS ewm_7 FROM o""")
 def ewma(spark, sf_dir):
     return rounded(features.ewma(B.demand(spark, sf_dir), "k", "d", "y", spans=(7,)).select("k", "d", "ewm_7"), 4)
@@ -534,12 +534,12 @@ def conformalized_quantiles(spark, sf_dir):
     return rounded(uncertainty.conformalized_quantiles(p.filter(F.col("d") < at), p.filter(F.col("d") >= at).drop("y", "yhat"), ["k"]).select("k", "d", "lower", "upper", "point"), 4)
 
 
-@query(f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), c AS (SELECT vec_id, x, (label % 7)::DOUBLE AS score FROM e JOIN embeddings USING (vec_id) WHERE vec_id % 4 <> 0), q AS (SELECT * FROM e WHERE vec_id % 50 = 0),
+@query(f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), c AS (SELECT vec_id, x, (label % 7)::DOUBLE AS score FROM e JOIN embeddings USING (vec_id)), q AS (SELECT * FROM e WHERE vec_id % 50 = 0),
 n AS (SELECT q.vec_id AS query_id, c.score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.x, c.x), c.vec_id) AS r FROM q, c QUALIFY r <= 100)
 SELECT query_id, round(q, 6) AS q FROM {sql_rank_quantile('score', 'n', 'query_id')}""")
 def local_conformal(spark, sf_dir):
     e = B.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), (F.col("label") % 7).cast("double").alias("score"))
-    cal = e.filter("vec_id % 4 <> 0").select(F.col("vec_id").alias("cal_id"), "x", "score")
+    cal = e.select(F.col("vec_id").alias("cal_id"), "x", "score")
     return rounded(uncertainty.local_conformal(cal, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "x")))
 
 
@@ -575,14 +575,33 @@ def top_down(spark, sf_dir):
     return rounded(hierarchy.top_down(total, past, keys=("k",)))
 
 
-@query()
+WLS = """(WITH li AS (SELECT 's' || s_suppkey AS s, 'n' || s_nationkey AS n, 'r' || n_regionkey AS r, l_quantity AS q FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+tree AS (SELECT 's' || s_suppkey AS s, 'n' || s_nationkey AS n, 'r' || n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+y AS (SELECT s AS node, sum(q) / 7.0::DOUBLE AS y FROM li GROUP BY 1 UNION ALL SELECT n, sum(q) / 7.0::DOUBLE FROM li GROUP BY 1 UNION ALL SELECT r, 1.1::DOUBLE * sum(q) / 7.0::DOUBLE FROM li GROUP BY 1 UNION ALL SELECT 'all', sum(q) / 7.0::DOUBLE FROM li),
+base AS (SELECT node, coalesce(y, 0) AS y FROM (SELECT DISTINCT unnest([s, n, r, 'all']) AS node FROM tree) LEFT JOIN y USING (node)),
+s AS (SELECT DISTINCT t.s, t.n, y AS mean, 1.0::DOUBLE AS var, 1 AS leaves FROM tree t JOIN base ON node = t.s),
+n0 AS (SELECT s.n, any_value(t.r) AS r, sum(mean) AS total, sum(var) AS spread, sum(leaves) AS leaves FROM s JOIN (SELECT DISTINCT n, r FROM tree) t ON t.n = s.n GROUP BY 1),
+n AS (SELECT *, 1 / (1 / spread + 1 / leaves) AS var, (total / spread + y / leaves) / (1 / spread + 1 / leaves) AS mean FROM n0 JOIN base ON node = n),
+r0 AS (SELECT r, sum(mean) AS total, sum(var) AS spread, sum(leaves) AS leaves FROM n GROUP BY 1),
+r AS (SELECT *, 1 / (1 / spread + 1 / leaves) AS var, (total / spread + y / leaves) / (1 / spread + 1 / leaves) AS mean FROM r0 JOIN base ON node = r),
+a0 AS (SELECT sum(mean) AS total, sum(var) AS spread, sum(leaves) AS leaves FROM r),
+a AS (SELECT total, spread, (total / spread + y / leaves) / (1 / spread + 1 / leaves) AS v FROM a0 JOIN base ON node = 'all'),
+rv AS (SELECT r, r.total, r.spread, mean + var * (a.v - a.total) / a.spread AS v FROM r, a),
+nv AS (SELECT n, n.total, n.spread, mean + var * (rv.v - rv.total) / rv.spread AS v FROM n JOIN rv ON rv.r = n.r)
+SELECT 'all' AS node, v FROM a UNION ALL SELECT r, v FROM rv UNION ALL SELECT n, v FROM nv UNION ALL SELECT s, mean + var * (nv.v - nv.total) / nv.spread FROM s JOIN nv ON nv.n = s.n)"""
+
+
+@query(f"SELECT node, round(v, 6) AS yhat FROM {WLS}")
 def reconcile_wls(spark, sf_dir):
-    pairs = [(x["node"], x["leaf"]) for x in hierarchy.closure(edges(spark, sf_dir).filter("parent NOT LIKE 'n%'")).collect()]
-    nodes, _, s = hierarchy.summing_matrix(pairs)
-    li = B.table(spark, sf_dir, "lineitem").join(B.table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(B.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    levels = F.explode(F.array(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), F.lit("all")))
-    base = li.select(levels.alias("node"), "l_quantity").groupBy("node").agg((F.sum("l_quantity") * F.when(F.col("node").startswith("r"), 1.1).otherwise(1.0)).alias("yhat"))
-    return rounded(hierarchy.reconcile(base, nodes, hierarchy.projection(s, "wls_structural")), 4)
+    tree = edges(spark, sf_dir)
+    s, n = B.table(spark, sf_dir, "supplier"), B.table(spark, sf_dir, "nation")
+    li = B.table(spark, sf_dir, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    levels = F.explode(F.array(tag("s", "s_suppkey"), tag("n", "n_nationkey"), tag("r", "n_regionkey"), F.lit("all")))
+    base = li.select(levels.alias("node"), "l_quantity").groupBy("node").agg((F.sum("l_quantity") * F.when(F.col("node").startswith("r"), 1.1).otherwise(1.0) / 7.0).alias("yhat"))
+    nodes = tree.select(F.col("child").alias("node")).unionByName(tree.select(F.col("parent").alias("node"))).distinct()
+    base = nodes.join(base, "node", "left").na.fill(0.0, ["yhat"])
+    return rounded(hierarchy.reconcile_tree(base, tree))
 
 
 # ---- anomalies ----
@@ -620,13 +639,13 @@ def isolation_forest(spark, sf_dir):
 
 
 # ---- cold start and models ----
-COLD = "(SELECT n_regionkey AS tier, n_name AS station, s_acctbal AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 <> 0)"
+COLD = "(SELECT n_regionkey AS tier, n_name AS station, s_acctbal AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
 PRIORS = f"(SELECT CASE WHEN grouping(tier) = 1 AND grouping(station) = 1 THEN 'global' WHEN grouping(station) = 1 THEN 'tier' ELSE 'station' END AS level, tier, station, avg(v) AS mean, var_samp(v) AS var, count(v) AS n FROM {COLD} GROUP BY GROUPING SETS ((), (tier), (station)))"
 
 
 def cold_rows(spark, sf_dir):
     s, n = B.table(spark, sf_dir, "supplier"), B.table(spark, sf_dir, "nation")
-    return s.filter("s_suppkey % 3 <> 0").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("tier"), F.col("n_name").alias("station"), F.col("s_acctbal").alias("v"))
+    return s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("tier"), F.col("n_name").alias("station"), F.col("s_acctbal").alias("v"))
 
 
 @query(f"SELECT level, tier, station, round(mean, 4) AS mean, round(var, 4) AS var, n FROM {PRIORS}")
@@ -636,41 +655,46 @@ def hierarchical_prior(spark, sf_dir):
 
 @query(f"""WITH p AS {PRIORS}, k AS (SELECT n_name AS station, n_regionkey AS tier FROM nation), g AS (SELECT k.station, k.tier, CASE WHEN s.station IS NOT NULL THEN s.mean WHEN t.tier IS NOT NULL THEN t.mean ELSE g.mean END AS pm, CASE WHEN s.station IS NOT NULL THEN s.var WHEN t.tier IS NOT NULL THEN t.var ELSE g.var END AS pv
 FROM k LEFT JOIN p s ON s.level = 'station' AND s.station = k.station LEFT JOIN p t ON t.level = 'tier' AND t.tier = k.tier JOIN p g ON g.level = 'global'),
-d AS (SELECT n_name AS station, count(*) AS n, avg(c_acctbal) AS m, var_pop(c_acctbal) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 = 1 GROUP BY 1),
+d AS (SELECT n_name AS station, count(*) AS n, avg(c_acctbal) AS m, var_pop(c_acctbal) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
 j AS (SELECT g.station, pm, pv, coalesce(n, 0) AS n, m, greatest(coalesce(pv, 1e-6), 1e-6) AS fp, CASE WHEN n > 1 THEN greatest(v, 1e-6) ELSE greatest(coalesce(pv, 1e-6), 1e-6) END AS dv FROM g LEFT JOIN d ON d.station = g.station)
 SELECT station, round(CASE WHEN n > 0 THEN (pm / fp + n * m / dv) / (1 / fp + n / dv) ELSE pm END, 4) AS mean, round(CASE WHEN n > 0 THEN 1 / (1 / fp + n / dv) ELSE pv END, 4) AS var FROM j""")
 def posterior(spark, sf_dir):
     n, c = B.table(spark, sf_dir, "nation"), B.table(spark, sf_dir, "customer")
     prior = coldstart.prior_of(n.select(F.col("n_name").alias("station"), F.col("n_regionkey").alias("tier")), coldstart.priors(cold_rows(spark, sf_dir), "v"))
-    data = c.filter("c_custkey % 50 = 1").join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("station")).agg(F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("m"), F.var_pop("c_acctbal").alias("v"))
+    data = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("station")).agg(F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("m"), F.var_pop("c_acctbal").alias("v"))
     rows = prior.join(data, "station", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     mean, var = coldstart.posterior(F.col("prior_mean"), F.col("prior_var"), F.col("n"), F.col("m"), F.col("v"))
     return rows.select("station", r(mean, 4).alias("mean"), r(var, 4).alias("var"))
 
 
-def vectors(spark, sf_dir, where: str) -> DataFrame:
-    return B.table(spark, sf_dir, "embeddings").filter(where).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+def vectors(spark, sf_dir) -> DataFrame:
+    return B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+
+
+def asked(spark, sf_dir) -> DataFrame:
+    """The query set of searches: every row whose id is divisible by 50, against all rows."""
+    return vectors(spark, sf_dir).filter("id % 50 = 0")
 
 
-VEC = "(SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings WHERE {})"
-SIMILAR = f"(SELECT id, other, CASE WHEN sum(s) OVER (PARTITION BY id) > 0 THEN s / sum(s) OVER (PARTITION BY id) ELSE s END AS weight FROM (SELECT a.id, b.id AS other, exp(-power(list_distance(a.x, b.x), 2) / 2) AS s FROM {VEC.format('vec_id % 20 = 0')} a JOIN {VEC.format('vec_id % 5 = 1')} b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY s DESC, b.id) <= 5))"
+VEC = "(SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings)"
+SIMILAR = f"(SELECT id, other, CASE WHEN sum(s) OVER (PARTITION BY id) > 0 THEN s / sum(s) OVER (PARTITION BY id) ELSE s END AS weight FROM (SELECT a.id, b.id AS other, exp(-power(list_distance(a.x, b.x), 2) / 2) AS s FROM {VEC} a JOIN {VEC} b ON a.id % 50 = 0 AND a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY s DESC, b.id) <= 5))"
 
 
 @query(f"SELECT id, other, round(weight, 6) AS weight FROM {SIMILAR}")
 def similar_routes(spark, sf_dir):
-    return rounded(coldstart.similar(vectors(spark, sf_dir, "vec_id % 20 = 0"), vectors(spark, sf_dir, "vec_id % 5 = 1")))
+    return rounded(coldstart.similar(asked(spark, sf_dir), vectors(spark, sf_dir)))
 
 
 @query(f"SELECT id, step, round(1.5 * sum(weight * yhat), 4) AS yhat FROM {SIMILAR} w JOIN (SELECT vec_id AS other, unnest(range(3))::INT AS step, (label + 1) * 10.0 + step AS yhat FROM embeddings) f ON f.other = w.other GROUP BY ALL")
 def transfer_forecast(spark, sf_dir):
-    w = coldstart.similar(vectors(spark, sf_dir, "vec_id % 20 = 0"), vectors(spark, sf_dir, "vec_id % 5 = 1"))
+    w = coldstart.similar(asked(spark, sf_dir), vectors(spark, sf_dir))
     f = B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("other"), "label", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("step"))
     return rounded(coldstart.transfer(w, f.select("other", "step", ((F.col("label") + 1) * 10.0 + F.col("step")).alias("yhat")), 1.5), 4)
 
 
-@query(f"SELECT a.id AS a, b.id AS b, round(coalesce(list_cosine_similarity(a.x, b.x), 0), 5) AS similarity FROM {VEC.format('vec_id < 100')} a JOIN {VEC.format('vec_id < 100')} b ON a.id < b.id")
+@query(f"SELECT a.id AS a, b.id AS b, round(coalesce(list_cosine_similarity(a.x, b.x), 0), 5) AS similarity FROM {VEC} a JOIN {VEC} b ON a.id % 50 = 0 AND a.id <> b.id")
 def similarity_matrix(spark, sf_dir):
-    return rounded(coldstart.similarity_matrix(vectors(spark, sf_dir, "vec_id < 100"), "cosine"), 5)
+    return rounded(coldstart.similarity_matrix(asked(spark, sf_dir), vectors(spark, sf_dir), "cosine"), 5)
 
 
 @query("""WITH d AS (SELECT user_id, count(*) AS n, avg(value) AS own FROM events GROUP BY 1), w AS (SELECT *, least(1.0, n / 100.0::DOUBLE) AS w FROM d)

@@ -162,3 +162,40 @@ def test_models_fit(spark):
     q = models.quantile_forest(rows, rows.limit(5), ["x"], "y", [0.1, 0.9], trees=3).first()
     assert q["q_0.1"] <= q["q_0.9"]
     assert "prediction" in models.seasonal_regression(rows, ["x"], "y").transform(rows).columns
+
+
+def test_ewma_reads_the_whole_past(spark):
+    """Series of 1,000 rows with nulls, over several blocks, against pandas."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(50, 20, 1000)
+    values = [None if i % 97 == 5 else float(v) for i, v in enumerate(x)]
+    rows = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "k string, d int, y double")
+    spans = (1, 2, 3, 7, 28, 2000)
+    got = features.ewma(rows, "k", "d", "y", spans).orderBy("d").toPandas()
+    for span in spans[1:]:
+        want = pd.Series([np.nan if v is None else v for v in values]).ewm(span=span, adjust=True).mean()
+        assert np.allclose(got[f"ewm_{span}"], want, rtol=1e-9)
+
+
+def test_tree_reconciles_as_the_matrix_does(spark):
+    """An uneven tree against the projection by dense matrices."""
+    pairs = [("r", "a"), ("r", "b"), ("r", "x"), ("a", "a1"), ("a", "a2"), ("b", "b1"), ("b1", "b11"), ("b1", "b12"), ("b1", "b13")]
+    edges = spark.createDataFrame([(c, p) for p, c in pairs], "child string, parent string")
+    nodes, _, s = hierarchy.summing_matrix([(x["node"], x["leaf"]) for x in hierarchy.closure(edges).collect()])
+    rng = np.random.default_rng(3)
+    y = {n: float(v) for n, v in zip(nodes, rng.normal(10, 3, len(nodes)))}
+    base = spark.createDataFrame(list(y.items()), "node string, yhat double")
+    for method in ("ols", "wls_structural"):
+        want = dict(zip(nodes, hierarchy.projection(s, method) @ np.array([y[n] for n in nodes])))
+        got = {x["node"]: x["yhat"] for x in hierarchy.reconcile_tree(base, edges, method=method).collect()}
+        assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-9 for n in want)
+
+
+def test_closure_beyond_a_million_rows(spark):
+    leaf = F.col("id").cast("string")
+    edges = spark.range(400_000).select(leaf.alias("child"), F.concat(F.lit("g"), (F.col("id") % 100).cast("string")).alias("parent"))
+    edges = edges.unionByName(spark.range(100).select(F.concat(F.lit("g"), leaf).alias("child"), F.lit("all").alias("parent")))
+    assert hierarchy.closure(edges).count() == 1_200_000
+    loop = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b")], "child string, parent string")
+    with pytest.raises(ValueError, match="cycle"):
+        hierarchy.closure(loop, most_levels=5)
