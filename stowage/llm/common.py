@@ -2,46 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
+from stowage.functions.shared import cut, new_folder, shared_dir
+
+__all__ = ["ascii_lower", "cut", "cut_and_sum", "new_folder", "shared_dir", "table", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set and all run on this machine, as in tests."""
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that driver and executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='stowage-')}"
-        spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder.rstrip("/")
-
-
-def new_folder(spark: SparkSession, kind: str) -> str:
-    """A path in the shared folder that goes when the driver ends."""
-    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = new_folder(spark, "cut")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def cut_and_sum(df: DataFrame, **sums: Column) -> tuple[DataFrame, dict]:
     """cut, with aggregates over df that the same pass takes."""
     seen = Observation()
