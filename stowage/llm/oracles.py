@@ -122,5 +122,23 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN c ON c.doc_id = w.doc_id
 """
 
 
+#: Windows of 100 bytes as 200 hexadecimal digits; of equal ones all but the first by (doc_id, start) mark their bytes.
+OP5 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+n AS (SELECT r, doc_id, h, (length(h) // 2)::BIGINT AS n FROM d),
+w AS (SELECT r, doc_id, s, md5_number(substr(h, 2 * s + 1, 200)) AS m FROM (SELECT r, doc_id, h, unnest(range(0, n - 99)) AS s FROM n WHERE n >= 100 AND doc_id IS NOT NULL)),
+m AS (SELECT r, s FROM w QUALIFY (doc_id, s) > first_value((doc_id, s)) OVER (PARTITION BY m ORDER BY doc_id, s)),
+g AS (SELECT r, s, CASE WHEN s > lag(s) OVER (PARTITION BY r ORDER BY s) + 100 THEN 1 ELSE 0 END AS new FROM m),
+i AS (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS run FROM g),
+p AS (SELECT r, run, min(s) AS a, max(s) + 100 AS b FROM i GROUP BY ALL),
+k AS (SELECT r, a AS cut, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS begin, a AS stop FROM p
+  UNION ALL SELECT p.r, any_value(n.n), max(b), any_value(n.n) FROM p JOIN n ON n.r = p.r GROUP BY p.r),
+t AS (SELECT k.r, string_agg(substr(n.h, 2 * k.begin + 1, 2 * (k.stop - k.begin)), '' ORDER BY k.begin) AS kept FROM k JOIN n ON n.r = k.r GROUP BY k.r),
+c AS (SELECT r, sum(b - a)::BIGINT AS removed, count(*) AS spans FROM p GROUP BY r)
+SELECT n.doc_id, n.n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM n LEFT JOIN t ON t.r = n.r LEFT JOIN c ON c.r = n.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op3_minhash_near_dedup": OP3, "op6_url_filter": op6(), "op7_format_preferences": OP7, "op8_exact_topk": OP8}
+    return {"op1_mix_sources": OP1, "op3_minhash_near_dedup": OP3, "op5_suffix_dedup": OP5, "op6_url_filter": op6(), "op7_format_preferences": OP7, "op8_exact_topk": OP8}
