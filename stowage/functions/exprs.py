@@ -191,6 +191,38 @@ def interpolated(ordered: Column, level: Column) -> Column:
     return low + (p - lo) * (F.element_at(ordered, F.least(lo + 2, F.size(ordered))) - low)
 
 
+def urgency_hours(required_by: Column, as_of: Column) -> Column:
+    """Hours from as_of to a deadline, negative once it has passed."""
+    return (F.unix_micros(required_by.cast("timestamp")) - F.unix_micros(as_of.cast("timestamp"))) / 3.6e9
+
+
+#: South, north, west and east end of the map; width, height, left and top of its continental part; share of width that narrows with latitude. Fixed values.
+MAP_BOUNDS, MAP_BOX, MAP_NARROW = (24.5, 49.5, -125.0, -66.0), (920.0, 550.0, 250.0, 100.0), (0.85, 0.15)
+
+
+def map_point(latitude: Column, longitude: Column) -> Column:
+    """Struct of x and y on the map of stations: linear in both, narrower to the north."""
+    (south, north, west, east), (width, height, left, top), (narrow, rest) = MAP_BOUNDS, MAP_BOX, MAP_NARROW
+    x = left + (longitude - west) / (east - west) * width * (F.cos(F.radians(latitude)) * narrow + rest)
+    y = top + (1 - (latitude - south) / (north - south)) * height
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def number_text(v: Column) -> Column:
+    """1234.5678 as 1,234.568: up to three decimals."""
+    return F.call_function("format_number", v, F.lit("#,##0.###"))
+
+
+def percent_text(v: Column) -> Column:
+    """0.123 as 12.3%."""
+    return F.format_string("%.1f%%", v * 100)
+
+
+def date_text(at: Column) -> Column:
+    """Jan 5, 02:30 PM."""
+    return F.date_format(at, "MMM d, hh:mm a")
+
+
 def register(spark: SparkSession) -> None:
     """SQL names for the formulas that SQL users reach for."""
     spark.sql(

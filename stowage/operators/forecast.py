@@ -92,3 +92,42 @@ def network_imbalance(flows: DataFrame, initial: float = 200.0) -> DataFrame:
 def priority_stations(first: DataFrame, top_n: int = 5) -> DataFrame:
     short = F.when(F.col("imbalance_q50") < 0, F.abs("imbalance_q50")).otherwise(0.0)
     return first.withColumn("estimated_shortage", short).orderBy(F.desc("shortage_probability"), "station_id").limit(top_n)
+
+
+def supply_by_type(rows: DataFrame, mix: Sequence[tuple[str, float]], stock: str = "stock") -> DataFrame:
+    """Each row for each (type, share) of the mix: the share of the stock, not in whole units, and its band."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(t).alias("uld_type"), F.lit(s).alias("share")) for t, s in mix]))
+    out = rows.withColumn("_k", kinds).select(*rows.columns, "_k.*").withColumn("type_point", F.col(stock) * F.col("share"))
+    return out.withColumn("type_band", X.band(F.col("type_point"), F.greatest(F.lit(1.0), 0.15 * F.col("type_point"))))
+
+
+def imbalance_by_type(rows: DataFrame, demand_mix: Sequence[tuple[str, float]], supply_mix: Sequence[tuple[str, float]], demand: str = "demand", stock: str = "stock") -> DataFrame:
+    """Each row for each type in both mixes: bands of demand, supply and their difference, which may be below zero.
+
+    A row holds its demand and stock, and the mixes are fixed dimensions, so the inner join on types needs no shuffle.
+    """
+    own = dict(supply_mix)
+    both = [(t, s, own[t]) for t, s in demand_mix if t in own]
+    kinds = F.explode(F.array(*[F.struct(F.lit(t).alias("uld_type"), F.lit(d).alias("_d"), F.lit(s).alias("_s")) for t, d, s in both]))
+    out = rows.withColumn("_k", kinds).select(*rows.columns, "_k.*")
+    d, s = (F.col(demand) * F.col("_d")).cast("int").cast("double"), F.col(stock) * F.col("_s")
+    out = out.withColumns({"demand_band": X.band(d, F.greatest(F.lit(1.0), 0.2 * d)), "supply_band": X.band(s, F.greatest(F.lit(1.0), 0.15 * s))})
+    return out.withColumn("imbalance_band", imbalance(F.col("supply_band"), F.col("demand_band"))[0]).drop("_d", "_s")
+
+
+def station_states(first: DataFrame) -> DataFrame:
+    """Each station as short, as one with a surplus, or neither: a short one is in no list of surpluses."""
+    state = F.when(F.col("shortage_probability") > 0.5, "shortage").when(F.col("imbalance_q50") > 10, "surplus").otherwise("balanced")
+    return first.withColumn("state", state)
+
+
+def chart(demand: DataFrame, supply: DataFrame, key: str = "station", time: str = "forecast_time") -> DataFrame:
+    """Demand periods beside the supply periods of the same place in their series; 0 where supply ends earlier.
+
+    supply: key, time and value columns whose names demand doesn't have.
+    """
+    place = F.row_number().over(Window.partitionBy(key).orderBy(time))
+    values = [c for c in supply.columns if c not in (key, time)]
+    right = supply.withColumn("_i", place).select(key, "_i", *values)
+    out = demand.withColumn("_i", place).join(right, [key, "_i"], "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in values}).drop("_i")

@@ -37,6 +37,14 @@ def quantile_forest(train: DataFrame, rows: DataFrame, features: list[str], labe
     return rows.join(means, "id", "left")
 
 
+def point_and_band(train: DataFrame, rows: DataFrame, features: list[str], label: str, levels: list[float], *, rounds: int = 20, trees: int = 20, depth: int = 5, seed: int = 42) -> DataFrame:
+    """rows (with id) and point by boosting, a quantile for each level, lower and upper: those of the least and greatest level."""
+    model = gradient_boosting(train, features, label, rounds=rounds, depth=depth, seed=seed)
+    point = model.transform(rows).withColumnRenamed("prediction", "point").drop("features")
+    out = quantile_forest(train, point, features, label, levels, trees=trees, depth=depth, seed=seed)
+    return out.withColumns({"lower": F.col(f"`q_{min(levels)}`"), "upper": F.col(f"`q_{max(levels)}`")})
+
+
 def seasonal_regression(train: DataFrame, features: list[str], label: str, alpha: float = 1.0):
     """Trend, Fourier terms and regressors by ridge regression: a fitted pipeline with column prediction."""
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), LinearRegression(labelCol=label, regParam=alpha / max(1, train.count()), elasticNetParam=0.0, standardization=False)]).fit(train)

@@ -54,6 +54,46 @@ def station_plan(recs: DataFrame) -> DataFrame:
     return out.join(into, "station", "full").na.fill(0)
 
 
+def plan_flags(recs: DataFrame, allocations: DataFrame | None = None) -> DataFrame:
+    """Per station: number of actions (moves out, moves in, allocations) and whether a move is critical.
+
+    recs: origin, destination, priority. allocations: station.
+    """
+    ends = recs.select(F.explode(F.array("origin", "destination")).alias("station"), (F.col("priority") == "critical").alias("critical"))
+    if allocations is not None:
+        ends = ends.unionByName(allocations.select("station", F.lit(False).alias("critical")))
+    return ends.groupBy("station").agg(F.count(F.lit(1)).alias("action_count"), F.coalesce(F.bool_or("critical"), F.lit(False)).alias("has_critical"))
+
+
+def action_plan(stocks: DataFrame, recs: DataFrame, as_of: Column, allocations: DataFrame | None = None, valid_hours: int = 4) -> DataFrame:
+    """Per station of stocks: moves, flags, validity, and for each type the stock left when demand is met.
+
+    stocks: station, uld_type, demand, supply, one row a type. recs: origin, destination, quantity, cost, benefit, priority.
+    A station's array of types is as long as the list of types.
+    """
+    units = [F.col(c).cast("int") for c in ("demand", "supply")]
+    left = F.struct("uld_type", units[0].alias("demand"), units[1].alias("supply"), F.greatest(F.lit(0), units[1] - units[0]).alias("end_inventory"))
+    types = stocks.groupBy("station").agg(F.array_sort(F.collect_list(left)).alias("types"))
+    out = types.join(station_plan(recs), "station", "left").join(plan_flags(recs, allocations), "station", "left")
+    out = out.na.fill(0).na.fill(False, ["has_critical"])
+    return out.withColumns({"generated_at": as_of, "valid_until": as_of + F.make_dt_interval(hours=F.lit(valid_hours))})
+
+
+def optimizer_totals(first: DataFrame, recs: DataFrame, status: str = "feasible", least: float = 0.3) -> DataFrame:
+    """One row: cost of the shortages to be feared, of transport and of handling, their sum, units moved, status.
+
+    first: imbalance_q05, shortage_probability of each station. recs: quantity, method. Both are summed before they meet.
+    """
+    feared = F.when(F.col("shortage_probability") > least, F.abs("imbalance_q05") * SHORTAGE * F.col("shortage_probability")).otherwise(0.0)
+    zero = F.lit(0.0)
+    shortage = first.agg(F.sum(feared).alias("shortage_cost"), zero.alias("transport_cost"), zero.alias("handling_cost"), F.lit(0).cast("long").alias("units_moved"))
+    transport = F.when(F.col("method") == "ground", GROUND).otherwise(FLIGHT) * F.col("quantity")
+    moves = recs.agg(zero.alias("shortage_cost"), F.sum(transport).alias("transport_cost"), F.sum(HANDLING * 2 * F.col("quantity")).alias("handling_cost"), F.sum("quantity").cast("long").alias("units_moved"))
+    sums = shortage.unionByName(moves).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in shortage.columns])
+    total = F.col("shortage_cost") + F.col("transport_cost") + F.col("handling_cost")
+    return sums.withColumns({"total_system_cost": total, "solver_status": F.lit(status), "is_optimal": F.lit(status == "optimal")})
+
+
 def summary(recs: DataFrame) -> DataFrame:
     counts = [F.count_if(F.col("priority") == p).alias(p) for p in ("critical", "high", "medium", "low")]
     return recs.agg(F.count(F.lit(1)).alias("recommendations"), *counts, F.sum("quantity").alias("quantity"), F.sum("total_cost").alias("cost"), F.sum("total_benefit").alias("benefit"), F.sum("net_benefit").alias("net"))

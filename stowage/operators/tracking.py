@@ -88,3 +88,14 @@ def decayed_confidence(source: Column, age_hours: Column) -> Column:
     """100 less 4 an hour for pings, 95 less 8 for flight events, 100 less 10 for scans, 0 at least."""
     raw = F.when(source == "geolocation", 100 - 4 * age_hours).when(source == "flight_event", 95 - 8 * age_hours).when(source == "scan", 100 - 10 * age_hours).otherwise(0.0)
     return F.greatest(raw, F.lit(0.0))
+
+
+def day_movements(rows: DataFrame, extra_out: Column, extra_in: Column, per_flight: int = 8) -> DataFrame:
+    """A day's stock after its wide-body flights: units out and in (flights times 8 and the given deviations, 0 at least), total, serviceable.
+
+    rows: total, serviceable, departure_flights, arrival_flights.
+    """
+    moved = lambda n, e: F.greatest(F.lit(0), F.col(n) * per_flight + e)
+    out = rows.withColumns({"units_out": moved("departure_flights", extra_out), "units_in": moved("arrival_flights", extra_in)})
+    change = F.col("units_in") - F.col("units_out")
+    return out.withColumns({"total": F.col("total") + change, "serviceable": F.greatest(F.lit(0), F.col("serviceable") + change)})

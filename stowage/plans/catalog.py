@@ -130,6 +130,33 @@ def demand_horizon(spark, sf_dir):
     return out.select("station", "forecast_time", "uld_type", "demand", F.col("type_point").alias("type_q50"), r("type_band.q05").alias("type_q05"), r("type_band.q95").alias("type_q95"))
 
 
+BY_TYPE = f"""(SELECT station_id, forecast_time, uld_type, trunc(demand * share)::DOUBLE AS d, stock * share AS s FROM {STOCK}, (VALUES {sql_values(dims.TYPE_MIX)}) m(uld_type, share))"""
+SPREAD = "sqrt(power((s + 0.675::DOUBLE * ss - greatest(0, s - 0.675::DOUBLE * ss)) / 1.35::DOUBLE, 2) + power((d + 0.675::DOUBLE * sd - greatest(0, d - 0.675::DOUBLE * sd)) / 1.35::DOUBLE, 2))"
+
+
+@query(f"""SELECT station_id, forecast_time, uld_type, d AS demand_q50, round(s, 4) AS supply_q50, round(s - d, 4) AS imbalance_q50, round(s - d - 1.645::DOUBLE * {SPREAD}, 4) AS imbalance_q05, round(s - d + 1.645::DOUBLE * {SPREAD}, 4) AS imbalance_q95
+FROM (SELECT *, greatest(1.0::DOUBLE, 0.2::DOUBLE * d) AS sd, greatest(1.0::DOUBLE, 0.15::DOUBLE * s) AS ss FROM {BY_TYPE})""")
+def imbalance_by_type(spark, sf_dir):
+    rows = forecast.running_stock(B.hourly_flows(spark, sf_dir), ["station_id"], ["forecast_time"], F.col("arrivals") - F.col("departures"), 200.0)
+    out = forecast.imbalance_by_type(rows, dims.TYPE_MIX, dims.TYPE_MIX)
+    four = [r(f"{a}_band.{q}", 4).alias(f"{a}_{q}") for a, q in (("supply", "q50"), ("imbalance", "q50"), ("imbalance", "q05"), ("imbalance", "q95"))]
+    return out.select("station_id", "forecast_time", "uld_type", F.col("demand_band.q50").alias("demand_q50"), *four)
+
+
+@query(f"SELECT station_id, CASE WHEN shortage_probability > 0.5 THEN 'shortage' WHEN imbalance_q50 > 10 THEN 'surplus' ELSE 'balanced' END AS state, imbalance_q50 FROM {FIRST}")
+def station_states(spark, sf_dir):
+    return forecast.station_states(first_imbalance(spark, sf_dir)).select("station_id", "state", "imbalance_q50")
+
+
+@query(f"""WITH d AS (SELECT station_id AS station, forecast_time, demand, row_number() OVER (PARTITION BY station_id ORDER BY forecast_time) AS i FROM {FLOWS}),
+s AS (SELECT station_id AS station, arrivals, departures, row_number() OVER (PARTITION BY station_id ORDER BY forecast_time) AS i FROM {FLOWS} WHERE forecast_time < TIMESTAMP '2024-01-20')
+SELECT d.station, forecast_time, demand, coalesce(arrivals, 0) AS arrivals, coalesce(departures, 0) AS departures FROM d LEFT JOIN s ON s.station = d.station AND s.i = d.i""")
+def chart_merge(spark, sf_dir):
+    rows = B.hourly_flows(spark, sf_dir).withColumnRenamed("station_id", "station")
+    supply = rows.filter(F.col("forecast_time") < F.lit("2024-01-20").cast("timestamp_ntz")).select("station", "forecast_time", "arrivals", "departures")
+    return forecast.chart(rows.select("station", "forecast_time", "demand"), supply)
+
+
 # ---- tracking ----
 @query(f"SELECT uld_id, station, ts, id, value FROM {POSITIONS} QUALIFY row_number() OVER (PARTITION BY uld_id ORDER BY ts DESC, id DESC) = 1")
 def latest_position(spark, sf_dir):
@@ -352,6 +379,34 @@ def greedy_flow(spark, sf_dir):
     return recommend.move_economics(moves, networks)
 
 
+@query(f"""WITH c AS (SELECT coalesce(sum(CASE WHEN shortage_probability > 0.3 THEN abs(imbalance_q05) * 500 * shortage_probability ELSE 0 END), 0) AS shortage FROM {FIRST}),
+m AS (SELECT sum(CASE WHEN method = 'ground' THEN 150 ELSE 50 END * quantity)::DOUBLE AS transport, sum(50.0::DOUBLE * quantity) AS handling, sum(quantity)::BIGINT AS units FROM {RECS})
+SELECT round(shortage, 2) AS shortage_cost, transport AS transport_cost, handling AS handling_cost, units AS units_moved, round(shortage + transport + handling, 2) AS total_system_cost, 'feasible' AS solver_status, false AS is_optimal FROM c, m""")
+def optimizer_totals(spark, sf_dir):
+    return rounded(recommend.optimizer_totals(first_imbalance(spark, sf_dir), recs(spark, sf_dir)), 2)
+
+
+@query(f"""WITH t AS (SELECT (o_custkey % 10)::VARCHAR AS station, {TYPES} AS uld_type, count(*)::INT AS supply, (sum(o_orderkey % 4) // 2)::INT AS demand FROM orders GROUP BY ALL),
+p AS (SELECT station, count(*) AS action_count, coalesce(bool_or(critical), false) AS has_critical FROM (SELECT origin AS station, priority = 'critical' AS critical FROM {COSTS} UNION ALL SELECT destination, priority = 'critical' FROM {COSTS}
+UNION ALL SELECT (o_custkey % 10)::VARCHAR, false FROM orders WHERE o_orderkey % 11 < 8) GROUP BY station),
+o AS (SELECT origin AS station, sum(quantity)::BIGINT AS units_out FROM {RECS} GROUP BY 1), i AS (SELECT destination AS station, sum(quantity)::BIGINT AS units_in FROM {RECS} GROUP BY 1)
+SELECT t.station, uld_type, demand, supply, greatest(0, supply - demand) AS end_inventory, coalesce(units_out, 0) AS units_out, coalesce(units_in, 0) AS units_in, coalesce(action_count, 0) AS action_count, coalesce(has_critical, false) AS has_critical, {AS_OF} + INTERVAL 4 HOUR AS valid_until
+FROM t LEFT JOIN p ON p.station = t.station LEFT JOIN o ON o.station = t.station LEFT JOIN i ON i.station = t.station""")
+def action_plan(spark, sf_dir):
+    station = (F.col("o_custkey") % 10).cast("string").alias("station")
+    kind = F.element_at(F.array(*[F.lit(t) for t, _ in dims.TYPE_MIX]), (F.col("o_custkey") % 5 + 1).cast("int")).alias("uld_type")
+    orders = B.table(spark, sf_dir, "orders")
+    stocks = orders.groupBy(station, kind).agg(F.count(F.lit(1)).alias("supply"), F.floor(F.sum(F.col("o_orderkey") % 4) / 2).alias("demand"))
+    moves = recs(spark, sf_dir).withColumnsRenamed({"total_cost": "cost", "total_benefit": "benefit"})
+    plan = recommend.action_plan(stocks, moves, B.as_of(), orders.filter(F.col("o_orderkey") % 11 < 8).select(station))
+    return plan.withColumn("t", F.explode("types")).select("station", "t.uld_type", "t.demand", "t.supply", "t.end_inventory", "units_out", "units_in", "action_count", "has_critical", "valid_until")
+
+
+@query(f"SELECT rec_id, round((epoch_us(o_orderdate::TIMESTAMP) - epoch_us({AS_OF})) / 3.6e9, 6) AS urgency_hours FROM {RECS}")
+def urgency(spark, sf_dir):
+    return recs(spark, sf_dir).select("rec_id", r(X.urgency_hours(F.col("o_orderdate"), B.as_of())).alias("urgency_hours"))
+
+
 # ---- features ----
 @query(f"""SELECT k, d, isodow(d) - 1 AS day_of_week, day(d) AS day_of_month, week(d) AS week_of_year, month(d) AS month, quarter(d) AS quarter, year(d) AS year, (isodow(d) >= 6)::INT AS is_weekend, (day(d) = 1)::INT AS is_month_start, (d = last_day(d))::INT AS is_month_end,
 round(sin(2 * pi() * (isodow(d) - 1) / 7), 6) AS dow_sin, round(cos(2 * pi() * month(d) / 12), 6) + 0.0::DOUBLE AS month_cos, round(sin(2 * pi() * dayofyear(d) / 365.25), 6) AS doy_sin FROM {DEMAND}""")
@@ -493,7 +548,9 @@ def cv_folds(spark, sf_dir):
     return rows.groupBy("k", "fold", "part").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"))
 
 
-@query()
+@query(f"""WITH n AS (SELECT k, d, y, row_number() OVER (PARTITION BY k ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM {DEMAND}), f AS (SELECT *, unnest(range(5)) AS fold FROM n WHERE n >= 373),
+e AS (SELECT *, 373 + fold * ((n - 373) // 4) AS stop FROM f), p AS (SELECT *, avg(y) FILTER (i >= stop - 15 AND i < stop - 8) OVER (PARTITION BY k, fold) - y AS e FROM e WHERE stop <= n)
+SELECT k, fold::INT AS fold, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(e), 6) AS bias FROM p WHERE i >= stop - 7 AND i < stop GROUP BY k, fold""")
 def cross_validation(spark, sf_dir):
     def mean_of_last_week(train, test):
         return test["y"] * 0 + train["y"].iloc[-7:].mean()
@@ -852,6 +909,30 @@ def rollup_levels(spark, sf_dir):
     return c.rollup("n_regionkey", "n_name").agg(F.count(F.lit(1)).alias("customers"), r(F.sum("c_acctbal"), 2).alias("balance"), level.alias("level"))
 
 
+@query("""SELECT o_custkey AS station, 40 + greatest(0, 8 * count(*) FILTER (o_orderstatus = 'F') + o_custkey % 11 - 5) - greatest(0, 8 * count(*) FILTER (o_orderstatus = 'O') + o_custkey % 7 - 3) AS total,
+greatest(0, 30 + greatest(0, 8 * count(*) FILTER (o_orderstatus = 'F') + o_custkey % 11 - 5) - greatest(0, 8 * count(*) FILTER (o_orderstatus = 'O') + o_custkey % 7 - 3)) AS serviceable,
+greatest(0, 8 * count(*) FILTER (o_orderstatus = 'O') + o_custkey % 7 - 3) AS units_out, greatest(0, 8 * count(*) FILTER (o_orderstatus = 'F') + o_custkey % 11 - 5) AS units_in FROM orders GROUP BY o_custkey""")
+def day_movements(spark, sf_dir):
+    """Customers as stations: open orders depart, filled ones arrive."""
+    flights_of = lambda v: F.count_if(F.col("o_orderstatus") == v)
+    rows = B.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("station")).agg(flights_of("O").alias("departure_flights"), flights_of("F").alias("arrival_flights"))
+    rows = rows.withColumns({"total": F.lit(40), "serviceable": F.lit(30)})
+    return tracking.day_movements(rows, F.col("station") % 7 - 3, F.col("station") % 11 - 5).drop("departure_flights", "arrival_flights")
+
+
+@query(f"""SELECT icao, round(250 + (lon + 125) / 59 * 920 * (cos(radians(lat)) * 0.85::DOUBLE + 0.15::DOUBLE), 6) AS x, round(100 + (1 - (lat - 24.5::DOUBLE) / 25) * 550, 6) AS y
+FROM (VALUES {sql_values([(s[1], s[5], s[6]) for s in dims.STATIONS] + list(dims.AIRPORTS))}) t(icao, lat, lon)""")
+def map_points(spark, sf_dir):
+    return rounded(dims.airports(spark).withColumn("p", X.map_point(F.col("latitude"), F.col("longitude"))).select("icao", "p.x", "p.y"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, format('{:,}', l_extendedprice::BIGINT) AS price, printf('%.1f%%', l_discount * 100) AS discount, strftime(l_shipdate::TIMESTAMP + INTERVAL 1 HOUR * l_linenumber, '%b %-d, %I:%M %p') AS shipped FROM lineitem")
+def display_texts(spark, sf_dir):
+    at = F.col("l_shipdate").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("l_linenumber").cast("int"))
+    price = X.number_text(F.bround("l_extendedprice", 0))
+    return B.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", price.alias("price"), X.percent_text(F.col("l_discount")).alias("discount"), X.date_text(at).alias("shipped"))
+
+
 # ---- generators ----
 @query()
 def generated_schedule(spark, sf_dir):
@@ -865,3 +946,18 @@ def generated_demand(spark, sf_dir):
     from stowage.sources import synth
 
     return rounded(synth.demand_series(dims.stations(spark), date(2024, 1, 1), 7), 6)
+
+
+@query()
+def generated_storms(spark, sf_dir):
+    from stowage.sources import synth
+
+    return synth.scenario_totals(synth.regional_scenarios(spark, "winter_storm", 20, 2024))
+
+
+@query("""SELECT substr(o_orderpriority, 1, 1) AS scenario_id, min(o_orderdate) AS "start", max(o_orderdate) AS "end", count(DISTINCT o_custkey) AS stations, sum(o_orderkey % 9)::BIGINT AS flights, sum(o_orderkey % 50)::BIGINT AS units FROM orders GROUP BY 1""")
+def scenario_totals(spark, sf_dir):
+    from stowage.sources import synth
+
+    rows = B.table(spark, sf_dir, "orders").select(F.substring("o_orderpriority", 1, 1).alias("scenario_id"), F.col("o_orderdate").alias("start"), F.col("o_orderdate").alias("end"), F.col("o_custkey").alias("station"), (F.col("o_orderkey") % 9).alias("flights"), (F.col("o_orderkey") % 50).alias("units"))
+    return synth.scenario_totals(rows)

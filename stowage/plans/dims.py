@@ -18,6 +18,11 @@ STATIONS = (
     ("SEA", "KSEA", "Seattle-Tacoma International", "Seattle", "focus_city", 47.4502, -122.3088, "America/Los_Angeles", 80, 12.0),
     ("BOS", "KBOS", "Boston Logan International", "Boston", "focus_city", 42.3656, -71.0096, "America/New_York", 70, 14.0),
 )
+#: Further airports of the weather feeds: icao, latitude, longitude. Fixed values.
+AIRPORTS = (
+    ("KLGA", 40.7769, -73.8740), ("KDCA", 38.8512, -77.0402), ("KEWR", 40.6895, -74.1745), ("KORD", 41.9742, -87.9073), ("KSFO", 37.6213, -122.3790), ("KMIA", 25.7959, -80.2870),
+    ("KDFW", 32.8998, -97.0403), ("KDEN", 39.8561, -104.6737), ("KPHX", 33.4373, -112.0078), ("EGLL", 51.4700, -0.4543), ("LFPG", 49.0097, 2.5479), ("EHAM", 52.3105, 4.7683),
+)
 #: icao, iata, name, widebody, lower-deck positions, compatible types, most cargo kg. Fixed values.
 AIRCRAFT = (
     ("B738", "738", "Boeing 737-800", False, 0, [], 2000),
@@ -39,6 +44,7 @@ DISTANCES = (
     ("MSP", "SLC", 1700), ("MSP", "SEA", 2500), ("SLC", "LAX", 1000), ("SLC", "SEA", 1100), ("JFK", "BOS", 300), ("JFK", "LAX", 4000), ("LAX", "SEA", 1500),
 )
 DEFAULT_DISTANCE = 1500
+#: Units and weights by tier and kind of event. Fixed values.
 SAFETY_STOCK = {"hub": 50, "focus_city": 30, "spoke": 10, "international": 20}
 BASE_DEMAND = {"hub": 100.0, "focus_city": 40.0, "spoke": 10.0, "international": 25.0}
 DAILY_DEMAND = {"hub": 150.0, "focus_city": 50.0, "spoke": 15.0, "international": 35.0}
@@ -48,6 +54,18 @@ SCENARIOS = {
     "weather_snow": (18, 0.4), "weather_thunderstorm": (4, 0.5), "weather_fog": (6, 0.6), "weather_hurricane": (48, 0.1), "demand_spike": (72, 1.5), "demand_drop": (48, 0.7),
     "capacity_ground_stop": (3, 0.0), "capacity_reduced": (8, 0.5), "equipment_shortage": (24, 0.8), "equipment_excess": (24, 1.0), "event_sports": (48, 1.3), "event_convention": (96, 1.2), "event_concert": (24, 1.1),
 }
+#: Shares of the kinds of random disruptions, and weights of the tiers they strike. Fixed values.
+SCENARIO_SHARES = {
+    "weather_snow": 0.15, "weather_thunderstorm": 0.20, "weather_fog": 0.10, "weather_hurricane": 0.02, "demand_spike": 0.15, "demand_drop": 0.08,
+    "capacity_ground_stop": 0.05, "capacity_reduced": 0.05, "equipment_shortage": 0.05, "equipment_excess": 0.05, "event_sports": 0.05, "event_convention": 0.03, "event_concert": 0.02,
+}
+SCENARIO_TIERS = {"hub": 5.0, "focus_city": 3.0, "spoke": 1.0, "international": 2.0}
+#: Regional disruptions: stations, season, hour of start, hours, lag of a station in hours, severity and its least share, impact, flights and units an hour (times severity or not). Fixed values.
+REGIONAL = {
+    "winter_storm": {"kind": "weather_snow", "stations": ("JFK", "LGA", "BOS", "EWR"), "season": "winter", "hour": None, "hours": (8.0, 24.0), "lag": 4.0, "severity": 0.7, "least": 0.8, "impact": 0.3, "flights": 8, "units": 60, "by_severity": False, "text": "Heavy snowfall"},
+    "thunderstorm": {"kind": "weather_thunderstorm", "stations": ("ATL",), "season": "summer", "hour": 15, "hours": (2.0, 6.0), "lag": 0.0, "severity": 0.6, "least": 1.0, "impact": 0.5, "flights": 15, "units": 100, "by_severity": False, "text": "Ground stops by thunderstorms"},
+    "demand_spike": {"kind": "event_sports", "stations": ("ATL",), "season": None, "hour": None, "hours": (72.0, 72.0), "lag": 0.0, "severity": 0.5, "least": 1.0, "impact": 1.5, "flights": 0, "units": 10, "by_severity": True, "text": "Increased demand"},
+}
 #: WMO code -> condition. Fixed values.
 WMO = {
     0: "clear", 1: "mainly_clear", 2: "partly_cloudy", 3: "overcast", 45: "fog", 48: "fog", 51: "drizzle", 53: "drizzle", 55: "drizzle", 61: "rain", 63: "rain", 65: "heavy_rain", 71: "snow", 73: "snow",
@@ -75,6 +93,11 @@ def stations(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "code string, icao string, name string, city string, country string, tier string, latitude double, longitude double, timezone string, departures int, arrivals int, dwell_hours double")
 
 
+def airports(spark: SparkSession) -> DataFrame:
+    """Coordinates of the stations and of the further airports, by icao code."""
+    return spark.createDataFrame([(s[1], s[5], s[6]) for s in STATIONS] + list(AIRPORTS), "icao string, latitude double, longitude double")
+
+
 def aircraft(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(AIRCRAFT), "icao string, iata string, name string, is_widebody boolean, positions int, types array<string>, max_cargo_kg int")
 

@@ -165,6 +165,16 @@ def parse_taf(rows: DataFrame, col: str, periods: int = 24) -> DataFrame:
     return x.select("station", "pos", at("f.timeFrom").alias("start"), at("f.timeTo").alias("end"), F.col("f.wspd").alias("wind_kt"), visibility.alias("visibility"), ceiling(F.col("f.clouds")).alias("ceiling_ft"), conditions(F.col("f.wxString"), visibility).alias("conditions"))
 
 
+def aviation(observed: DataFrame, forecast: DataFrame) -> DataFrame:
+    """Each station's latest observation and its forecast periods in order, from metar() and taf(); either side may lack.
+
+    A station's periods are those that taf() keeps of each report, so its array stays small.
+    """
+    last = observed.groupBy("station").agg(F.max_by(F.struct(*[c for c in observed.columns if c != "station"]), "observed_at").alias("observation"))
+    periods = forecast.groupBy("station").agg(F.array_sort(F.collect_set(F.struct(*[c for c in forecast.columns if c != "station"]))).alias("periods"))
+    return last.join(periods, "station", "full")
+
+
 HOURLY = "station string, hourly struct<time:array<string>,temperature_2m:array<double>,precipitation_probability:array<double>,windspeed_10m:array<double>,weathercode:array<int>>"
 
 

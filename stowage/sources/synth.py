@@ -126,14 +126,56 @@ def with_anomalies(forecasts: DataFrame, rate: float = 0.05, seed: int = 42) ->
     return rows.withColumns({"q50": F.col("q50") * F.col("factor"), "is_anomaly": F.col("factor") != 1.0, "anomaly_score": F.abs(F.col("factor") - 1), "confidence": F.when(F.col("factor") != 1.0, "low").otherwise(F.col("confidence"))}).drop("factor")
 
 
+def seasonal_start(year: int, season: str, seed: int, *keys: Column | str) -> Column:
+    """An hour of a winter (December to February of the next year) or summer month, on days 1 to 28."""
+    draw = lambda tag, n: F.floor(uniform(seed, "season/" + tag, *keys) * n).cast("int")
+    months = F.array(*[F.lit(m) for m in {"winter": (12, 1, 2), "summer": (6, 7, 8)}[season]])
+    month = F.element_at(months, draw("month", 3) + 1)
+    of = F.when(month < 3, year + 1).otherwise(year)
+    return F.make_timestamp_ntz(of, month, draw("day", 28) + 1, draw("hour", 24), F.lit(0), F.lit(0))
+
+
+def after(start: Column, hours: Column) -> Column:
+    return start + F.make_dt_interval(secs=F.round(hours * 3600, 3))
+
+
 def scenarios(stations: DataFrame, count: int, start: Column, seed: int = 42) -> DataFrame:
-    """Random disruptions: kind, station, severity, hours and impact factor."""
-    spark = stations.sparkSession
-    kinds = {k: 1.0 for k in dims.SCENARIOS}
-    rows = spark.range(count).withColumns({"kind": weighted(uniform(seed, "kind", "id"), kinds), "severity": 0.2 + 0.8 * uniform(seed, "severity", "id"), "station": weighted(uniform(seed, "place", "id"), {s[0]: 1.0 for s in dims.STATIONS})})
+    """Random disruptions by the shares of their kinds, at stations weighed by tier: severity, hours, impact factor, flights and units affected."""
+    tiers = {s[0]: dims.SCENARIO_TIERS[s[4]] for s in dims.STATIONS}
+    rows = stations.sparkSession.range(count).withColumns({
+        "kind": weighted(uniform(seed, "kind", "id"), dims.SCENARIO_SHARES), "severity": 0.3 + 0.7 * uniform(seed, "severity", "id"), "station": weighted(uniform(seed, "place", "id"), tiers),
+    })
     hours = dims.lookup({k: v[0] for k, v in dims.SCENARIOS.items()}, F.col("kind"), 12)
     base = dims.lookup({k: v[1] for k, v in dims.SCENARIOS.items()}, F.col("kind"), 1.0)
     word = F.when(F.col("severity") > 0.7, "Severe").when(F.col("severity") > 0.4, "Moderate").otherwise("Minor")
-    begin = start + F.make_dt_interval(hours=F.floor(uniform(seed, "when", "id") * 24 * 30).cast("int"))
-    rows = rows.withColumns({"start": begin, "hours": hours, "impact": X.scenario_impact(base, F.col("severity")), "description": F.concat_ws(" ", word, F.replace("kind", F.lit("_"), F.lit(" ")), F.lit("at"), "station")})
-    return rows.select(F.format_string("SCN-%05d", F.col("id") + 1).alias("scenario_id"), "kind", "station", "severity", "start", (F.col("start") + F.make_dt_interval(hours=F.col("hours"))).alias("end"), "impact", "description")
+    begin = start + F.make_dt_interval(hours=F.floor(uniform(seed, "when", "id") * 24 * 90).cast("int"))
+    text = F.concat_ws(" ", word, F.replace("kind", F.lit("_"), F.lit(" ")), F.lit("at"), "station")
+    rows = rows.withColumns({"start": begin, "hours": hours, "impact": X.scenario_impact(base, F.col("severity")), "description": text})
+    part = lambda a_h: (F.col("hours") * a_h * F.col("severity")).cast("int")
+    end = after(F.col("start"), F.col("hours").cast("double")).alias("end")
+    return rows.select(F.format_string("SCN-%05d", F.col("id") + 1).alias("scenario_id"), "kind", "station", "severity", "start", end, "impact", "description", part(5).alias("flights"), part(40).alias("units"))
+
+
+def regional_scenarios(spark, preset: str, count: int, year: int, severity: float | None = None, seed: int = 42) -> DataFrame:
+    """Events of `count` winter storms, summer thunderstorms or demand spikes, one row for each station that one strikes."""
+    p = dims.REGIONAL[preset]
+    rows = spark.range(count).withColumn("station", F.explode(F.array(*[F.lit(s) for s in p["stations"]])))
+    draw = lambda tag, lo, hi, *keys: lo + (hi - lo) * uniform(seed, preset + tag, *keys)
+    if p["season"] is None:
+        start = F.make_timestamp_ntz(F.lit(year), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)) + F.make_dt_interval(days=F.floor(draw("/when", 0.0, 90.0, "id")).cast("int"))
+    else:
+        start = seasonal_start(year, p["season"], seed, "id")
+    if p["hour"] is not None:
+        start = F.date_trunc("day", start).cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(p["hour"]))
+    own = (p["severity"] if severity is None else severity) * draw("/strength", p["least"], 1.0, "id", "station")
+    rows = rows.withColumns({"hours": draw("/hours", *p["hours"], "id", "station"), "severity": own, "start": after(start, draw("/lag", 0.0, p["lag"], "id", "station"))})
+    scale = F.col("hours") * (F.col("severity") if p["by_severity"] else F.lit(1.0))
+    return rows.select(
+        F.format_string("SCN-%05d", F.col("id") + 1).alias("scenario_id"), F.lit(p["kind"]).alias("kind"), "station", "severity", "start", after(F.col("start"), F.col("hours")).alias("end"), F.lit(p["impact"]).alias("impact"),
+        F.concat(F.lit(p["text"] + " at "), "station").alias("description"), (scale * p["flights"]).cast("int").alias("flights"), (scale * p["units"]).cast("int").alias("units"),
+    )
+
+
+def scenario_totals(events: DataFrame) -> DataFrame:
+    """Per scenario: its first start, last end, stations, flights and units of its events."""
+    return events.groupBy("scenario_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count_distinct("station").alias("stations"), F.sum("flights").alias("flights"), F.sum("units").alias("units"))

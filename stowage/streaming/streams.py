@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from stowage.operators.anomaly import CusumState
+from stowage.operators.anomaly import CusumState, RunLengths
 
 PINGS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -55,6 +56,32 @@ def online_cusum(stream: DataFrame, mean: float, slack: float, limit: float) ->
     return stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, position long, up double, down double, side string", "up double, down double, seen long", "append", GroupStateTimeout.NoTimeout)
 
 
+def online_change_points(stream: DataFrame, *, hazard: float = 0.01, mean: float = 0.0, prior_var: float = 100.0, var: float = 1.0) -> DataFrame:
+    """Probability of a change and expected run length per asset after each ping, in the order of each micro-batch's event times.
+
+    The state is the pruned distribution of run lengths: four short arrays and a count.
+    """
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        own, seen = RunLengths(hazard, mean, prior_var, var), 0
+        if state.exists:
+            *parts, seen = state.get
+            own.p, own.n, own.s, own.r = (np.array(v, dtype=float) for v in parts)
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        out = [(key[0], i, seen + k, *own.update(v)) for k, (i, v) in enumerate(zip(rows["event_id"], rows["value"], strict=True), 1)]
+        state.update((own.p.tolist(), own.n.tolist(), own.s.tolist(), own.r.tolist(), seen + len(out)))
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "position", "p_change", "run_length"])
+
+    kept = "p array<double>, n array<double>, s array<double>, r array<double>, seen long"
+    return stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, position long, p_change double, run_length double", kept, "append", GroupStateTimeout.NoTimeout)
+
+
+def fit_counts(stream: DataFrame, key: str = "user_id", warmup: int = 30) -> DataFrame:
+    """Observations of each series so far, whether they suffice for a model of its own, and that model's weight; for update or complete mode."""
+    n = F.col("observations")
+    out = stream.groupBy(key).agg(F.count(F.lit(1)).alias("observations")).withColumn("fitted", n >= warmup)
+    return out.withColumn("weight", F.when(F.col("fitted"), F.least(F.lit(1.0), n / float(warmup))).otherwise(0.0))
+
+
 def upsert(path_of, key: str, order: str):
     """A foreachBatch function that keeps the last row of each key: batch n reads version n - 1 and writes version n.
 

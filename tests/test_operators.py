@@ -199,3 +199,31 @@ def test_closure_beyond_a_million_rows(spark):
     loop = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b")], "child string, parent string")
     with pytest.raises(ValueError, match="cycle"):
         hierarchy.closure(loop, most_levels=5)
+
+
+def test_point_and_band(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, float(x), float(10 * x + rng.normal())) for i, x in enumerate(rng.uniform(0, 1, 400))]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    got = models.point_and_band(df, df.drop("y"), ["x"], "y", [0.1, 0.5, 0.9], rounds=10, trees=5, depth=3)
+    assert got.count() == 400 and got.filter("lower > upper OR point IS NULL").isEmpty()
+    assert got.join(df.select("id", "y"), "id").agg(F.avg(F.abs(F.col("point") - F.col("y")))).first()[0] < 2
+
+
+def test_action_plan_without_moves(spark):
+    stocks = spark.createDataFrame([("ATL", "AKE", 5.9, 3.2), ("ATL", "PMC", 1.0, 4.0)], "station string, uld_type string, demand double, supply double")
+    none = spark.createDataFrame([], "origin string, destination string, quantity int, cost double, benefit double, priority string")
+    x = recommend.action_plan(stocks, none, F.lit("2024-01-01").cast("timestamp_ntz")).first()
+    assert [t["end_inventory"] for t in x["types"]] == [0, 3] and x["action_count"] == 0 and x["has_critical"] is False
+
+
+def test_optimizer_totals_of_nothing(spark):
+    first = spark.createDataFrame([], "imbalance_q05 double, shortage_probability double")
+    x = recommend.optimizer_totals(first, spark.createDataFrame([], "quantity int, method string"), "optimal").first()
+    assert (x["total_system_cost"], x["units_moved"], x["is_optimal"]) == (0.0, 0, True)
+
+
+def test_display(spark):
+    at = F.lit("2024-01-05 14:30:00").cast("timestamp_ntz")
+    x = spark.range(1).select(X.number_text(F.lit(1234.5678)), X.percent_text(F.lit(0.123)), X.date_text(at), X.urgency_hours(at, at - F.expr("INTERVAL 90 MINUTE"))).first()
+    assert tuple(x) == ("1,234.568", "12.3%", "Jan 5, 02:30 PM", 1.5)

@@ -82,3 +82,26 @@ def test_generators_repeat_and_vary(spark):
     assert synth.position_history(f.limit(3), at, 5).count() == 15 and synth.scenarios(s, 10, at).count() == 10
     d = synth.with_anomalies(synth.with_actuals(synth.demand_series(s, date(2024, 1, 1), 30, noise=0.1)), 0.2)
     assert d.filter("is_anomaly").count() > 10
+
+
+def test_observation_beside_forecast(spark):
+    def seen(code, second, temp):
+        return (json.dumps({"icaoId": code, "obsTime": second, "temp": temp}),)
+
+    m = feeds.parse_metar(spark.createDataFrame([seen("KATL", 60, 1.0), seen("KATL", 120, 2.0), seen("KJFK", 60, 3.0)], "value string"), "value")
+    taf = {"icaoId": "KATL", "fcsts": [{"timeFrom": 0, "timeTo": 3600}, {"timeFrom": 3600, "timeTo": 7200}]}
+    t = feeds.parse_taf(spark.createDataFrame([(json.dumps(taf),), (json.dumps({**taf, "icaoId": "KSEA"}),)], "value string"), "value")
+    got = {x["station"]: x for x in feeds.aviation(m, t).collect()}
+    assert set(got) == {"KATL", "KJFK", "KSEA"} and got["KATL"]["observation"]["temperature_c"] == 2.0 and [p["pos"] for p in got["KATL"]["periods"]] == [0, 1]
+    assert got["KJFK"]["periods"] is None and got["KSEA"]["observation"] is None
+
+
+def test_regional_scenarios(spark):
+    storm = synth.regional_scenarios(spark, "winter_storm", 30, 2024)
+    assert storm.count() == 120 and storm.filter("month(start) NOT IN (12, 1, 2, 3)").isEmpty() and storm.filter("severity > 0.7 OR severity < 0.56").isEmpty()
+    totals = synth.scenario_totals(storm)
+    assert totals.count() == 30 and totals.filter("stations <> 4 OR flights < 4 * 64 OR flights > 4 * 192").isEmpty()
+    summer = synth.regional_scenarios(spark, "thunderstorm", 20, 2024)
+    assert summer.filter("month(start) NOT IN (6, 7, 8) OR hour(start) <> 15").isEmpty()
+    assert synth.regional_scenarios(spark, "demand_spike", 5, 2024, 0.5).filter("units <> 360 OR flights <> 0").isEmpty()
+    assert storm.exceptAll(synth.regional_scenarios(spark, "winter_storm", 30, 2024).repartition(7)).isEmpty()

@@ -54,3 +54,25 @@ def test_upsert_keeps_the_last(spark, feed, tmp_path):
     q = streams.pings(spark, path).writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "v2")).count() == rows.select("user_id").distinct().count()
+
+
+def test_online_change_points_are_the_batch_ones(spark, feed):
+    rows, path = feed
+    one = spark.read.schema(streams.PINGS).parquet(path)
+    got = run(streams.online_change_points(streams.pings(spark, path, 10), mean=50.0, prior_var=400.0, var=900.0), "append", "changes")
+    want = anomaly.change_points(one, "user_id", ["ts", "event_id"], "value", mean=50.0, prior_var=400.0, var=900.0)
+    both = got.join(want.withColumnsRenamed({"p_change": "p", "run_length": "l"}), ["user_id", "position"], "full")
+    assert both.filter("p_change IS NULL OR p IS NULL OR abs(p_change - p) > 1e-9 OR abs(run_length - l) > 1e-6").isEmpty()
+
+
+def test_change_point_state_lasts_over_batches(spark, feed):
+    rows, path = feed
+    got = run(streams.online_change_points(streams.pings(spark, path, 1), mean=50.0, prior_var=400.0, var=900.0), "append", "changes_by_batch")
+    assert got.groupBy("user_id").agg(F.max("position").alias("m"), F.count("*").alias("n")).filter("m <> n").isEmpty() and got.count() == rows.count()
+
+
+def test_fit_counts(spark, feed):
+    rows, path = feed
+    got = run(streams.fit_counts(streams.pings(spark, path), warmup=10), "complete", "fits")
+    want = rows.groupBy("user_id").count()
+    assert got.join(want, "user_id").filter("observations <> count OR fitted <> (count >= 10) OR weight < 0 OR weight > 1").isEmpty() and got.count() == want.count()
