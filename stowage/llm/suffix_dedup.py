@@ -7,8 +7,10 @@ run of windows and the hash of all the bytes they span.
 
 1. Where the documents lie: anchors, by prefix hashes. Of equal ones with equal spans only the first of a batch goes on.
 2. By anchor hash: of equal spans all but the first are repeats as a whole. The first ones go on if their anchor has several
-   spans: there, only some windows are equal.
-3. Back at the documents, by id: the bytes of those spans.
+   spans: there, only some windows are equal. Where a batch has more than CROWD spans of an anchor, one of them goes to the
+   anchor's bucket and tells so, the others to those of their spans' hashes.
+3. Back at the documents, by id: the bytes of those spans. An anchor of more than HOT spans or of a crowd is no group of its
+   own: each of its windows goes on alone under its own hash, the first of equal ones in a batch.
 4. By anchor hash: suffix sort of their windows. A mergesort compares suffixes by the longest common extension, a binary
    search over lengths whose steps compare prefix hashes. Neighbours that agree on SPAN bytes are verified byte by byte; a
    collision sends their run to a plain sort. All but the first of equal windows are repeats.
@@ -42,9 +44,11 @@ CHUNK = 1 << 18
 #: Bytes whose anchors are compared before they are sent.
 SENT = 6 << 20
 BUCKET_BYTES = 6 << 20
+#: Spans of one anchor in a batch, and in all, from which its windows are dealt on their own.
+CROWD, HOT = 32, 1 << 12
 #: own is a hash of the whole text, which tells the texts of one id apart.
-ANCHOR = np.dtype([("gram", "<u8"), ("span", "<u8"), ("doc", "<i8"), ("own", "<u4"), ("lo", "<i4"), ("offset", "u1"), ("count", "u1")])
-NEED = np.dtype([("gram", "<u8"), ("own", "<u4"), ("lo", "<i4"), ("offset", "u1"), ("count", "u1")])
+ANCHOR = np.dtype([("gram", "<u8"), ("span", "<u8"), ("doc", "<i8"), ("own", "<u4"), ("lo", "<i4"), ("offset", "u1"), ("count", "u1"), ("hot", "u1")])
+NEED = np.dtype([("gram", "<u8"), ("own", "<u4"), ("lo", "<i4"), ("offset", "u1"), ("count", "u1"), ("hot", "u1")])
 CONTEXT = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("own", "<u4"), ("lo", "<i4"), ("offset", "u1"), ("count", "u1")])
 MARK = np.dtype([("own", "<u4"), ("lo", "<i4"), ("count", "<i4")])
 
@@ -119,8 +123,8 @@ def later(doc: np.ndarray, start: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def ordered(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """a by gram, span, doc, start and text, each once; where a gram begins; where a span does; what lies after its span's first."""
-    a = a[np.lexsort((a["own"], a["lo"], a["doc"], a["span"], a["gram"]))]
+    """a by gram, span, doc, start and text, each once (a hot one of equals); where a gram begins; where a span does; what lies after its span's first."""
+    a = a[np.lexsort((a["hot"] == 0, a["own"], a["lo"], a["doc"], a["span"], a["gram"]))]
     new = np.ones(len(a), bool)
     new[1:] = False
     for f in ("gram", "span", "doc", "lo", "own"):
@@ -147,6 +151,12 @@ def marks_of(a: np.ndarray) -> np.ndarray:
     return out
 
 
+def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which windows at a and b agree, byte by byte."""
+    wide, some = np.arange(SPAN), 1 << 13
+    return np.concatenate([np.zeros(0, bool), *((data[a[i : i + some, None] + wide] == data[b[i : i + some, None] + wide]).all(1) for i in range(0, len(a), some))])
+
+
 def dealt(gram: np.ndarray, buckets: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Buckets with rows, and each one's rows. Anchors are the lowest of their neighbours' hashes, so hashes are mixed anew."""
     key = ((mix(gram) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -213,12 +223,8 @@ def repeated_windows(data: np.ndarray, place: np.ndarray, doc: np.ndarray, start
     order = suffix_order(data, prefix, place, turn, run)
     a, b = order[:-1], order[1:]
     same = (run[a] == run[b]) & (prefix.raw(place[a], place[a] + SPAN) == prefix.raw(place[b], place[b] + SPAN))
-    hit, bad = np.flatnonzero(same), []
-    for at in range(0, len(hit), 1 << 13):
-        h = hit[at : at + (1 << 13)]
-        wide = np.arange(SPAN)
-        bad.append(h[(data[place[a[h], None] + wide] != data[place[b[h], None] + wide]).any(1)])
-    for r in np.unique(run[a[np.concatenate([*bad, np.zeros(0, np.int64)]).astype(np.int64)]]):
+    hit = np.flatnonzero(same)
+    for r in np.unique(run[a[hit[~equal_bytes(data, place[a[hit]], place[b[hit]])]]]):
         own = np.flatnonzero(run == r)
         text = {i: data[place[i] : place[i] + SPAN].tobytes() for i in own.tolist()}
         order[own] = sorted(own.tolist(), key=lambda i: (text[i], turn[i]))
@@ -241,10 +247,12 @@ def send_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, blob) of the first anchors among SENT bytes; (bucket, doc_id, marks) of what repeats inside of them."""
 
     def packed(every: list[np.ndarray]) -> pa.Table:
-        a, _, _, after = ordered(np.concatenate(every))
+        a, gram, _, after = ordered(np.concatenate(every))
         again = a[after]
-        a = a[~after]
-        key, parts = dealt(a["gram"], buckets)
+        a, gram = a[~after], (np.cumsum(gram) - 1)[~after]  # equal places of several texts stay, so a span may have several rows
+        head = np.r_[True, gram[1:] != gram[:-1]][: len(a)]
+        a["hot"] = np.bincount(gram)[gram] > CROWD if len(a) else 0
+        key, parts = dealt(np.where((a["hot"] > 0) & ~head, a["span"], a["gram"]), buckets)
         doc, marks = by_doc(again["doc"], marks_of(again))
         blob = [b"".join(np.ascontiguousarray(x[f]).tobytes() for f in ANCHOR.names) for x in (a[p] for p in parts)]
         return pa.table({
@@ -279,27 +287,65 @@ def unpacked(blob: bytes) -> np.ndarray:
     return out
 
 
+def passed(t: pa.Table) -> pa.Table:
+    """The marks that batches have found."""
+    early = t.filter(pc.is_valid(t["marks"])).select(["doc_id", "marks"])
+    return early.append_column("needs", pa.nulls(early.num_rows, pa.binary()))
+
+
 def compare_spans(t: pa.Table) -> pa.Table:
-    """A bucket's anchors: marks for all but the first of equal spans, needs for grams with several spans. Marks pass through."""
+    """A bucket's anchors: marks for all but the first of equal spans, needs for grams with several spans or a crowd. Marks pass through."""
     a, gram, first, after = ordered(np.concatenate([np.zeros(0, ANCHOR), *(unpacked(v.as_py()) for v in t["blob"] if v.is_valid)]))
     again = a[after]
     group = np.cumsum(gram) - 1
     spans = np.bincount(group[first], minlength=group[-1] + 1) if len(group) else group
-    ask = a[~after & (spans[group] > 1)]
+    a["hot"] = ((spans > HOT) | (np.bincount(group, a["hot"]) > 0))[group]
+    ask = a[~after & ((spans[group] > 1) | (a["hot"] > 0))]
     needs = np.zeros(len(ask), NEED)
     for f in NEED.names:
         needs[f] = ask[f]
-    early = t.filter(pc.is_valid(t["marks"])).select(["doc_id", "marks"]).append_column("needs", pa.nulls(t.num_rows - t["marks"].null_count, pa.binary()))
-    return pa.concat_tables([found(again["doc"], marks_of(again), ask["doc"], needs), early])
+    return pa.concat_tables([found(again["doc"], marks_of(again), ask["doc"], needs), passed(t)])
+
+
+def windows_of(c: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each window of contexts c with these bytes as a context under its own hash; where it begins in the bytes; the bytes; those that repeat another one."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    n = c["count"].astype(np.int64)
+    owner = np.repeat(np.arange(len(c)), n)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    place = np.repeat(np.cumsum(n + SPAN - 1) - (n + SPAN - 1), n) + step
+    w = c[owner]
+    w["gram"] = mix(Prefix(data).raw(place, place + SPAN))
+    w["lo"] += step.astype(np.int32)
+    w["offset"] -= step.astype(np.uint8)
+    w["count"] = 1
+    order = np.lexsort((w["own"], w["lo"], w["doc"], w["gram"]))
+    w, place = w[order], place[order]
+    first = np.ones(len(w), bool)
+    like = np.flatnonzero(w["gram"][1:] == w["gram"][:-1]) + 1
+    first[like[equal_bytes(data, place[like - 1], place[like])]] = False
+    after = later(w["doc"], w["lo"], first)
+    return w[~after], place[~after], data, w[after]
 
 
 def send_contexts(rows: DataFrame, buckets: int) -> DataFrame:
-    """From (doc_id, raw, needs array<binary>), (bucket, contexts, bytes)."""
+    """From (doc_id, raw, needs array<binary>), (bucket, contexts, bytes); (bucket, doc_id, marks) of windows that repeat inside of a batch."""
+
+    def packed(c: np.ndarray, bytes_of, again: np.ndarray) -> pa.Table:
+        key, parts = dealt(c["gram"], buckets)
+        doc, marks = by_doc(again["doc"], marks_of(again))
+        return pa.table({
+            "bucket": pa.array(np.concatenate([key, doc % buckets]), pa.int64()),
+            "contexts": pa.array([c[p].tobytes() for p in parts] + [None] * len(doc), pa.binary()),
+            "bytes": pa.array([bytes_of(p) for p in parts] + [None] * len(doc), pa.binary()),
+            "doc_id": pa.array([None] * len(key) + doc.tolist(), pa.int64()),
+            "marks": pa.array([None] * len(key) + marks, pa.binary()),
+        })
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, sent = None, set()
         for b in batches:
-            some, texts = [], []
+            some, texts, hot = [], [], []
             for doc, raw, needs in zip(b.column("doc_id").to_pylist(), b.column("raw"), b.column("needs").to_pylist(), strict=True):
                 if doc != last:
                     last, sent = doc, set()
@@ -311,20 +357,23 @@ def send_contexts(rows: DataFrame, buckets: int) -> DataFrame:
                 n = np.frombuffer(b"".join(needs), NEED)
                 n = n[n["own"] == own]
                 c = np.zeros(len(n), CONTEXT)
-                for f in NEED.names:
+                for f in ("gram", "own", "lo", "offset", "count"):
                     c[f] = n[f]
                 c["doc"] = doc
                 some.append(c)
+                hot.append(n["hot"] > 0)
                 texts += [text[lo : lo + count + SPAN - 1] for lo, count in zip(n["lo"].tolist(), n["count"].tolist(), strict=True)]
-            c = np.concatenate([*some, np.zeros(0, CONTEXT)])
-            key, parts = dealt(c["gram"], buckets)
-            yield from pa.table({
-                "bucket": pa.array(key, pa.int64()),
-                "contexts": pa.array([c[p].tobytes() for p in parts], pa.binary()),
-                "bytes": pa.array([b"".join(texts[i] for i in p.tolist()) for p in parts], pa.binary()),
-            }).to_batches()
+            c, alone = np.concatenate([*some, np.zeros(0, CONTEXT)]), np.concatenate([*hot, np.zeros(0, bool)])
+            whole = [texts[i] for i in np.flatnonzero(~alone).tolist()]
+            yield from packed(c[~alone], lambda p, t=whole: b"".join(t[i] for i in p.tolist()), np.zeros(0, CONTEXT)).to_batches()
+            hot_at, size, at = np.flatnonzero(alone), np.cumsum(c["count"][alone].astype(np.int64)), 0
+            while at < len(hot_at):  # up to SORTED windows at a time
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SORTED, side="right")))
+                w, place, data, again = windows_of(c[hot_at[at:to]], [texts[i] for i in hot_at[at:to].tolist()])
+                yield from packed(w, lambda p, d=data, q=place: d[q[p][:, None] + np.arange(SPAN)].tobytes(), again).to_batches()
+                at = to
 
-    return rows.mapInArrow(go, "bucket long, contexts binary, bytes binary")
+    return rows.mapInArrow(go, "bucket long, contexts binary, bytes binary, doc_id long, marks binary")
 
 
 #: Windows that are sorted at a time; only those of one anchor at one offset stay together.
@@ -333,8 +382,8 @@ SORTED = 1 << 17
 
 def compare_windows(t: pa.Table) -> pa.Table:
     """A bucket's contexts: marks for windows that also start earlier. Equal windows have one anchor at one offset."""
-    contexts = np.concatenate([np.frombuffer(v.as_py(), CONTEXT) for v in t["contexts"]])
-    data = np.frombuffer(b"".join(v.as_py() for v in t["bytes"]), np.uint8)
+    contexts = np.concatenate([np.zeros(0, CONTEXT), *(np.frombuffer(v.as_py(), CONTEXT) for v in t["contexts"] if v.is_valid)])
+    data = np.frombuffer(b"".join(v.as_py() for v in t["bytes"] if v.is_valid), np.uint8)
     begin = np.cumsum(contexts["count"].astype(np.int64) + SPAN - 1) - (contexts["count"].astype(np.int64) + SPAN - 1)
     order = np.lexsort((contexts["own"], contexts["lo"], contexts["doc"], contexts["gram"]))
     contexts, begin = contexts[order], begin[order]
@@ -388,7 +437,7 @@ def compare_windows(t: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1)]) if len(doc) else np.zeros(0, np.int64)
     marks = np.zeros(len(first), MARK)
     marks["own"], marks["lo"], marks["count"] = own[first], start[first], np.diff(np.append(first, len(start)))
-    return found(doc[first], marks, np.zeros(0, np.int64), np.zeros(0, NEED))
+    return pa.concat_tables([found(doc[first], marks, np.zeros(0, np.int64), np.zeros(0, NEED)), passed(t)])
 
 
 def removed_spans(marks: list[bytes], text: bytes) -> tuple[np.ndarray, np.ndarray]:

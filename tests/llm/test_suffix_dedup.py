@@ -33,8 +33,11 @@ def corpus():
     return rows
 
 
-def test_equals_brute_force(spark, corpus, monkeypatch):
-    df = spark.createDataFrame([(i, t, 1) for i, t in corpus], "doc_id long, text string, KEPT int")
+@pytest.mark.parametrize(("crowd", "parts"), [(suffix_dedup.CROWD, 4), (1, 1), (1, 4), (2, 13), (5, 3)])
+def test_equals_brute_force(spark, corpus, monkeypatch, crowd, parts):
+    """Also where anchors have a crowd, in some batches or all, so that their windows are dealt on their own."""
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)  # read where batches are packed, so it reaches the workers
+    df = spark.createDataFrame([(i, t, 1) for i, t in corpus], "doc_id long, text string, KEPT int").repartition(parts)
     out = suffix_dedup.remove_repeats(df)
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out.collect()} == brute(corpus)
 
@@ -68,6 +71,32 @@ def test_characters_stay_whole(spark):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_hot_anchor_without_a_crowd(monkeypatch):
+    """An anchor of more than HOT spans is hot in its bucket, whatever its batches say."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    a = np.zeros(9, suffix_dedup.ANCHOR)
+    a["gram"], a["span"], a["doc"], a["count"] = [7] * 4 + [8] * 2 + [9] * 3, [1, 2, 3, 4, 1, 2, 1, 1, 2], np.arange(9), 1
+    a["hot"][8] = 1
+    blob = b"".join(np.ascontiguousarray(a[f]).tobytes() for f in a.dtype.names)
+    t = pa.table({"blob": pa.array([blob, None], pa.binary()), "doc_id": pa.array([None, 50]), "marks": pa.array([None, b"m"], pa.binary())})
+    out = suffix_dedup.compare_spans(t).to_pylist()
+    hot = {r["doc_id"]: np.frombuffer(r["needs"], suffix_dedup.NEED)["hot"].tolist() for r in out if r["needs"]}
+    assert hot == {0: [1], 1: [1], 2: [1], 3: [1], 4: [0], 5: [0], 6: [1], 8: [1]}
+    assert sorted(r["doc_id"] for r in out if r["marks"]) == [7, 50]
+
+
+def test_windows_on_their_own():
+    text = b"".join(bytes([97 + (i * i) % 23]) for i in range(140))
+    c = np.zeros(3, suffix_dedup.CONTEXT)
+    c["doc"], c["lo"], c["offset"], c["count"], c["own"] = [5, 4, 5], [10, 20, 10], [50, 50, 50], [3, 2, 3], [1, 2, 3]
+    w, place, data, again = suffix_dedup.windows_of(c, [text[:102], text[:101], text[:102]])
+    assert sorted(again[["doc", "own", "lo"]].tolist()) == [(5, 1, 10), (5, 1, 11), (5, 3, 10), (5, 3, 11)]  # document 4 has them first
+    assert sorted(w[["doc", "own", "lo", "offset"]].tolist()) == [(4, 2, 20, 50), (4, 2, 21, 49), (5, 1, 12, 48), (5, 3, 12, 48)]  # one place in two texts
+    assert all(data[p : p + 100].tobytes() == text[i : i + 100] for p, i in zip(place.tolist(), (50 - w["offset"].astype(int)).tolist(), strict=True))
+
+
 def brute_rows(rows):
     """For each row what is left: a window goes if it is also at a lower (id, start) of any row."""
     least = {}
@@ -85,8 +114,9 @@ def brute_rows(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_rows_that_repeat_an_id(spark, parts):
+@pytest.mark.parametrize(("crowd", "parts"), [(suffix_dedup.CROWD, 1), (suffix_dedup.CROWD, 5), (1, 1), (1, 5)])
+def test_rows_that_repeat_an_id(spark, monkeypatch, crowd, parts):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     rng = random.Random(9)
     noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
     a, b, c, d = noise(700), noise(300), noise(500), noise(400)
