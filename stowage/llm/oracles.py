@@ -140,5 +140,86 @@ FROM n LEFT JOIN t ON t.r = n.r LEFT JOIN c ON c.r = n.r
 """
 
 
+#: crc32 of an ASCII string by a table of 256 that its rule gives.
+CRC_TABLE = "c AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc)"
+
+
+def crc32(s: str) -> str:
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length({s}) + 1), lambda i: ascii(substr({s}, i, 1))::BIGINT)), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])))"
+
+
+#: A row's step (keep, rerole, delete) after insertions that lead from one grammar state to another.
+OP11 = rf"""
+WITH RECURSIVE {CRC_TABLE},
+d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS txt, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+k AS (SELECT d.*, {crc32('key')} % 20 AS draw FROM d, c),
+w AS (
+  SELECT conv_id, turn, CASE draw WHEN 4 THEN 'user' ELSE role END AS role, CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(txt, '[.!?]', '', 'g') ELSE txt END AS txt,
+         unnest(CASE draw WHEN 3 THEN [1, 2] ELSE [1] END) AS time FROM k WHERE draw <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, txt) AS i FROM w),
+f AS (
+  SELECT *, left(role, 1) AS ini, left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair,
+         CASE WHEN NOT regexp_matches(txt, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, txt ORDER BY i) > 1 THEN 'duplicate'
+              WHEN regexp_extract(txt, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+g AS (SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) v(src, ini, dst)),
+n AS (
+  SELECT src, dst, letters, length(letters) * 3 AS cost, added
+  FROM (VALUES (0, 0, '', []::VARCHAR[]), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []), (0, 2, 'I', ['user:']), (1, 2, 'I', ['user:']), (3, 2, 'I', ['user:']), (2, 3, 'I', ['assistant:']),
+               (0, 3, 'II', ['user:', 'assistant:']), (1, 3, 'II', ['user:', 'assistant:'])) v(src, dst, letters, added)),
+e AS (
+  SELECT conv_id, i, s.src, s.src AS dst, 4 AS cost, 'D' AS letter, []::VARCHAR[] AS line FROM f, (SELECT DISTINCT dst AS src FROM n) s
+  UNION ALL SELECT conv_id, i, src, dst, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END, 'K', [role || ':' || txt] FROM f JOIN g ON f.ini = g.ini WHERE fault IN ('', 'truncated')
+  UNION ALL SELECT conv_id, i, src, dst, CASE fault WHEN 'truncated' THEN 6 ELSE 3 END, 'R', [CASE g.ini WHEN 'u' THEN 'user:' ELSE 'assistant:' END || txt] FROM f, g WHERE fault IN ('', 'truncated') AND g.ini <> 's'),
+p AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS state, {{'cost': 0, 'audit': '', 'lines': []::VARCHAR[]}} AS best FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT p.conv_id, e.i, e.dst, min({{'cost': p.best.cost + n.cost + e.cost, 'audit': p.best.audit || n.letters || e.letter, 'lines': p.best.lines || n.added || e.line}})
+  FROM p JOIN n ON n.src = p.state JOIN e ON e.conv_id IS NOT DISTINCT FROM p.conv_id AND e.i = p.i + 1 AND e.src = n.dst GROUP BY p.conv_id, e.i, e.dst),
+q AS (
+  SELECT p.conv_id, p.i, min({{'cost': p.best.cost + n.cost, 'audit': p.best.audit || n.letters, 'lines': p.best.lines || n.added}}) AS best FROM p JOIN n ON n.src = p.state AND n.dst IN (0, 3) GROUP BY p.conv_id, p.i),
+z AS (
+  SELECT conv_id, max(i) AS i, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT q.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       best.cost::BIGINT AS cost, best.audit AS audit, sha256(coalesce(array_to_string(best.lines, E'\n'), '')) AS repaired_sha256
+FROM q LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM q.conv_id WHERE q.i = coalesce(z.i, 0)
+"""
+
+
+#: A run repeats each of its stretches of five words a period later: pairs of equal stretches, then islands of them.
+OP12 = rf"""
+WITH {CRC_TABLE},
+t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS txt, doc_id::VARCHAR AS key FROM documents),
+h AS (SELECT r, doc_id, regexp_extract_all(txt, '[^\x20\x09-\x0D]+') AS v, {crc32('key')} AS h FROM t, c),
+a AS (SELECT *, len(v) AS n, CASE WHEN h % 10 = 0 AND len(v) > 0 THEN (h // 10) % len(v) END AS a FROM h),
+b AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+w AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN v ELSE list_transform(range(0, n), lambda i: v[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS v FROM b),
+s AS (SELECT r, n, i, md5_number(array_to_string(v[i + 1:i + 5], ' ')) AS s FROM (SELECT r, n, v, unnest(range(0, n - 4)) AS i FROM w WHERE n >= 6)),
+m AS (SELECT x.r, x.i, y.i - x.i AS q FROM s x JOIN s y ON x.r = y.r AND x.s = y.s AND x.i < y.i AND 4 * (y.i - x.i) <= x.n),
+g AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM m),
+l AS (SELECT r, q, min(i) AS start, count(*) + 4 + q AS length FROM g GROUP BY r, q, island),
+u AS (SELECT r, start, length, min(q) AS period FROM l WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length),
+z AS (
+  SELECT r, count(*) AS n_runs, arg_max({{'start': start, 'length': length, 'period': period}}, (length, -start, -period)) AS best, string_agg(start || ',' || length || ',' || period || E'\n', '' ORDER BY start, period) AS listed,
+         list({{'a': start + period, 'b': start + length}}) AS spans FROM u GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length::BIGINT AS length, best.period AS period, (1000 * best.length // best.period)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+       sha256(coalesce(array_to_string(CASE WHEN spans IS NULL THEN v ELSE list_transform(list_filter(range(0, n), lambda i: len(list_filter(spans, lambda x: x.a <= i AND i < x.b)) = 0), lambda i: v[i + 1]) END, ' '), '')) AS collapsed_sha256
+FROM w LEFT JOIN z USING (r)
+"""
+
+
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS v FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS v FROM benchmark),
+w AS (SELECT DISTINCT item_id, least(10, len(v)) AS k, array_to_string(v[i:i + 9], ' ') AS s FROM (SELECT item_id, v, unnest(range(1, greatest(len(v) - 9, 1) + 1)) AS i FROM b WHERE len(v) > 0)),
+x AS (SELECT r, k, i, array_to_string(v[i:i + k - 1], ' ') AS s FROM (SELECT r, v, k, unnest(range(1, len(v) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM w) WHERE len(v) >= k)),
+m AS (SELECT r, i, x.k, item_id FROM x JOIN w ON w.k = x.k AND w.s = x.s),
+h AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS j FROM (SELECT DISTINCT r, i, k FROM m)) GROUP BY r),
+q AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM m WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(v)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.r = d.r LEFT JOIN q ON q.r = d.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op3_minhash_near_dedup": OP3, "op5_suffix_dedup": OP5, "op6_url_filter": op6(), "op7_format_preferences": OP7, "op8_exact_topk": OP8}
+    return {"op1_mix_sources": OP1, "op3_minhash_near_dedup": OP3, "op5_suffix_dedup": OP5, "op6_url_filter": op6(), "op7_format_preferences": OP7, "op8_exact_topk": OP8, "op11_repair_conversations": OP11, "op12_periodic_runs": OP12, "op13_decontaminate": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import bpe, html_text, media, mixing, near_dedup, preferences, suffix_dedup, topk, toxicity, url_filter
+from stowage.llm import bpe, decontaminate, html_text, media, mixing, near_dedup, periodic, preferences, repair, suffix_dedup, topk, toxicity, url_filter
 from stowage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,5 +73,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = repair.damaged(table(spark, sf_dir, "conversations"))
+    out = repair.repair_conversations(turns, present=F.col("present"))
+    return out.select(*[c for c in out.columns if c != "repaired"], F.sha2(repair.rendered(F.col("repaired")).cast("binary"), 256).alias("repaired_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.withColumn("text", F.when(h % 10 == 0, periodic.looped(F.col("text"), F.floor(h / 10))).otherwise(F.col("text")))
+    out = periodic.find_runs(docs, exponent=4, least=6).withColumn("best", periodic.longest(F.col("runs")))
+    milli = F.expr("1000 * best.length div best.period")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"), digest(periodic.listed(F.col("runs"))).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, bench = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    out = decontaminate.scan(docs.select("doc_id", "text"), bench.select("item_id", "text"))
+    items = F.array_join(F.col("items").cast("array<string>"), ",")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_media_columns, op3_minhash_near_dedup, op4_html_text, op5_suffix_dedup, op6_url_filter, op7_format_preferences, op8_exact_topk, op9_byte_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_media_columns, op3_minhash_near_dedup, op4_html_text, op5_suffix_dedup, op6_url_filter, op7_format_preferences, op8_exact_topk, op9_byte_bpe, op10_toxicity, op11_repair_conversations, op12_periodic_runs, op13_decontaminate)}
