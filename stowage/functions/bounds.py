@@ -11,12 +11,13 @@ def small(df: DataFrame, most: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def against(asked: DataFrame, rows: DataFrame, block: int = 500) -> DataFrame:
-    """Each of a stated set of asked rows beside each of rows, in blocks of about `block` rows of hashed order.
+def against(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each of a stated set of asked rows beside each of rows, in as many blocks of hashed rows as there are blocks of as many asked rows.
 
-    A join on the block's number: asked rows are sent once a block, rows once. Top-k windows on the result prune each task's part before they shuffle.
+    A join on the block's number: asked rows are sent once a block, rows once, and with a square root of the asked rows'
+    number in blocks neither side's copies outgrow the result. Top-k windows on the result prune each task's part first.
     """
-    blocks = max(1, -(-rows.count() // block))
+    blocks = max(1, int(asked.count() ** 0.5))
     left = asked.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = rows.withColumn("_block", F.pmod(F.xxhash64(*rows.columns[:1]), F.lit(blocks)).cast("int"))
+    right = rows.withColumn("_block", F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)).cast("int"))
     return left.join(right, "_block").drop("_block")

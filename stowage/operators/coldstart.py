@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stowage.functions import exprs as X
 from stowage.functions.bounds import against
+from stowage.operators.neighbours import k_nearest, unit_vector
 
 
 def priors(rows: DataFrame, value: str, tier: str = "tier", station: str = "station") -> DataFrame:
@@ -41,11 +42,16 @@ def route_vector(r: dict[str, Column]) -> Column:
     return F.array(tier(r["origin_tier"]), tier(r["destination_tier"]), r["distance_km"] / 5000, r["hours"] / 12, r["widebody"], r["international"].cast("double"), (r["purpose"] == "business").cast("double"), F.log1p(r["flights_per_day"]))
 
 
-def similar(new: DataFrame, known: DataFrame, k: int = 5, kernel: str = "rbf", bandwidth: float = 1.0) -> DataFrame:
-    """(id, other, weight): the k most similar of known for each of new, weights summing to 1; known is searched in blocks."""
-    pairs = against(new.select("id", "x"), known.select(F.col("id").alias("other"), F.col("x").alias("ox"))).filter(F.col("id") != F.col("other"))
-    pairs = pairs.withColumn("s", X.similarity(F.col("x"), F.col("ox"), kernel, bandwidth))
-    top = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "other"))).filter(F.col("_r") <= k)
+def similar(new: DataFrame, known: DataFrame, k: int = 5, kernel: str = "rbf", bandwidth: float = 1.0, **index: int) -> DataFrame:
+    """(id, other, weight): the k most similar of known for each of new, weights summing to 1.
+
+    All kernels fall with a distance (of cosine: that of the vectors at length 1), so a metric index finds them.
+    """
+    place = unit_vector if kernel == "cosine" else lambda x: x
+    x = lambda df, *names: df.select(*names, place(F.col("x").cast("array<double>")).alias("x"))
+    near = k_nearest(x(known, "id"), x(new, "id"), k, others=True, **index)
+    pairs = near.select(F.col("asked_id").alias("id"), F.col("id").alias("other")).join(new.select("id", "x"), "id").join(known.select(F.col("id").alias("other"), F.col("x").alias("ox")), "other")
+    top = pairs.withColumn("s", X.similarity(F.col("x"), F.col("ox"), kernel, bandwidth))
     total = F.sum("s").over(Window.partitionBy("id"))
     return top.select("id", "other", F.when(total > 0, F.col("s") / total).otherwise(F.col("s")).alias("weight"))
 

@@ -2,29 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.functions import exprs as X
-from stowage.functions.bounds import against
+from stowage.operators.neighbours import k_nearest
+from stowage.operators.selection import quantiles
 
 
 def conformal_level(n: Column, alpha: float) -> Column:
     return F.least(F.ceil((n + 1) * (1 - alpha)) / n, F.lit(1.0))
 
 
-def score_quantile(scores: DataFrame, keys: list[str], score: Column, alpha: float = 0.1) -> DataFrame:
-    """(keys, q): the level's linear quantile of each key's scores, by ranks and not by gathering them.
-
-    Each score gets its rank; the quantile lies between the two scores around its place, which one aggregate picks.
-    """
-    by = Window.partitionBy(*keys)
-    rows = scores.withColumn("_s", score).filter("_s IS NOT NULL")
-    rows = rows.withColumns({"_r": F.row_number().over(by.orderBy("_s")) - 1, "_n": F.count(F.lit(1)).over(by)})
-    place = (F.col("_n") - 1) * conformal_level(F.col("_n"), alpha)
-    rows = rows.withColumn("_p", place).withColumn("_lo", F.floor("_p"))
-    at = rows.groupBy(*keys).agg(F.max(F.when(F.col("_r") == F.col("_lo"), F.col("_s"))).alias("a"), F.max(F.when(F.col("_r") == F.col("_lo") + 1, F.col("_s"))).alias("b"), F.max(F.col("_p") - F.col("_lo")).alias("t"))
-    return at.select(*keys, (F.col("a") + F.col("t") * (F.coalesce("b", "a") - F.col("a"))).alias("q"))
+def score_quantile(scores: DataFrame, keys: list[str], score: Column, alpha: float = 0.1, **options: int) -> DataFrame:
+    """(keys, q): the level's linear quantile of each key's scores, by narrowing brackets: no key is gathered or sorted as a whole."""
+    return quantiles(scores, keys, score, lambda n: conformal_level(n, alpha), **options)
 
 
 def split_conformal(calibration: DataFrame, keys: list[str], alpha: float = 0.1) -> DataFrame:
@@ -40,11 +31,12 @@ def conformalized_quantiles(calibration: DataFrame, rows: DataFrame, keys: list[
     return out.withColumn("point", (F.col("lower") + F.col("upper")) / 2).drop("q")
 
 
-def local_conformal(calibration: DataFrame, queries: DataFrame, k: int = 100, alpha: float = 0.1) -> DataFrame:
+def local_conformal(calibration: DataFrame, queries: DataFrame, k: int = 100, alpha: float = 0.1, **index: int) -> DataFrame:
     """(query_id, q): the level's quantile of the k calibration scores nearest in features.
 
-    calibration (cal_id, x array, score) is searched in blocks, each of which keeps its k nearest.
+    calibration (cal_id, x array, score). A query that is a calibration row itself is left out of its own neighbours: its
+    score is what the interval is to cover.
     """
-    pairs = against(queries, calibration.withColumnRenamed("x", "cx")).withColumn("d", X.euclidean(F.col("x"), F.col("cx")))
-    near = pairs.withColumn("_k", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "cal_id"))).filter(F.col("_k") <= k)
-    return score_quantile(near, ["query_id"], F.col("score"), alpha)
+    near = k_nearest(calibration, queries, k, id_col="cal_id", asked_id="query_id", others=True, **index)
+    scores = near.join(calibration.select(F.col("cal_id").alias("id"), "score"), "id")
+    return score_quantile(scores.withColumnRenamed("asked_id", "query_id"), ["query_id"], F.col("score"), alpha)

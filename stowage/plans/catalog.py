@@ -2,38 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import exprs as X
 from stowage.operators import anomaly, coldstart, evaluate, features, flights, forecast, hierarchy, models, recommend, tracking, uncertainty
 from stowage.plans import bindings as B
 from stowage.plans import dims
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def r(c: Column | str, digits: int = 6) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
+from stowage.plans.registry import ORACLES, QUERIES, query, r, rounded  # noqa: F401
 
 # ---- SQL parts ----
 def sql_cdf(z: str) -> str:
@@ -592,7 +570,7 @@ def conformalized_quantiles(spark, sf_dir):
 
 
 @query(f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), c AS (SELECT vec_id, x, (label % 7)::DOUBLE AS score FROM e JOIN embeddings USING (vec_id)), q AS (SELECT * FROM e WHERE vec_id % 50 = 0),
-n AS (SELECT q.vec_id AS query_id, c.score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.x, c.x), c.vec_id) AS r FROM q, c QUALIFY r <= 100)
+n AS (SELECT q.vec_id AS query_id, c.score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.x, c.x), c.vec_id) AS r FROM q JOIN c ON c.vec_id <> q.vec_id QUALIFY r <= 100)
 SELECT query_id, round(q, 6) AS q FROM {sql_rank_quantile('score', 'n', 'query_id')}""")
 def local_conformal(spark, sf_dir):
     e = B.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), (F.col("label") % 7).cast("double").alias("score"))
@@ -961,3 +939,7 @@ def scenario_totals(spark, sf_dir):
 
     rows = B.table(spark, sf_dir, "orders").select(F.substring("o_orderpriority", 1, 1).alias("scenario_id"), F.col("o_orderdate").alias("start"), F.col("o_orderdate").alias("end"), F.col("o_custkey").alias("station"), (F.col("o_orderkey") % 9).alias("flights"), (F.col("o_orderkey") % 50).alias("units"))
     return synth.scenario_totals(rows)
+
+
+# The queries of feeds and of the larger models register themselves.
+from stowage.plans import feed_queries, model_queries  # noqa: E402, F401

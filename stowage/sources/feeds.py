@@ -96,9 +96,14 @@ def flights(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_flights(rows: DataFrame, col: str) -> DataFrame:
     """Flights of JSON lines; those without number, ends or scheduled times are dropped."""
-    x = rows.select(F.from_json(col, FLIGHT).alias("x")).select("x.*")
+    return flight_rows(rows.select(F.from_json(col, FLIGHT).alias("x")).select("x.*"))
+
+
+def flight_rows(x: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep` and the flight that each row's provider fields tell of."""
     at = lambda c: instant(F.col(c))
     out = x.select(
+        *keep,
         F.col("flight.iata").alias("flight_number"), F.coalesce("airline.iata", F.substring("flight.iata", 1, 2)).alias("airline"), F.col("departure.iata").alias("origin"), F.col("arrival.iata").alias("destination"),
         at("departure.scheduled").alias("departure"), at("arrival.scheduled").alias("arrival"), at("departure.actual").alias("actual_departure"), at("arrival.actual").alias("actual_arrival"),
         F.greatest(F.lit(0), F.coalesce(F.col("departure.delay"), F.lit(0.0)).cast("int")).alias("delay_minutes"), dims.lookup(FLIGHT_STATUS, F.col("flight_status"), "scheduled").alias("status"), F.col("aircraft.icao").alias("aircraft"),
@@ -106,6 +111,14 @@ def parse_flights(rows: DataFrame, col: str) -> DataFrame:
     return out.dropna(subset=["flight_number", "origin", "destination", "departure", "arrival"])
 
 
+def parse_answers(documents: DataFrame, col: str = "document", limit: int = 100) -> DataFrame:
+    """(place, day, position, flight) of a flight feed's answers: the first `limit` entries of each, none of an answer that tells of an error or can't be read."""
+    answer = F.from_json(col, f"error string, data array<struct<{FLIGHT.replace(' struct', ':struct').replace('flight_status string', 'flight_status:string')}>>")
+    good = documents.select("place", "day", answer.alias("a")).filter("a.error IS NULL AND a.data IS NOT NULL")
+    entries = good.select("place", "day", F.posexplode(F.slice("a.data", 1, limit)).alias("position", "f")).select("place", "day", "position", "f.*")
+    return flight_rows(entries, "place", "day", "position")
+
+
 def flights_by_route(rows: DataFrame, origin: str, destination: str, limit: int = 100) -> DataFrame:
     return rows.filter((F.col("origin") == origin) & (F.col("destination") == destination)).orderBy("departure", "flight_number").limit(limit)
 
@@ -218,3 +231,14 @@ def events_near(rows: DataFrame, latitude: float, longitude: float, km: float) -
     from stowage.functions.exprs import haversine_km
 
     return rows.filter(haversine_km(F.col("latitude"), F.col("longitude"), F.lit(latitude), F.lit(longitude)) <= km)
+
+
+def parse_events(documents: DataFrame, col: str = "document") -> DataFrame:
+    """Events of a feed's documents, one each; those without an id are left out."""
+    return documents.select(F.from_json(col, EVENTS).alias("x")).select("x.*").filter("event_id IS NOT NULL")
+
+
+def statuses(asked: DataFrame, flights: DataFrame) -> DataFrame:
+    """The status, delay and departure of each asked flight number's first flight, or nulls; flights don't leave their partial minimum."""
+    first = flights.groupBy(F.col("flight_number").alias("f_number")).agg(F.min(F.struct("departure", "status", "delay_minutes")).alias("f"))
+    return asked.join(first, F.col("asked") == F.col("f_number"), "left").select("asked", "f.status", "f.delay_minutes", "f.departure")
