@@ -4,9 +4,13 @@ Every page is parsed into a tree, and every element subtree that has text is has
 per section of a host (the first part of the path, which often has a layout of its own), a page once; subtrees on at
 least min_share of the pages of either (and min_pages of them) are template. Each page is then parsed again, next to the
 template hashes of its host and section, and loses those subtrees. As a host of few pages shows no template,
-elements that HTML itself or their names mark as no content go too: navigation, forms, scripts, adverts, comments
-and the like. A name is a whole token of a class or id, or one that is made of such names only; it removes no element that
-holds an article or main element or more than half of the page's text. What is left of the article (else of the main element, else of the body) is the text, block by block.
+elements that HTML itself marks as no content go too (navigation, forms, scripts and the like), and those of which the
+words of a class or id say so together with what the element holds: a name made of such words only is enough, of other
+names one such word and either mostly links or, outside of an article, at most a quarter of the page's text. No name
+removes an element that holds an article or main element or more than half of the page's text. Adverts go by one word, and
+so do comments, whatever they hold, if text is left without them. The text is what is left of the articles, or of the main
+elements if those have more text of their own, or have it alone, else of the body, block by block. An article inside of
+that goes if it is a comment, if another one there has its shape, or if the text around it is longer.
 
 Defined results: null or empty html has an empty text; a null url belongs to the host ''; unclosed and unknown tags, and
 html that ends inside a tag, are read as far as they go; elements may nest as deeply as they like; pages that repeat a page_id are pages of their own; an empty
@@ -43,6 +47,10 @@ NAMES = frozenset(
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer share sharing social related recommended comment comments commentlist disqus reply replies respond popup modal overlay widget login signup search pagination skip".split()
 )
 HEADS = frozenset("header masthead topbar".split())
+COMMENTS = frozenset("comment comments commentlist commentarea disqus reply replies respond responses discussion".split())
+ADVERTS = frozenset("ad ads adbox adslot adunit adspace adsense advert adverts advertisement advertising sponsored".split())
+#: With one of these a name says something of its element's surroundings.
+ABOUT = frozenset("has with without no not hide show before after".split())
 #: Stands for a whole host where a section is named; no section has it.
 WHOLE = "/"
 
@@ -132,31 +140,61 @@ def is_boilerplate(node: list, in_article: bool) -> bool:
     return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", re.I))
 
 
-def has_name(node: list, in_article: bool) -> bool:
-    """Whether a class or id of an element is a name of no content: 'sidebar' and 'cookie-notice' are, 'has-sidebar' is none."""
+def name_words(node: list) -> list[set[str]]:
+    """The words of each token of an element's class and id: 'has-sidebar' says nothing of the element itself."""
     attrs = node[1]
-    names = NAMES if in_article else NAMES | HEADS
     tokens = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()
-    return any(parts <= names for t in tokens if (parts := set(re.split(r"[^a-z]+", t)) - {""}))
+    return [words for t in tokens if (words := set(re.split(r"[^a-z]+", t)) - {""}) and not words & ABOUT]
+
+
+def named(node: list, in_article: bool) -> int:
+    """What an element's names say: 2 that it is no content, 1 that it may be none, 0 nothing."""
+    names = NAMES if in_article else NAMES | HEADS
+    tokens = name_words(node)
+    if any(words <= names or words & ADVERTS for words in tokens):
+        return 2
+    return int(any(words & names for words in tokens))
 
 
-def measure(tree: list, repeated: set[int]) -> dict[int, tuple[int, bool]]:
-    """The characters of text that each element shows and whether it holds an article or main element, by node id."""
-    found: dict[int, tuple[int, bool]] = {}
+def is_comment(node: list) -> bool:
+    return node[0] not in ("main", "body", "html") and any(words & COMMENTS for words in name_words(node))
+
+
+def measure(tree: list, repeated: set[int]) -> dict[int, tuple[int, int, bool]]:
+    """The characters of text that each element shows, those of them in links, and whether it holds an article or main element, by node id."""
+    found: dict[int, tuple[int, int, bool]] = {}
     for node in reversed(in_order(tree)):
-        size, holds = 0, False
+        size, links, holds = 0, 0, False
         for child in node[2]:
             if isinstance(child, str):
                 size += len("".join(child.split()))
             else:
-                own, inner = found[id(child)]
+                own, linked, inner = found[id(child)]
                 size += own
+                links += linked
                 # a comment that is marked up as an article is no article of the page
-                holds |= inner or (child[0] in ("article", "main") and not has_name(child, True))
-        found[id(node)] = (0, False) if id(node) in repeated or is_boilerplate(node, True) else (size, holds)
+                holds |= inner or (child[0] in ("article", "main") and not is_comment(child) and not named(child, True))
+        gone = id(node) in repeated or is_boilerplate(node, True)
+        found[id(node)] = (0, 0, False) if gone else (size, size if node[0] == "a" else links, holds)
     return found
 
 
+def size_of(parts: list[list], drop) -> int:
+    """The characters of text of elements, less what is dropped in them."""
+    size, waiting = 0, list(parts)
+    while waiting:
+        for child in waiting.pop()[2]:
+            if isinstance(child, str):
+                size += len("".join(child.split()))
+            elif not drop(child):
+                waiting.append(child)
+    return size
+
+
+def shape(node: list) -> tuple:
+    return node[0], node[1].get("class"), tuple(c[0] for c in node[2] if not isinstance(c, str))
+
+
 def every_of(tree: list, tag: str, drop) -> Iterator[list]:
     """The outermost elements of a tag outside of what is dropped."""
     waiting = [tree]
@@ -197,23 +235,38 @@ def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
     """The main text of a page whose host repeats the subtrees of these hashes."""
     tree = Tree(html).root
     repeated = {i for i, h in subtree_hashes(tree).items() if h in template} if template else set()
-    measured: dict[int, tuple[int, bool]] = {}
+    measured: dict[int, tuple[int, int, bool]] = {}
+    marked = lambda node, in_article: id(node) in repeated or is_boilerplate(node, in_article)
+    every = in_order(tree)
+    commented = False  # whether comments can be told from the rest
+    if any(is_comment(n) for n in every):
+        apart = lambda n: marked(n, False) or is_comment(n)
+        main = [n for n in every if n[0] in ("article", "main") and not is_comment(n)]
+        # what is named for comments may wrap the article as well
+        commented = any(True for tag in ("article", "main") for _ in every_of(tree, tag, apart)) if main else size_of([tree], apart) > 0
 
     def dropped(node: list, in_article: bool) -> bool:
-        if id(node) in repeated or is_boilerplate(node, in_article):
+        if marked(node, in_article) or (commented and is_comment(node)):
             return True
-        if node[0] in ("article", "main", "body", "html") or not has_name(node, in_article):
+        if node[0] in ("article", "main", "body", "html") or not (said := named(node, in_article)):
             return False
         if not measured:
             measured.update(measure(tree, repeated))
-        size, holds = measured[id(node)]
-        return not holds and 2 * size <= measured[id(tree)][0]
+        (size, links, holds), whole = measured[id(node)], measured[id(tree)][0]
+        return not holds and 2 * size <= whole and (said == 2 or 2 * links >= size or (not in_article and 4 * size <= whole))
 
     outside = lambda n: dropped(n, False)
     inside = lambda n: dropped(n, True)
-    parts = list(every_of(tree, "article", outside))
-    if not parts and (main := next(every_of(tree, "main", outside), None)) is not None:
-        parts = [main]
+    articles, mains = list(every_of(tree, "article", outside)), list(every_of(tree, "main", outside))
+    around = size_of(mains, lambda n: n[0] == "article" or inside(n))
+    parts = mains if mains and around > (size_of(articles, inside) if articles else -1) else articles
+    # articles within: comments and teasers, unless they are most of the text
+    within = [n for part in parts for child in part[2] if not isinstance(child, str) for n in every_of(child, "article", inside)]
+    if within:
+        shapes = Counter(shape(n) for n in within)
+        own = size_of(parts, lambda n: n[0] == "article" or inside(n))
+        gone = {id(n) for n in within if shapes[shape(n)] > 1 and own or size_of([n], inside) < own}
+        inside = lambda n: id(n) in gone or dropped(n, True)
     blocks: list[list[str]] = [[]]
     for part in parts:
         blocks_of(part, inside, blocks)

@@ -14,6 +14,21 @@ PAGES = {
     "<article><p>a <b hre": "a", "<article><p>a</p><!-- un": "a", "<article><p>x<script>if(a<b)</script>y": "xy",
     "": "", "plain < text": "plain < text", "<article><p>a&nbsp;&nbsp;b&#233;&copy;</p></article><article>second</article>": "a bé©\n\nsecond",
 }
+LONG = "A long comment that goes on and on about nothing at all. " * 5
+PAGES |= {
+    "<article><p>post</p><section class='thread'><article class='comment'>Nice!</article></section></article>": "post",
+    "<article><p>A post of some words</p><section><article><p>one</p></article><article><p>two and more</p></article></section></article>": "A post of some words",
+    f"<article><p>short</p></article><div id='comments'><p>{LONG}</p></div>": "short",
+    f"<p>short</p><section class='post-comments'><p>{LONG}</p></section>": "short",
+    f"<div class='comments'><p>{LONG}</p></div>": LONG.strip(),
+    "<main><h1>T</h1><p>long text</p><article><p>teaser</p></article></main>": "T\n\nlong text",
+    "<div class='discussion'><p>intro</p><article><p>the topic</p></article></div><p>x</p>": "the topic",
+    "<article><p>post</p></article><section class='comments'><article><p>c1</p></article><article><p>c2 and more</p></article></section>": "post",
+    "<main><p>one</p></main><p>between</p><main><p>two</p></main>": "one\n\ntwo",
+    "<main><h1>Posts</h1><article><p>first of the posts</p></article><article class='x'><p>second</p></article></main>": "first of the posts\n\nsecond",
+    "<div class='site-navigation'><a href=x>home</a> <a href=y>away</a></div><div class='ads-top'>buy</div><p>The text of a page</p><div class='adbox'>now</div><ul class='comment-list'><li>c</li></ul>": "The text of a page",
+    "<article><p>Dishes</p><div class='menu-item'>Soup of the day</div><div class='has-ads'>stays</div></article>": "Dishes\n\nSoup of the day\n\nstays",
+}
 
 
 @pytest.mark.parametrize("html", list(PAGES))
@@ -87,3 +102,10 @@ def test_wrappers_keep_the_text(name, tag):
 def test_comments_marked_up_as_articles():
     page = f"<main>{TEXT}<div class='comments'><article class='comment'>first!</article></div></main>"
     assert html_text.main_text(page) == "The text of the page, which is longer than what stands beside it."
+
+
+def test_a_page_of_many_megabytes_and_clashing_columns(spark):
+    body = "".join(f"<p>paragraph {i} of a very long page</p>" for i in range(60_000))
+    rows = [(1, "http://a.org/x", f"<article>{body}</article>", 1), (1, "http://a.org/x", "<article>again</article>", 2), (2, "http://a.org/y", None, 3)]
+    out = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, N_CHARS int")).collect()
+    assert sorted((r["page_id"], r["n_chars"]) for r in out)[:2] == [(1, 5), (1, len("\n\n".join(f"paragraph {i} of a very long page" for i in range(60_000))))]
