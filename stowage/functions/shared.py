@@ -34,4 +34,14 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of cut that nothing reads any more, such as those of a loop's earlier rounds."""
+    for df in tables:
+        if path := getattr(df, "_cut_path", None):
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)

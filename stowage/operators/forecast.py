@@ -131,3 +131,26 @@ def chart(demand: DataFrame, supply: DataFrame, key: str = "station", time: str
     right = supply.withColumn("_i", place).select(key, "_i", *values)
     out = demand.withColumn("_i", place).join(right, [key, "_i"], "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in values}).drop("_i")
+
+
+def from_schedule(hours: DataFrame, departures: DataFrame, arrivals: DataFrame, base: Column, initial: Column, per_flight: int = 8) -> DataFrame:
+    """Demand and stock of (station, hour) rows by the flights (station, ts) less than an hour from each: demand, departures, arrivals, stock.
+
+    Demand is at least per_flight for each departure near, and so many units leave and arrive with each flight. base and
+    initial are columns of hours.
+    """
+    from stowage.operators.flights import movements_near
+
+    near = lambda f, name: movements_near(hours, f, "ts").withColumnRenamed("flights", name)
+    rows = hours.join(near(departures, "f_out"), ["station", "hour"]).join(near(arrivals, "f_in"), ["station", "hour"])
+    rows = rows.withColumn("demand", demand_point(base, F.col("hour"), F.col("f_out")))
+    rows = rows.withColumns({"departures": per_flight * F.col("f_out"), "arrivals": per_flight * F.col("f_in")})
+    return running_stock(rows, ["station"], ["hour"], F.col("arrivals") - F.col("departures"), initial).drop("f_out", "f_in")
+
+
+def first_rows(forecasts: DataFrame, keys: list[str], order: list[str], hours: int, generated: str = "generated_at") -> DataFrame:
+    """The first `hours` rows of each key's last generation; each task keeps its own first rows before they meet."""
+    from stowage.operators.tracking import latest_generation
+
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return latest_generation(forecasts, keys, generated).withColumn("step", rank).filter(F.col("step") <= hours)

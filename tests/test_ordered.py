@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,9 +38,14 @@ def run(spark, tmp_path):
     def go(frame, mode="append"):
         out = ordered.run_available(frame, str(tmp_path / "state"), str(tmp_path / "out"), mode) if mode == "append" else None
         if out is None:
-            # with a clock, a stream never has nothing left to do
+            # with a clock, a stream never has nothing left to do: it is stopped once it has read all files
+            seen: dict[int, int] = {}
             q = frame.writeStream.outputMode(mode).format("memory").queryName("ordered_out").start()
-            q.processAllAvailable()
+            for _ in range(150):
+                seen |= {p["batchId"]: p["numInputRows"] for p in q.recentProgress}
+                if sum(seen.values()) >= spark.read.schema(streams.PINGS).parquet(str(tmp_path / "in")).count():
+                    break
+                time.sleep(0.4)
             q.stop()
             out = spark.table("ordered_out")
         return [r.asDict() for r in out.filter("user_id >= 0").collect()]
