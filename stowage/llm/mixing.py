@@ -2,8 +2,10 @@
 
 Every document gets the exponential key -ln(u) / w, with u drawn from a hash of its id and w its quality weight. A
 source whose target is e whole epochs and a rest gives each document e times, then the documents of lowest key until
-the rest is filled. The order within a source is never sorted in one task: keys fall into equal slices of their
-distribution, slices are summed and prefix-summed, and only the one slice per source in which the budget ends is sorted.
+the rest is filled. The order within a source is never sorted in one task: the bracket of keys in which a source's budget
+ends is narrowed by sums over slices of it, prefix-summed, until few rows are left in it (or rows of one key), and only those
+are sorted. However the weights lie, no task gets more than `few` rows of a source to sort but for equal keys, which are
+those of one weight and id.
 
 Defined results: a null text has size 0; a null source is a source of its own, ordered last; a null, non-finite or
 non-positive quality counts as 1; rows alike in id and size share a key and are taken together; an empty table gives an
@@ -17,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stowage.functions.bounds import small
 from stowage.llm.common import cut, without
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -70,6 +73,24 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
     return ranked.select("source", "source_size", F.round(target, 6).alias("target"))
 
 
+def narrowed(rows: DataFrame, brackets: DataFrame, slices: int, few: int) -> DataFrame:
+    """(t_source, rest, before, lo, hi): of each source the bracket of keys in which its running size reaches rest, with the size before it.
+
+    brackets (t_source, rest, m rows, lo, hi, before) are cut into slices of equal width, and the one that holds the rest
+    goes on, from its least to its greatest key, while it has more than `few` rows and two keys. A row a source; a round a job.
+    """
+    state = cut(brackets)
+    while not (wide := state.filter((F.col("m") > few) & (F.col("lo") < F.col("hi")))).isEmpty():
+        part = F.least(F.floor((F.col("key") - F.col("lo")) / (F.col("hi") - F.col("lo")) * slices), F.lit(slices - 1)).cast("int")
+        inside = rows.join(small(wide), F.col("source").eqNullSafe(F.col("t_source")) & F.col("key").between(F.col("lo"), F.col("hi")))
+        by_slice = inside.groupBy("t_source", "rest", "before", part.alias("slice")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("m"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        upto = F.col("before") + F.sum("size").over(Window.partitionBy("t_source").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        ends = by_slice.withColumn("upto", upto).filter((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("size") < F.col("rest")))
+        ends = ends.select("t_source", "rest", "m", "lo", "hi", (F.col("upto") - F.col("size")).alias("before"))
+        state = cut(state.filter((F.col("m") <= few) | (F.col("lo") >= F.col("hi"))).unionByName(ends))
+    return state.select("t_source", "rest", "before", "lo", "hi")
+
+
 def mix_sources(
     docs: DataFrame,
     *,
@@ -80,52 +101,46 @@ def mix_sources(
     weights: Sequence[float] = (3, 1, 2),
     share: float = 1.5,
     cap: float = 2.0,
-    slices: int = 4096,
+    slices: int = 1024,
+    few: int = 4096,
     seed: int = 0,
 ) -> DataFrame:
     """docs with mix_size, mix_source_size, mix_target, mix_copies and mix_taken (copies times size).
 
-    One pass writes (source, size, key) narrowly; sums over source and slice combine before their shuffle; a second
-    pass over docs compares each key with its source's last one, so texts are never shuffled.
+    One pass writes (source, size, key) narrowly; sums over source and slice of a bracket combine before their shuffle; a
+    second pass over docs compares each key with its source's last one, so texts are never shuffled.
     """
     key = exponential_key(F.col(id_col), quality.cast("double"), seed)
     tie = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    slice_of = F.least(F.floor((1 - F.exp(-F.col("key"))) * slices), F.lit(slices - 1)).cast("int")
-    narrow = cut(docs.select(F.col(source_col).alias("source"), size.cast("long").alias("size"), key.alias("key"), tie.alias("tie")).withColumn("slice", slice_of))
-    by_slice = cut(narrow.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")))
-    targets = source_targets(by_slice.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, share, cap)
+    narrow = cut(docs.select(F.col(source_col).alias("source"), size.cast("long").alias("size"), key.alias("key"), tie.alias("tie")))
+    sums = cut(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("m"), F.min("key").alias("lo"), F.max("key").alias("hi")))
+    targets = source_targets(sums.select("source", "source_size"), weights, share, cap)
     targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     targets = cut(targets.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
+    t = targets.filter("rest > 0").select(F.col("source").alias("t_source"), "rest")
+    start = sums.join(t, F.col("source").eqNullSafe(F.col("t_source"))).select("t_source", "rest", "m", "lo", "hi", F.lit(0).cast("long").alias("before"))
+    edges = cut(narrowed(narrow, start, slices, few))
 
-    along = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = targets.select(F.col("source").alias("t_source"), "rest")
-    edges = (
-        by_slice.join(t, F.col("source").eqNullSafe(F.col("t_source")))
-        .withColumn("upto", F.sum("slice_size").over(along))
-        .filter((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("slice_size") < F.col("rest")))
-        .select("t_source", F.col("slice").alias("t_slice"), "rest", (F.col("upto") - F.col("slice_size")).alias("before"))
-    )
     order = Window.partitionBy("source").orderBy("key", "tie", "size")
     running = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("before")
     # a document that crosses the budget is taken if more than half of it fits
     last = (
-        narrow.join(edges, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("slice") == F.col("t_slice")))
+        narrow.join(edges, F.col("source").eqNullSafe(F.col("t_source")) & F.col("key").between(F.col("lo"), F.col("hi")))
         .withColumn("running", running)
         .filter(2 * (F.col("running") - F.col("rest")) <= F.col("size"))
         .groupBy("source")
         .agg(F.max(F.struct("key", "tie", "size")).alias("last"))
     )
-    first = edges.select("t_source", "t_slice")
+    first = edges.select("t_source", "lo")
     plan = (
         targets.join(last.withColumnRenamed("source", "l_source"), F.col("source").eqNullSafe(F.col("l_source")), "left")
         .join(first, F.col("source").eqNullSafe(F.col("t_source")), "left")
-        .select(F.col("source").alias("p_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "epochs", "rest", "last", F.col("t_slice").alias("edge"))
+        .select(F.col("source").alias("p_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "epochs", "rest", "last", F.col("lo").alias("edge"))
     )
     plan = cut(plan)
     rows = without(docs, [*ADDED, "p_source", "epochs", "rest", "last", "edge", "m_key"])
     rows = rows.withColumns({"mix_size": size.cast("long"), "m_key": F.struct(key.alias("key"), tie.alias("tie"), size.cast("long").alias("size"))})
-    own = F.least(F.floor((1 - F.exp(-F.col("m_key.key"))) * slices), F.lit(slices - 1)).cast("int")
-    more = (F.col("rest") > 0) & ((own < F.col("edge")) | ((own == F.col("edge")) & F.coalesce(F.col("m_key") <= F.col("last"), F.lit(False))))
+    more = (F.col("rest") > 0) & ((F.col("m_key.key") < F.col("edge")) | F.coalesce(F.col("m_key") <= F.col("last"), F.lit(False)))
     copies = (F.col("epochs") + F.coalesce(more, F.lit(False)).cast("int")).cast("int")
     out = rows.join(plan, rows[source_col].eqNullSafe(plan["p_source"])).withColumn("mix_copies", copies).withColumn("mix_taken", F.col("mix_copies") * F.col("mix_size"))
     return out.drop("p_source", "epochs", "rest", "last", "edge", "m_key")

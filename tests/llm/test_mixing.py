@@ -50,7 +50,17 @@ def test_targets_and_takes(docs):
 def test_reruns_and_slices_agree(docs):
     base = sorted(map(str, mix(docs).select("doc_id", "mix_taken").collect()))
     assert base == sorted(map(str, mix(docs.repartition(7)).select("doc_id", "mix_taken").collect()))
-    assert base == sorted(map(str, mix(docs, slices=8).select("doc_id", "mix_taken").collect()))
+    assert base == sorted(map(str, mix(docs, slices=8, few=5).select("doc_id", "mix_taken").collect()))
+
+
+def test_few_rows_are_left_to_sort_however_the_weights_lie(spark):
+    """Keys of very low weights lie far apart, those of very high ones close together; the bracket that is sorted stays small."""
+    rows = spark.range(20_000).select(F.lit("s").alias("source"), F.lit(3).cast("long").alias("size"), mixing.exponential_key(F.col("id"), F.when(F.col("id") % 3 == 0, 1e-6).otherwise(F.when(F.col("id") % 3 == 1, 1.0).otherwise(1e6))).alias("key"))
+    for rest in (1.0, 20_000.5, 45_000.0, 59_999.0):
+        start = rows.groupBy(F.col("source").alias("t_source")).agg(F.lit(rest).alias("rest"), F.count("*").alias("m"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.lit(0).cast("long").alias("before"))
+        edge = mixing.narrowed(rows, start, 64, 50).first()
+        inside = rows.filter(F.col("key").between(edge["lo"], edge["hi"])).count()
+        assert inside <= 50 and edge["before"] < rest <= edge["before"] + 3 * inside and rows.filter(F.col("key") < edge["lo"]).count() * 3 == edge["before"]
 
 
 def test_better_documents_come_first(spark):
