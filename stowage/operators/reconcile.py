@@ -71,23 +71,23 @@ def multipliers(b: DataFrame, edges: DataFrame, d: DataFrame, u: DataFrame | Non
     start = b.join(scale, "node").select("node", "key", F.lit(0.0).alias("x"), F.col("v").alias("r"), (F.col("v") / F.col("scale")).alias("p"), "scale")
     state = cut(start)
     sums = cut(state.groupBy("key").agg(F.sum(F.col("r") * F.col("r") / F.col("scale")).alias("rho")))
-    first = cut(sums.withColumnRenamed("rho", "rho0"))
+    first, old = sums.withColumnRenamed("rho", "rho0"), []
     for _ in range(most):
         live = sums.join(first, "key").filter(F.col("rho") > tolerance * tolerance * F.col("rho0")).select("key", "rho")
         if live.isEmpty():
             return state.select("node", "key", F.col("x").alias("v"))
         p = state.join(live, "key").select("node", "key", F.col("p").alias("v"))
-        q = cut(surplus(weighed(spread(p, edges), d, u), edges).withColumnRenamed("v", "q"))
-        length = state.join(q, ["node", "key"]).groupBy("key").agg(F.sum(F.col("p") * F.col("q")).alias("pq")).join(live, "key").select("key", (F.col("rho") / F.col("pq")).alias("alpha"), "rho")
-        moved = state.join(q, ["node", "key"], "left").join(length, "key", "left")
+        q = surplus(weighed(spread(p, edges), d, u), edges).withColumnRenamed("v", "q")
+        both = cut(state.join(q, ["node", "key"], "left"))
+        length = both.groupBy("key").agg(F.sum(F.col("p") * F.col("q")).alias("pq")).join(live, "key").select("key", (F.col("rho") / F.col("pq")).alias("alpha"), "rho")
         step = F.coalesce("alpha", F.lit(0.0))
-        moved = cut(moved.select("node", "key", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.coalesce("q", F.lit(0.0))).alias("r"), "p", "scale", "rho"))
-        after = cut(moved.groupBy("key").agg(F.sum(F.col("r") * F.col("r") / F.col("scale")).alias("rho")))
-        turn = F.coalesce(F.col("after") / F.col("rho"), F.lit(0.0))
-        release(state, q, sums)
-        state = cut(moved.join(after.withColumnRenamed("rho", "after"), "key").select("node", "key", "x", "r", (F.col("r") / F.col("scale") + turn * F.col("p")).alias("p"), "scale"))
-        release(moved)
-        sums = after
+        moved = both.join(length, "key", "left").select("node", "key", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.coalesce("q", F.lit(0.0))).alias("r"), "p", "scale", "rho")
+        moved = cut(moved)
+        after = moved.groupBy("key").agg(F.sum(F.col("r") * F.col("r") / F.col("scale")).alias("after"), F.max("rho").alias("before"))
+        turn = F.coalesce(F.col("after") / F.col("before"), F.lit(0.0))
+        state = moved.join(after, "key").select("node", "key", "x", "r", (F.col("r") / F.col("scale") + turn * F.col("p")).alias("p"), "scale")
+        release(both, *old)
+        sums, old = after.select("key", F.col("after").alias("rho")), [moved]
     raise ValueError(f"no solution within {most} rounds")
 
 

@@ -130,7 +130,7 @@ def quantile_boosting(spark, sf_dir):
     rows = sales_features(spark, sf_dir)
     levels = [0.1, 0.5, 0.9]
     model = boosting.fit_quantiles(rows.filter("fold > 1"), FEATURES, "y", levels, rounds=8, rate=0.5, valid=rows.filter("fold = 1"), patience=3)
-    return rounded(model.predict(rows.filter("fold = 0")).select("id", "y", *[f"q_{q}" for q in levels]), 4)
+    return rounded(model.predict(rows.filter("fold = 0")).select("id", "y", *[F.col(f"`q_{q}`").alias(f"q{round(100 * q)}") for q in levels]), 4)
 
 
 @query()
