@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from stowage.llm.url_filter import HREF, UNREAD
+
 OP1 = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -34,14 +36,14 @@ def op6(rounds: int = 120, damping: float = 0.85) -> str:
     fit = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     rules = [("block", "example.org", "/en/1"), ("block", "example.org", "/es/"), ("allow", "com", "/fr/"), ("block", "com", "/de/"), ("allow", "org", "/")]
     cases = " ".join(f"WHEN {fit(h, p)} THEN '{v} {h}{p}'" for v, h, p in rules)
-    href = r"""\s[^>]*?\bhref\s*=\s*["'']?\s*([^"''\s>]+)"""
+    href, unread = (t.replace("'", "''") for t in (HREF, UNREAD))
     leads = lambda c, relative: f"CASE WHEN regexp_matches({c}, '(?i)^[a-z][a-z0-9+.-]*://') THEN {host(c)} WHEN starts_with({c}, '//') THEN {host(f"('x:' || {c})")} WHEN regexp_matches({c}, '(?i)^[a-z][a-z0-9+.-]*:') THEN '' ELSE {relative} END"
     # a round's additions alone: their sum over all rounds is the score
     series = lambda name, edges, kind: f"""{name}_k AS (
   SELECT 0 AS k, host, {1 - damping}::DOUBLE AS score FROM h WHERE 2 * {kind} > n UNION ALL
   SELECT k + 1, dst, sum({damping}::DOUBLE * share * score) FROM {name}_k JOIN {edges} ON src = host WHERE k < {rounds} GROUP BY k, dst),
 {name} AS (SELECT host, sum(score) AS score FROM {name}_k GROUP BY host)"""
-    return f"""WITH RECURSIVE j AS (SELECT page_id, {host('url')} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(html, '') AS html FROM pages),
+    return f"""WITH RECURSIVE j AS (SELECT page_id, {host('url')} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, regexp_replace(coalesce(html, ''), '{unread}', ' ', 'g') AS html FROM pages),
 f AS (SELECT *, CASE {cases} END AS found FROM j),
 h AS (SELECT host, count(*) AS n, count(*) FILTER (found LIKE 'allow %') AS good, count(*) FILTER (found LIKE 'block %') AS bad FROM f WHERE host <> '' GROUP BY host),
 x AS (SELECT host AS src, regexp_extract(html, '(?i)<base{href}', 1) AS base, unnest(regexp_extract_all(html, '(?i)<a(?:rea)?{href}', 1)) AS link FROM j),

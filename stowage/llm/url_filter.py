@@ -1,6 +1,6 @@
 """URL filters: rules first, then link-graph propagation, in DataFrame functions only.
 
-Host edges come from the links of a and area elements: absolute ones, those that begin with //, and relative ones where a
+Host edges come from the links of a and area elements outside of comments, scripts and styles: absolute ones, those that begin with //, and relative ones where a
 base element names another host. Trust is a personalised PageRank from hosts that the rules mostly
 allow; distrust is the same over reversed edges from hosts that they mostly block: who links to bad hosts is suspect.
 Both are sums of joins on the host table, which holds one row a host and never reaches the driver; as scores only grow, the
@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 from stowage.llm.common import ascii_lower, cut, cut_and_sum
 
-#: The value of an element's href; the element's name goes in front.
-HREF = r"""\s[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+#: The value of an element's href, after white space and past attributes and their quoted values; the element's name goes in front.
+HREF = r"""(?:\s+[^\s>"'=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]*))?)*?\s+href\s*=\s*["']?\s*([^"'\s>]+)"""
 LINK, BASE = rf"(?i)<a(?:rea)?{HREF}", rf"(?i)<base{HREF}"
+#: What holds no links: comments, scripts and styles, also those that never end.
+UNREAD = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
 ABSOLUTE, SCHEME = "(?i)^[a-z][a-z0-9+.-]*://", "(?i)^[a-z][a-z0-9+.-]*:"
 #: verdict, host, path
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -53,9 +55,9 @@ def link_host(link: Column, relative: Column) -> Column:
 
 def host_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """(src, dst, n): links between different hosts. A page's repeats combine before the shuffle."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    base = F.regexp_extract(html, BASE, 1)
-    rows = pages.select(url_host(F.col(url_col)).alias("src"), base.alias("base"), F.explode(F.regexp_extract_all(html, F.lit(LINK), F.lit(1))).alias("link"))
+    html = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), UNREAD, " ")
+    base = F.regexp_extract("html", BASE, 1)
+    rows = pages.select(url_host(F.col(url_col)).alias("src"), html.alias("html")).select("src", base.alias("base"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("link"))
     links = rows.select("src", link_host(F.col("link"), link_host(F.col("base"), F.col("src"))).alias("dst"))
     return links.filter((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 

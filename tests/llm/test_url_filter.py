@@ -26,7 +26,9 @@ def test_links_of_every_form(spark):
     rows = [
         (1, "http://a.net/x", "<a href='http://B.net/y'>", {"b.net"}), (2, "http://a.net/x", '<A class="x"\n HREF  =   "  //c.net/y?z">', {"c.net"}), (3, "http://a.net/x", "<a href=/y><a href=mailto:m@d.net><a href='y://'>", set()),
         (4, "http://a.net/x", "<base href='http://e.net/b/'><a href=rel/x>", {"e.net"}), (5, "http://a.net/x", "<area href=git+ssh-longer.scheme://f.net#x><link href='http://no.net/s.css'>", {"f.net"}),
-        (6, "http://a.net/x", "<a " + "x=1 " * 50 + "href" + " " * 20 + "=" + " " * 20 + "'http://g.net'>", {"g.net"}), (7, None, "<a href='http://b.net'>", set()), (8, "http://a.net", None, set()),
+        (6, "http://a.net/x", "<a " + "x=1 " * 50 + "href" + " " * 20 + "=" + " " * 20 + "'http://g.net'>", {"g.net"}), (9, "http://a.net/x", '<a data-href="http://bad.com/x" href="/y"><a title="a > b" href="http://h.org/">', {"h.org"}),
+        (10, "http://a.net/x", "<!-- <a href='http://old.org/'> --><a href=http://i.net><script>'<a href=http://j.net>'</script><style> <a href=http://k.net>", {"i.net"}),
+        (11, "http://a.net/x", "<a title=\"<a href='http://l.net'>\" hidden href='http://m.net'><abbr href='http://n.net'>", {"m.net"}), (7, None, "<a href='http://b.net'>", set()), (8, "http://a.net", None, set()),
     ]
     for i, url, html, want in rows:
         out = url_filter.host_edges(spark.createDataFrame([(i, url, html)], PAGES), "url", "html").collect()
