@@ -37,9 +37,17 @@ def posterior(prior_mean: Column, prior_var: Column, n: Column, mean: Column, va
 
 
 def route_vector(r: dict[str, Column]) -> Column:
-    """Eight features of a route: tiers, distance, duration, wide-body share, international, business, log frequency."""
-    tier = lambda c: F.when(c == "hub", 0.0).when(c == "focus_city", 1.0).otherwise(2.0)
-    return F.array(tier(r["origin_tier"]), tier(r["destination_tier"]), r["distance_km"] / 5000, r["hours"] / 12, r["widebody"], r["international"].cast("double"), (r["purpose"] == "business").cast("double"), F.log1p(r["flights_per_day"]))
+    """Eight features of a route: tiers (hub 0, focus 1, else 2), distance, duration, wide-body share, international, purpose (business 0, leisure 1, else 2), log frequency."""
+    tier = lambda c: F.when(c == "hub", 0.0).when(c.isin("focus", "focus_city"), 1.0).otherwise(2.0)
+    purpose = F.when(r["purpose"] == "business", 0.0).when(r["purpose"] == "leisure", 1.0).otherwise(2.0)
+    return F.array(tier(r["origin_tier"]), tier(r["destination_tier"]), r["distance_km"] / 5000, r["hours"] / 12, r["widebody"], r["international"].cast("double"), purpose, F.log1p(r["flights_per_day"]))
+
+
+def register_routes(routes: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+    """(id, x) of routes with their features; a route that is registered again replaces its entry in keep."""
+    names = ["origin_tier", "destination_tier", "distance_km", "hours", "widebody", "international", "purpose", "flights_per_day"]
+    new = routes.select("id", route_vector({n: F.col(n) for n in names}).alias("x"))
+    return new if keep is None else keep.join(new.select("id"), "id", "left_anti").unionByName(new)
 
 
 def similar(new: DataFrame, known: DataFrame, k: int = 5, kernel: str = "rbf", bandwidth: float = 1.0, **index: int) -> DataFrame:

@@ -92,3 +92,11 @@ def load_plan(units: DataFrame, positions: int, max_kg: float) -> DataFrame:
 
     plan = grouped.withColumn("plan", F.aggregate("units", start, step)).select("flight", "plan.*")
     return plan.withColumn("utilization", F.col("used") / positions).withColumn("weight_utilization", F.col("kg") / max_kg)
+
+
+def boards(flights: DataFrame, start: Column, end: Column) -> DataFrame:
+    """(station, direction, at, flight_number, place) of every station's departures by departure and arrivals by arrival, within start and end."""
+    both = F.explode(F.array(*[F.struct(F.col(station).alias("station"), F.lit(direction).alias("direction"), F.col(at).alias("at")) for station, direction, at in (("origin", "departure", "departure"), ("destination", "arrival", "arrival"))]))
+    rows = flights.select(both.alias("b"), "flight_number", "l_linenumber", "l_suppkey").select("b.*", "flight_number", "l_linenumber", "l_suppkey").filter(F.col("at").between(start, end))
+    place = F.row_number().over(Window.partitionBy("station", "direction").orderBy("at", "flight_number", "l_linenumber", "l_suppkey"))
+    return rows.withColumn("place", place)

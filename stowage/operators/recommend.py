@@ -170,3 +170,23 @@ def ids(rows: DataFrame, prefix: str, day: str, order: list[str]) -> DataFrame:
     return rows.withColumn("rec_id", F.format_string(f"{prefix}-%s-%05d", F.date_format(day, "yyyyMMdd"), n))
 
 
+
+
+def station_actions(recs: DataFrame) -> DataFrame:
+    """(station, actions, units, has_critical, leaving) over what leaves and what comes; a recommendation counts at both ends, and combines before its shuffle."""
+    ends = F.explode(F.array(F.struct(F.col("origin").alias("station"), F.lit(True).alias("out")), F.struct(F.col("destination").alias("station"), F.lit(False).alias("out"))))
+    rows = recs.select(ends.alias("e"), "quantity", (F.col("priority") == "critical").alias("critical")).select("e.*", "quantity", "critical")
+    return rows.groupBy("station").agg(F.count(F.lit(1)).alias("actions"), F.sum("quantity").cast("long").alias("units"), F.bool_or("critical").alias("has_critical"), F.count_if("out").alias("leaving"))
+
+
+COSTS_RESPONSE = "total_cost double, avoided_shortage_cost double, total_benefit double, net_benefit double, roi double"
+RESPONSE = f"recommendation_id string, priority string, quantity int, origin_station string, destination_station string, transport_method string, shortage_probability double, cost_benefit struct<{COSTS_RESPONSE.replace(' double', ':double')}>"
+
+
+def responses(recs: DataFrame) -> DataFrame:
+    """(rec_id, response): each recommendation as a JSON object with its costs and benefits nested."""
+    costs = F.struct("total_cost", (F.col("quantity") * F.col("shortage_probability") * SHORTAGE).alias("avoided_shortage_cost"), "total_benefit", "net_benefit", "roi")
+    one = F.struct(
+        F.col("rec_id").cast("string").alias("recommendation_id"), "priority", "quantity", F.col("origin").alias("origin_station"), F.col("destination").alias("destination_station"), F.col("method").alias("transport_method"), "shortage_probability", costs.alias("cost_benefit"),
+    )
+    return recs.select("rec_id", F.to_json(one).alias("response"))

@@ -350,11 +350,22 @@ def nation_distances(spark, sf_dir):
     return pairs.select(F.col("a").cast("string").alias("origin"), F.col("b").cast("string").alias("destination"), (100.0 * F.abs(F.col("a") - F.col("b"))).alias("km"))
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS (SELECT a.n_nationkey::VARCHAR AS origin, b.n_nationkey::VARCHAR AS destination, 100.0::DOUBLE * abs(a.n_nationkey - b.n_nationkey) AS km FROM nation a, nation b WHERE (a.n_nationkey + b.n_nationkey) % 3 <> 0),
+k AS (SELECT map_from_entries(list(({{'k': origin || '>' || destination, 'v': km}}))) AS km FROM d),
+i AS (SELECT s.station, s.q50, s.p, n_regionkey::VARCHAR AS network FROM {STATION_IMB} s JOIN nation ON n_nationkey::VARCHAR = s.station),
+t AS (SELECT network, list({{'s': station, 'short': (CASE WHEN q50 < 0 THEN abs(trunc(q50)) ELSE 0 END)::INT, 'extra': (CASE WHEN q50 > 5 THEN trunc(q50) ELSE 0 END)::INT}}) AS st, 3 * count(*) FILTER (q50 < 0) AS most FROM i GROUP BY network),
+r AS (SELECT network, 0 AS step, st, most, NULL::VARCHAR AS origin, NULL::VARCHAR AS destination, 0 AS quantity, 0.0::DOUBLE AS km FROM t
+  UNION ALL SELECT network, step + 1, list_transform(st, lambda x: {{'s': x.s, 'short': x.short - CASE WHEN x.s = dst THEN n ELSE 0 END, 'extra': x.extra - CASE WHEN x.s = near.s THEN n ELSE 0 END}}), most, near.s, dst, n, near.d
+  FROM (SELECT *, least(list_filter(st, lambda x: x.s = dst)[1].short, list_filter(st, lambda x: x.s = near.s)[1].extra, 20)::INT AS n
+    FROM (SELECT q.*, list_min(list_transform(list_filter(st, lambda x: x.extra > 0 AND x.s <> dst), lambda x: {{'d': coalesce(k.km[x.s || '>' || dst], 1500.0::DOUBLE), 's': x.s}})) AS near
+      FROM (SELECT network, step, st, most, list_min(list_transform(list_filter(st, lambda x: x.short > 0), lambda x: {{'n': -x.short, 's': x.s}})).s AS dst FROM r WHERE step < most AND step < 100) q, k WHERE dst IS NOT NULL) WHERE near IS NOT NULL))
+SELECT r.network, step, origin, destination, quantity, r.km, round(0.05::DOUBLE * quantity * r.km, 4) AS transport, CASE WHEN p > 0.8 THEN 'critical' WHEN p > 0.5 THEN 'high' ELSE 'medium' END AS priority FROM r JOIN i ON i.network = r.network AND i.station = r.destination WHERE step > 0""")
 def greedy_flow(spark, sf_dir):
-    networks = B.station_imbalances(spark, sf_dir).withColumn("network", F.lit("all"))
+    """The nations of each region as a network of its own."""
+    regions = B.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("station"), F.col("n_regionkey").cast("string").alias("network"))
+    networks = B.station_imbalances(spark, sf_dir).join(regions, "station")
     moves = recommend.greedy_moves(networks.select("network", "station", "q50"), nation_distances(spark, sf_dir))
-    return recommend.move_economics(moves, networks)
+    return recommend.move_economics(moves, networks).select("network", "step", "origin", "destination", "quantity", "km", r("transport", 4).alias("transport"), "priority")
 
 
 @query(f"""WITH c AS (SELECT coalesce(sum(CASE WHEN shortage_probability > 0.3 THEN abs(imbalance_q05) * 500 * shortage_probability ELSE 0 END), 0) AS shortage FROM {FIRST}),
@@ -662,7 +673,15 @@ def zscore_outliers(spark, sf_dir):
     return anomaly.zscore(B.table(spark, sf_dir, "events"), "user_id", "value", 2.0).select("event_id", r("z").alias("z"), "outlier")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, [{'p': 1.0::DOUBLE, 'n': 0.0::DOUBLE, 's': 0.0::DOUBLE, 'r': 0.0::DOUBLE}] AS runs FROM events
+  UNION ALL SELECT user_id, i, list_transform(kept, lambda e: {'p': e.p / total, 'n': e.n, 's': e.s, 'r': e.r})
+  FROM (SELECT user_id, i, kept, list_sum(list_transform(kept, lambda e: e.p)) AS total
+    FROM (SELECT user_id, i, list_prepend({'p': CASE WHEN g > 0 THEN 0.01::DOUBLE * g / g ELSE 1.0::DOUBLE END, 'n': 1.0::DOUBLE, 's': x, 'r': 0.0::DOUBLE}, list_filter(list_transform(grown, lambda e: {'p': CASE WHEN g > 0 THEN 0.99::DOUBLE * e.p / g ELSE 0.0::DOUBLE END, 'n': e.n + 1, 's': e.s + x, 'r': e.r + 1}), lambda e: e.p > 1e-6)) AS kept
+      FROM (SELECT *, list_sum(list_transform(grown, lambda e: e.p)) AS g
+        FROM (SELECT f.user_id, o.i, o.x, list_transform(f.runs, lambda e: {'p': e.p * exp(-0.5::DOUBLE * power((o.x - (50.0::DOUBLE + e.s) / (1 + e.n)) / CASE WHEN e.n = 0 THEN 20.0::DOUBLE ELSE 30.0::DOUBLE END, 2)) / (CASE WHEN e.n = 0 THEN 20.0::DOUBLE ELSE 30.0::DOUBLE END * sqrt(2 * pi())), 'n': e.n, 's': e.s, 'r': e.r}) AS grown
+          FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)))))
+SELECT user_id, i AS position, round(runs[1].p, 6) AS p_change, round(list_sum(list_transform(runs, lambda e: e.p * e.r)), 6) AS run_length FROM f WHERE i > 0""")
 def change_points(spark, sf_dir):
     return rounded(anomaly.change_points(B.table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", mean=50.0, prior_var=400.0, var=900.0))
 
@@ -942,4 +961,4 @@ def scenario_totals(spark, sf_dir):
 
 
 # The queries of feeds and of the larger models register themselves.
-from stowage.plans import feed_queries, model_queries  # noqa: E402, F401
+from stowage.plans import feed_queries, model_queries, service_queries  # noqa: E402, F401
