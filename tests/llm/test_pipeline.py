@@ -65,3 +65,41 @@ def test_near_copies_from_a_similarity_of_four_fifths(spark, sf_dir):
 def test_bands_follow_the_threshold():
     assert near_dedup.bands_for(85) == near_dedup.BANDS == 25 and near_dedup.bands_for(80) == 37
     assert all((1 - (p / 100) ** near_dedup.ROWS) ** near_dedup.bands_for(p) <= near_dedup.MISSED for p in range(50, 100))
+
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long, extra int"
+
+
+def staged(spark, docs, sf_dir, base):
+    out = {}
+    for name, f in cp.STAGES:
+        f(spark, docs, sf_dir).write.parquet(str(base / name))
+        docs = out[name] = spark.read.parquet(str(base / name))
+    return out
+
+
+def test_nulls_repeats_and_clashing_columns(spark, sf_dir, tmp_path):
+    words = [f"word{i}" for i in range(60)]
+    long = " ".join(words)
+    rows = [
+        (1, long, "en", "a", 1, 0), (2, " ".join([*words[:-1], "other"]), "en", "a", 1, 0), (3, None, "en", None, None, 0), (4, "", None, "a", 0, 0), (5, "short and clean", "en", "b", 1, 0), (5, "short and clean", "en", "b", 1, 0),
+        (None, "without an id", "en", "b", 1, 0), (7, "x " * 30_000, "xx", "b", 1, 0),
+    ]
+    out = staged(spark, spark.createDataFrame(rows, DOC).withColumnRenamed("extra", "SCORE"), sf_dir, tmp_path)
+    ids = {n: sorted((r["doc_id"] for r in df.select("doc_id").collect()), key=str) for n, df in out.items()}
+    assert ids["toxicity"] == sorted((r[0] for r in rows), key=str)
+    assert 2 not in ids["near_dedup"] and {1, 3, 4, 5, 7, None} <= set(ids["near_dedup"]) and ids["suffix_dedup"] == ids["near_dedup"]
+    kept = {r["doc_id"]: r for r in out["suffix_dedup"].collect()}
+    assert kept[3]["text"] is None and kept[4]["text"] == "" and kept[1]["text"] == long and len(kept[7]["text"]) < 200
+    assert all(r["n_tokens"] == len(r["ids"]) for r in out["byte_bpe"].collect())
+
+
+def test_an_empty_table_gives_an_empty_result(spark, sf_dir, tmp_path):
+    out = staged(spark, spark.createDataFrame([], DOC), sf_dir, tmp_path)
+    assert all(df.count() == 0 for df in out.values())
+
+
+def test_without_labels_no_document_is_rejected(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text number {i}", "en", "a", 1, 0) for i in range(5)], DOC)
+    spark.createDataFrame([], "doc_id long, quality long, toxic long").write.parquet(str(tmp_path / "labels.parquet"))
+    assert cp.drop_toxic(spark, docs, str(tmp_path)).count() == 5
