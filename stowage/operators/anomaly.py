@@ -36,7 +36,7 @@ class CusumState:
 
 
 def cusum_with_reset(rows: DataFrame, key: str, order: list[str], x: str, mean: float, slack: float, limit: float) -> DataFrame:
-    """key, position, up, down, side. A reset makes each step depend on the last: one series a group."""
+    """key, position, up, down, side. A reset makes each step depend on the last: one series a group, whose values (8 bytes each, and its order) lie in one task."""
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         state = CusumState(mean, slack, limit)
         out = [state.update(v) for v in pdf.sort_values(order)[x]]
@@ -79,7 +79,7 @@ class RunLengths:
 
 
 def change_points(rows: DataFrame, key: str, order: list[str], x: str, *, hazard: float = 0.01, mean: float = 0.0, prior_var: float = 100.0, var: float = 1.0) -> DataFrame:
-    """key, position, p_change, run_length; the state of a series is pruned, so it stays small."""
+    """key, position, p_change, run_length; the state of a series is pruned, so it stays small; its values and their order lie in one task."""
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         state = RunLengths(hazard, mean, prior_var, var)
         out = [state.update(v) for v in pdf.sort_values(order)[x]]
@@ -116,12 +116,13 @@ def depths(tree: tuple, x: np.ndarray, at: np.ndarray, out: np.ndarray, depth: i
             depths(side, x, part, out, depth + 1)
 
 
-def isolation_scores(rows: DataFrame, features: list[str], *, trees: int = 100, sample: int = 256, contamination: float = 0.05, seed: int = 42) -> DataFrame:
+def isolation_scores(rows: DataFrame, features: list[str], *, keys: tuple[str, ...] = (), trees: int = 100, sample: int = 256, contamination: float = 0.05, seed: int = 42) -> DataFrame:
     """rows with score (near 1 is odd) and outlier (the contamination's share of highest scores).
 
-    Trees grow from a bounded sample of trees * sample rows, those of lowest hash; all rows are scored in their place.
+    Trees grow from a bounded sample of trees * sample rows, those of lowest hash of keys and features, so that with keys
+    equal rows are drawn one by one; all rows are scored in their place.
     """
-    few = rows.select(*[F.col(f).cast("double") for f in features]).orderBy(F.xxhash64(*features)).limit(trees * sample).toPandas().to_numpy()
+    few = rows.orderBy(F.xxhash64(*keys, *features)).select(*[F.col(f).cast("double") for f in features]).limit(trees * sample).toPandas().to_numpy()
     if not len(few):
         return rows.withColumns({"score": F.lit(None).cast("double"), "outlier": F.lit(None).cast("boolean")})
     rng = np.random.default_rng(seed)

@@ -32,7 +32,6 @@ def values_at(scores: DataFrame, keys: list[str], score: Column, place: Callable
     sizes = cut(sizes.withColumn("place", place(F.col("n")).cast("double")))
     which = F.explode(F.filter(F.array(F.lit(0), F.lit(1)), lambda w: F.floor("place") + w < F.col("n")))
     state = sizes.select("_key", which.alias("which"), "n", "place", "a", "b").select("_key", "which", (F.floor("place") + F.col("which")).alias("r"), F.col("n").alias("m"), "a", "b")
-    state = cut(state)
     is_open = (F.col("m") > few) & (F.col("a") < F.col("b"))
     while not (wide := state.filter(is_open)).isEmpty():
         inside = rows.join(small(wide), "_key").filter(F.col("_s").between(F.col("a"), F.col("b")))

@@ -689,7 +689,7 @@ def change_points(spark, sf_dir):
 @query()
 def isolation_forest(spark, sf_dir):
     rows = B.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
-    return rounded(anomaly.isolation_scores(rows, ["l_quantity", "l_extendedprice", "l_discount"], trees=50))
+    return rounded(anomaly.isolation_scores(rows, ["l_quantity", "l_extendedprice", "l_discount"], keys=("l_orderkey", "l_linenumber"), trees=50))
 
 
 # ---- cold start and models ----

@@ -85,7 +85,10 @@ def listed(path: str, filters: Sequence[Filter] = (), after: str = "", upto: str
     return parts
 
 
-def documents_of(path: str, part: Place) -> Iterator[pa.RecordBatch]:
+def documents_of(path: str, part: Place | None) -> Iterator[pa.RecordBatch]:
+    """The documents of a partition; a scan without partitions is read as one that is none."""
+    if part is None:
+        return
     fs, _ = opened(path)
 
     def batch(day: str, lines: list[str]) -> pa.RecordBatch:
@@ -215,7 +218,8 @@ def feed(spark: SparkSession, kind: str, path: str):
     found = FEEDS[kind.lower()]
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(found)
-    return spark.read.format(found.name()).option("path", path).load()
+    # Spark keeps the partitions of a table's last pushed filters for scans that push none; so every scan pushes one
+    return spark.read.format(found.name()).option("path", path).load().filter("place IS NOT NULL AND day IS NOT NULL")
 
 
 def feed_stream(spark: SparkSession, kind: str, path: str, open_last: bool = True):

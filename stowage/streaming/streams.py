@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stowage.operators.anomaly import CusumState, RunLengths
+from stowage.sources.deltas import DeltaTable
 
 PINGS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -82,16 +83,6 @@ def fit_counts(stream: DataFrame, key: str = "user_id", warmup: int = 30) -> Dat
     return out.withColumn("weight", F.when(F.col("fitted"), F.least(F.lit(1.0), n / float(warmup))).otherwise(0.0))
 
 
-def upsert(path_of, key: str, order: str):
-    """A foreachBatch function that keeps the last row of each key: batch n reads version n - 1 and writes version n.
-
-    path_of(n) names a version's folder. A batch that runs again writes the same version again, so the result is exact once.
-    """
-    def go(batch: DataFrame, n: int) -> None:
-        rows = batch
-        if n > 0:
-            rows = batch.sparkSession.read.schema(batch.schema).parquet(path_of(n - 1)).unionByName(batch)
-        rest = [c for c in rows.columns if c not in (key, order)]
-        rows.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("l")).select(key, "l.*").write.mode("overwrite").parquet(path_of(n))
-
-    return go
+def upsert(table: DeltaTable):
+    """A foreachBatch function that keeps the last row of each key: batch n writes what it changes as delta n. A batch that runs again replaces its delta, so the result is exact once."""
+    return table.upsert

@@ -33,6 +33,7 @@ def test_filters_prune_partitions_in_the_plan(spark, path):
     assert {r["day"].day for r in one.collect()} == {2, 3}
     assert rows.filter(F.col("place").isin("ATL/LAX", "x")).count() == 1 and rows.filter("place = 'none'").count() == 0
     assert rows.filter("place <> 'ATL-JFK' OR day > DATE '2024-01-02'").count() == 4
+    assert rows.count() == 6 and rows.filter("document LIKE '%DL%'").count() == 4
     assert [p.days for p in documents.listed(path, most=3)][0][0][0] == "2024-01-01" and len(documents.listed(path, most=3)) == 4
 
 

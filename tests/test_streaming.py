@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stowage.operators import anomaly, tracking
+from stowage.sources.deltas import DeltaTable
 from stowage.streaming import streams
 
 
@@ -50,10 +51,12 @@ def test_duplicates_go(spark, feed, tmp_path):
 
 def test_upsert_keeps_the_last(spark, feed, tmp_path):
     rows, path = feed
-    step = streams.upsert(lambda n: str(tmp_path / f"v{n}"), "user_id", "ts")
-    q = streams.pings(spark, path).writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    table = DeltaTable(spark, str(tmp_path / "t"), streams.PINGS, "user_id", "ts", buckets=4)
+    q = streams.pings(spark, path).writeStream.foreachBatch(streams.upsert(table)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "v2")).count() == rows.select("user_id").distinct().count()
+    last = rows.groupBy("user_id").agg(F.max("ts").alias("ts"))
+    got = table.read().select("user_id", "ts")
+    assert got.exceptAll(last).isEmpty() and last.exceptAll(got).isEmpty() and table.folders("delta") == [0, 1, 2]
 
 
 def test_online_change_points_are_the_batch_ones(spark, feed):
