@@ -93,15 +93,17 @@ def reconcile(forecasts: DataFrame, nodes: list[str], p: np.ndarray, value: str
     return forecasts.join(matrix, "node").groupBy(F.col("to").alias("node"), *keys).agg(F.sum(F.col("weight") * F.col(value)).alias(value))
 
 
-def reconcile_tree(forecasts: DataFrame, edges: DataFrame, value: str = "yhat", method: str = "wls_structural", most_levels: int = 100) -> DataFrame:
-    """Coherent forecasts (node, value) of a tree of any size by least squares, "ols" or "wls_structural"; no matrix is formed.
+def reconcile_tree(forecasts: DataFrame, edges: DataFrame, value: str = "yhat", method: str = "wls_structural", most_levels: int = 100, variances: DataFrame | None = None) -> DataFrame:
+    """Coherent forecasts (node, value) of a tree of any size by least squares, "ols", "wls_structural" or with variances (node, d), "wls_variance"; no matrix is formed.
 
     On a tree the normal equations solve in two passes of joins. Upwards each node joins its own forecast with the sum
     of its children's estimates, both by their precision; downwards a node's surplus over that sum goes to the children
     by their variance. forecasts has a row for every node.
     """
-    if method not in ("ols", "wls_structural"):
+    if method not in ("ols", "wls_structural", "wls_variance"):
         raise ValueError(f"unknown method: {method}")
+    if (method == "wls_variance") != (variances is not None):
+        raise ValueError("wls_variance needs variances, and the other methods have their own")
     e = cut(edges.filter("child IS NOT NULL AND parent IS NOT NULL").select("child", "parent").distinct())
     levels, level = [], e.join(e.select(F.col("child").alias("parent")), "parent", "left_anti").select(F.col("parent").alias("node")).distinct()
     while not level.isEmpty():
@@ -109,7 +111,8 @@ def reconcile_tree(forecasts: DataFrame, edges: DataFrame, value: str = "yhat",
         if len(levels) > most_levels:
             raise ValueError(f"the hierarchy has a cycle or more than {most_levels} levels")
         level = cut(level.join(e, F.col("node") == F.col("parent")).select(F.col("child").alias("node")))
-    base = cut(forecasts.select("node", F.col(value).cast("double").alias("own")))
+    base = forecasts.select("node", F.col(value).cast("double").alias("own"))
+    base = cut(base.withColumn("d", F.lit(1.0)) if variances is None else base.join(variances.select("node", "d"), "node"))
     below, estimates = None, []
     for level in reversed(levels):
         rows = level.join(base, "node")
@@ -119,7 +122,7 @@ def reconcile_tree(forecasts: DataFrame, edges: DataFrame, value: str = "yhat",
         else:
             rows = rows.withColumns({"total": F.lit(None).cast("double"), "spread": F.lit(None).cast("double"), "below": F.lit(None).cast("long")})
         leaves = F.coalesce("below", F.lit(1).cast("long"))
-        own_var = leaves.cast("double") if method == "wls_structural" else F.lit(1.0)
+        own_var = leaves.cast("double") if method == "wls_structural" else F.col("d")
         var = F.when(F.col("spread").isNull(), own_var).otherwise(1 / (1 / F.col("spread") + 1 / own_var))
         mean = F.when(F.col("spread").isNull(), F.col("own")).otherwise(var * (F.col("total") / F.col("spread") + F.col("own") / own_var))
         below = cut(rows.select("node", mean.alias("mean"), var.alias("var"), "total", "spread", leaves.alias("leaves")))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import exprs as X
-from stowage.functions.shared import new_folder
-from stowage.operators import anomaly, boosting, decompose, features, forecast, lag_selection, reconcile, smoothing, temporal
+from stowage.functions.shared import cut, new_folder
+from stowage.operators import anomaly, boosting, decompose, features, forecast, hierarchy, lag_selection, reconcile, smoothing, temporal
 from stowage.plans import bindings as B
 from stowage.plans import dims
 from stowage.plans.registry import query, rounded
@@ -36,10 +36,10 @@ m0 AS (SELECT k, m, sum(m1) AS s, sum(v1) AS spread, 1.02::DOUBLE * sum(y28) AS
 m AS (SELECT *, (s / spread + own) / (1 / spread + 1) AS f FROM m0),
 wf AS (SELECT w.k, w.w, w.n, w.s, m1 + v1 * (m.f - m.s) / m.spread AS f FROM w JOIN m ON m.k = w.k AND m.m = w.m),
 df AS (SELECT d.k, d.step, m0 + (wf.f - wf.s) / wf.n AS f FROM d JOIN wf ON wf.k = d.k AND wf.w = d.w)
-SELECT k, 28 AS size, m AS block, round(f, 4) AS yhat FROM m UNION ALL SELECT k, 7, w, round(f, 4) FROM wf UNION ALL SELECT k, 1, step, round(f, 4) FROM df""")
+SELECT k, 28 AS size, m AS block, round(f, 6) AS yhat FROM m UNION ALL SELECT k, 7, w, round(f, 6) FROM wf UNION ALL SELECT k, 1, step, round(f, 6) FROM df""")
 def temporal_hierarchy(spark, sf_dir):
     days, blocks = temporal_parts(spark, sf_dir)
-    return rounded(temporal.reconcile_temporal(days, blocks), 4)
+    return rounded(temporal.reconcile_temporal(days, blocks))
 
 
 # ---- exponential smoothing ----
@@ -74,7 +74,7 @@ def hierarchy_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     base = every.join(sums.groupBy("node").agg(F.sum("e").alias("y")), "node", "left").select("node", (F.coalesce("y", F.lit(0.0)) * F.when(F.col("node").startswith("r"), 1.1).otherwise(1.0) / 7.0).alias("yhat"))
     first, last = sums.agg(F.min("obs"), F.max("obs")).first()
     residuals = every.withColumn("obs", F.explode(F.sequence(F.lit(first), F.lit(last)))).join(sums, ["node", "obs"], "left").na.fill(0.0, ["e"])
-    return edges, base, residuals
+    return cut(edges), cut(base), cut(residuals)
 
 
 @query("""WITH tree AS (SELECT 's' || s_suppkey AS s, 'n' || s_nationkey AS n, 'r' || n_regionkey AS r, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
@@ -94,14 +94,14 @@ nv AS (SELECT n, n.total, n.spread, mean + var * (rv.v - rv.total) / rv.spread A
 SELECT node, round(v, 3) AS yhat FROM (SELECT 'all' AS node, v FROM a UNION ALL SELECT r, v FROM rv UNION ALL SELECT n, v FROM nv UNION ALL SELECT s, mean + var * (nv.v - nv.total) / nv.spread FROM s JOIN nv ON nv.n = s.n)""")
 def reconcile_variance(spark, sf_dir):
     edges, base, residuals = hierarchy_tables(spark, sf_dir)
-    return rounded(reconcile.reconcile_sparse(base, edges, method="wls_variance", residuals=residuals, tolerance=1e-12), 3)
+    return rounded(hierarchy.reconcile_tree(base, edges, method="wls_variance", variances=reconcile.variances(residuals)), 3)
 
 
 @query()
 def reconcile_mint(spark, sf_dir):
     """With the shrunk covariance of the residuals; nodes by nodes are nowhere."""
     edges, base, residuals = hierarchy_tables(spark, sf_dir)
-    return rounded(reconcile.reconcile_sparse(base, edges, method="mint", residuals=residuals), 3)
+    return rounded(reconcile.reconcile_sparse(base, edges, method="mint", residuals=residuals, tolerance=1e-9), 3)
 
 
 @query()
@@ -109,7 +109,7 @@ def reconciled_spread(spark, sf_dir):
     """Deviations and correlations of the reconciled regions: their rows of the covariance, asked for one by one."""
     edges, _, residuals = hierarchy_tables(spark, sf_dir)
     asked = edges.filter("parent = 'all'").select(F.col("child").alias("node"))
-    rows = reconcile.covariance_of(asked, edges, residuals)
+    rows = reconcile.covariance_of(asked, edges, residuals, tolerance=1e-9)
     own = rows.filter("node = other").select(F.col("node").alias("o"), F.sqrt("covariance").alias("sd"))
     both = rows.join(own.withColumnsRenamed({"o": "o1", "sd": "sd1"}), F.col("node") == F.col("o1")).join(own, F.col("other") == F.col("o"))
     return both.select("node", "other", F.round("sd1", 3).alias("deviation"), F.round(F.col("covariance") / (F.col("sd1") * F.col("sd")), 6).alias("correlation"))

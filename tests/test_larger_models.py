@@ -95,6 +95,9 @@ def test_conjugate_gradients_give_the_projection(spark, tree, method):
     got = {(r["node"], r["draw"]): r["yhat"] for r in reconcile.reconcile_sparse(base, edges, method=method, residuals=res, key="draw").collect()}
     want = hierarchy.projection(s, method, e) @ y
     assert all(np.allclose([got[n, k] for n in nodes], want * k, atol=1e-6) for k in (1, 3))
+    if method == "wls_variance":
+        out = hierarchy.reconcile_tree(base.filter("draw = 1"), edges, method=method, variances=reconcile.variances(res))
+        assert np.allclose([{r["node"]: r["yhat"] for r in out.collect()}[n] for n in nodes], want)
     if method == "mint":
         p, w = hierarchy.projection(s, method, e), hierarchy.shrunk_covariance(e)
         rows = reconcile.covariance_of(spark.createDataFrame([("b",), ("a1",)], "node string"), edges, res).collect()
