@@ -69,12 +69,13 @@ class Tree(HTMLParser):
         self.close()
 
     def shut(self, k: int) -> None:
-        self.tags.subtract(n[0] for n in self.open[k:])
+        for node in self.open[k:]:
+            self.tags[node[0]] -= 1
         del self.open[k:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         closing = CLOSES.get(tag, ())
-        if any(self.tags[t] for t in closing):
+        if any(map(self.tags.get, closing)):
             scope = SCOPE.get(tag, {"table", "button"} if tag == "p" else {"table"})
             for k in range(len(self.open) - 1, 0, -1):
                 if self.open[k][0] in closing:
@@ -133,16 +134,20 @@ def subtree_hashes(tree: list) -> dict[int, int]:
 def is_boilerplate(node: list, in_article: bool) -> bool:
     """Whether HTML itself marks an element as no content."""
     tag, attrs, _ = node
+    if not attrs:
+        return tag in NO_TEXT or (tag == "header" and not in_article)
     if tag in NO_TEXT or (tag == "header" and not in_article) or "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "").lower() in ROLES:
         return True
     if tag in ("article", "main", "body", "html"):
         return False
-    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", re.I))
+    return "style" in attrs and bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs["style"] or "", re.I))
 
 
 def name_words(node: list) -> list[set[str]]:
     """The words of each token of an element's class and id: 'has-sidebar' says nothing of the element itself."""
     attrs = node[1]
+    if "class" not in attrs and "id" not in attrs:
+        return []
     tokens = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()
     return [words for t in tokens if (words := set(re.split(r"[^a-z]+", t)) - {""}) and not words & ABOUT]
 
@@ -237,8 +242,9 @@ def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
     repeated = {i for i, h in subtree_hashes(tree).items() if h in template} if template else set()
     measured: dict[int, tuple[int, int, bool]] = {}
     marked = lambda node, in_article: id(node) in repeated or is_boilerplate(node, in_article)
-    every = in_order(tree)
+    source = html.lower()  # what it doesn't hold needn't be looked for
     commented = False  # whether comments can be told from the rest
+    every = in_order(tree) if any(w in source for w in COMMENTS) else []
     if any(is_comment(n) for n in every):
         apart = lambda n: marked(n, False) or is_comment(n)
         main = [n for n in every if n[0] in ("article", "main") and not is_comment(n)]
@@ -257,11 +263,12 @@ def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
 
     outside = lambda n: dropped(n, False)
     inside = lambda n: dropped(n, True)
-    articles, mains = list(every_of(tree, "article", outside)), list(every_of(tree, "main", outside))
+    articles, mains = (list(every_of(tree, tag, outside)) if f"<{tag}" in source else [] for tag in ("article", "main"))
     around = size_of(mains, lambda n: n[0] == "article" or inside(n))
     parts = mains if mains and around > (size_of(articles, inside) if articles else -1) else articles
     # articles within: comments and teasers, unless they are most of the text
-    within = [n for part in parts for child in part[2] if not isinstance(child, str) for n in every_of(child, "article", inside)]
+    more = source.count("<article") > (0 if parts is mains else len(parts))
+    within = more and [n for part in parts for child in part[2] if not isinstance(child, str) for n in every_of(child, "article", inside)]
     if within:
         shapes = Counter(shape(n) for n in within)
         own = size_of(parts, lambda n: n[0] == "article" or inside(n))
