@@ -7,14 +7,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Relative size of what rounding can add to a running sum.
+ROUNDING = 1e-11
+
 
 def cusum(rows: DataFrame, key: str, order: list[str], x: str, mean: float, slack: float, limit: float) -> DataFrame:
-    """Both one-sided sums without resets, as running sums less their lowest point: up, down, alarm."""
+    """Both one-sided sums without resets, as running sums less their lowest point: up, down, alarm.
+
+    Sums of doubles that equal the limit in decimals end on either side of it by the order of their additions; an alarm
+    is a sum above the limit by more than that rounding.
+    """
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = rows.withColumns({"_u": F.sum(F.col(x) - mean - slack).over(w), "_d": F.sum(mean - slack - F.col(x)).over(w)})
     zero = F.lit(0.0)
     out = out.withColumns({"up": F.col("_u") - F.least(zero, F.min("_u").over(w)), "down": F.col("_d") - F.least(zero, F.min("_d").over(w))})
-    return out.withColumn("alarm", (F.col("up") > limit) | (F.col("down") > limit)).drop("_u", "_d")
+    least = limit + ROUNDING * F.greatest(F.lit(abs(limit)), F.abs("_u"), F.abs("_d"))
+    return out.withColumn("alarm", (F.col("up") > least) | (F.col("down") > least)).drop("_u", "_d")
 
 
 class CusumState:

@@ -141,6 +141,13 @@ def test_isolation_forest_finds_the_far_point(spark):
     assert anomaly.isolation_scores(rows, ["a", "b"], trees=50).orderBy(F.desc("score")).first()["id"] == 300
 
 
+def test_cusum_of_exactly_the_limit_is_no_alarm(spark):
+    rows = [("a", i, 0.1) for i in range(10)] + [("b", 0, 0.1), ("b", 1, 0.2)] + [("c", 0, 0.1), ("c", 1, 0.2001)]
+    out = anomaly.cusum(spark.createDataFrame(rows, "k string, t int, x double"), "k", ["t"], "x", 0.0, 0.0, 0.3).collect()
+    alarms = {(r["k"], r["t"]): r["alarm"] for r in out}
+    assert 0.1 + 0.2 > 0.3 and not alarms["b", 1] and not alarms["a", 2] and alarms["a", 3] and alarms["c", 1]
+
+
 def test_cusum_reset_state():
     s = anomaly.CusumState(0.0, 0.0, 5.0)
     assert [s.update(v)[2] for v in (3.0, 3.0, 3.0)] == [None, "up", None]
