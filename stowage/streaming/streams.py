@@ -47,7 +47,7 @@ def with_flights(stream: DataFrame, flight_events: DataFrame, within: str = "6 h
 def online_cusum(stream: DataFrame, mean: float, slack: float, limit: float) -> DataFrame:
     """CUSUM with resets per asset, in the order of each micro-batch's event times; the state is two numbers and a count."""
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        up, down, seen = state.get if state.exists else (0.0, 0.0, 0)
+        up, down, seen = state.get if state.exists else (None, None, 0)
         own = CusumState(mean, slack, limit, up, down)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         out = [(key[0], i, seen + k, *own.update(v)) for k, (i, v) in enumerate(zip(rows["event_id"], rows["value"], strict=True), 1)]

@@ -148,6 +148,11 @@ def test_cusum_of_exactly_the_limit_is_no_alarm(spark):
     assert 0.1 + 0.2 > 0.3 and not alarms["b", 1] and not alarms["a", 2] and alarms["a", 3] and alarms["c", 1]
 
 
+def test_cusum_reset_of_exactly_the_limit():
+    s = anomaly.CusumState(50.0, 5.0, 60.0)
+    assert [s.update(v)[2] for v in (17.55, 43.58, 13.87, 44.9)] == [None, None, None, "down"]
+
+
 def test_cusum_reset_state():
     s = anomaly.CusumState(0.0, 0.0, 5.0)
     assert [s.update(v)[2] for v in (3.0, 3.0, 3.0)] == [None, "up", None]
