@@ -86,3 +86,23 @@ def test_scores_against_plain_loops():
             at += toxicity.FILTERS
         z = model.logits(*toxicity.different_words(hashes), begins)[0]
         assert abs(z - out) < 1e-3 * max(1, abs(out))
+
+
+def test_every_labelled_row_trains_and_calibrates(spark):
+    """Words of rows beyond any bound of rows or bytes are learnt, in several parts."""
+    texts, y = sample(400, 3)
+    docs = [(i, t.decode()) for i, t in enumerate(texts)]
+    rare = [(1000 + i, "x " * (300_000 if i == 0 else 20) + f"rareword w{i}") for i in range(40)]
+    labels = [(i, int(v)) for i, v in enumerate(y)] + [(i, 1) for i, _ in rare]
+    d = spark.createDataFrame(docs + rare, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    rows = toxicity.training_set(d, known)
+    assert {r["doc_id"] for r in rows.collect()} == {i for i, _ in labels if zlib.crc32(str(i).encode()) % 5}
+    hits = toxicity.all_hits(rows)
+    own = toxicity.rows_of(toxicity.word_hashes([b"rareword"])[0][:1])[0, 0]
+    assert hits[1, own] >= sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in rare)
+    model = toxicity.fit_model(d, known, part_rows=100)
+    fresh, truth = sample(300, 4)
+    assert ((model.scores(fresh) >= 0.5) == truth).mean() > 0.95
+    again = toxicity.fit_model(d.repartition(7), known.repartition(3), part_rows=100)
+    assert np.allclose(model.scores(fresh), again.scores(fresh))
