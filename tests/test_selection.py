@@ -69,6 +69,24 @@ def test_neighbours_against_all_pairs(spark, options):
     assert neighbours.k_nearest(df.limit(0), asked, 3, **options).count() == 0 and neighbours.k_nearest(df, asked.limit(0), 3, **options).count() == 0
 
 
+@pytest.mark.parametrize("unit, held, asked_rows", [(50, 300, 10), (10_000, 10**6, 10**6)])
+def test_units_of_any_size_keep_ties_and_copies(spark, monkeypatch, unit, held, asked_rows):
+    """Copies of each row, in several units and blocks: equal distances go to the least id, and pairs never reach a join."""
+    monkeypatch.setattr(neighbours, "UNIT", unit)
+    monkeypatch.setattr(neighbours, "HELD", held)
+    monkeypatch.setattr(neighbours, "ASKED", asked_rows)
+    x = np.tile(np.random.default_rng(6).normal(size=(40, 5)) * 1e3, (6, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    out = neighbours.k_nearest(df, df.filter("id % 10 = 0"), 8, others=True, pivots=4, rings=3, share=20)
+    assert "SortMergeJoin" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "CoGroup" in plan
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["asked_id"], []).append((r["d"], r["id"]))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for i in range(0, 240, 10):
+        assert [j for _, j in sorted(got[i])] == [j for _, j in sorted((d[i, j], j) for j in range(240) if j != i)[:8]]
+
+
 def test_clustered_rows_are_mostly_left_out(spark):
     x = clustered(np.random.default_rng(4), 6000, 30)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
