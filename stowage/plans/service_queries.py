@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions import exprs as X
+from stowage.functions.shared import cut
 from stowage.operators import coldstart, flights, recommend
 from stowage.plans import bindings as B
 from stowage.plans.registry import query, rounded
@@ -37,7 +38,7 @@ def route_features(spark, sf_dir):
 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.x, b.x), b.id) <= 5)""")
 def similar_flown_routes(spark, sf_dir):
     """The five routes most like each route, by the features of both."""
-    known = coldstart.register_routes(routes(spark, sf_dir))
+    known = cut(coldstart.register_routes(routes(spark, sf_dir)))  # else each of the search's passes joins and sums all flights again
     return rounded(coldstart.similar(known, known), 5)
 
 

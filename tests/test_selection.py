@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stowage.plans import catalog, service_queries  # noqa: F401  (catalog registers)
 from stowage.operators import coldstart, neighbours, selection, uncertainty
 
 
@@ -111,3 +112,9 @@ def test_a_query_is_no_neighbour_of_its_own(spark):
     cal = spark.createDataFrame([(i, [float(i)], float(i * i)) for i in range(10)], "cal_id long, x array<double>, score double")
     out = {r["query_id"]: r["q"] for r in uncertainty.local_conformal(cal, cal.select(F.col("cal_id").alias("query_id"), "x"), k=1).collect()}
     assert out[0] == 1.0 and out[9] == 64.0 and all(q != i * i for i, q in out.items())
+
+
+def test_flown_routes_are_summed_once(spark, sf_dir):
+    """What follows reads the table of routes, not flights."""
+    plan = service_queries.similar_flown_routes(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "l_suppkey" not in plan
