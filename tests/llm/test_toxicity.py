@@ -42,6 +42,13 @@ def test_score_and_folds(spark, sf_dir):
     assert (q["held_out"] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in q["doc_id"]]).all() and (q["predicted"] == (q["score"] >= 0.5)).all()
 
 
+def test_only_the_text_goes_to_python(spark):
+    """Other columns stay in the JVM, also those of types that Arrow doesn't have; a row's text crosses once and doesn't come back."""
+    df = spark.createDataFrame([(1, "vile words"), (2, None)], "doc_id long, text string").withColumn("span", F.expr("make_interval(0, 0, 0, cast(doc_id as int))"))
+    out = toxicity.score(df, toxicity.train(*sample(200))).select("doc_id", F.col("span").cast("string").alias("span"), "score").orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["span"]) for r in out] == [(1, "1 days"), (2, "2 days")] and all(0 <= r["score"] <= 1 for r in out)
+
+
 def test_training_reads_no_held_out_row(spark):
     docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("t "), F.col("id").cast("string")).alias("text"))
     labels = spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
