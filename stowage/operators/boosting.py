@@ -1,8 +1,8 @@
 """Boosting on quantile loss: trees on histograms of binned features, leaves refilled by the quantiles of what is left.
 
-Features are binned once by their quantiles. A round grows one tree for each level, a depth at a time: one aggregate sums
-the loss's gradient by level, node, feature and bin, which combines before its shuffle and has at most levels * nodes *
-features * bins rows, whatever the table holds; the splits are chosen from those sums. A leaf then moves its rows towards
+Features are binned once by their quantiles. A round grows one tree for each level, a depth at a time: each task counts its
+rows, and those below their prediction, by level, node, feature and bin, in arrays of levels * nodes * features * bins
+counts, whatever the table holds; they give the sums of the loss's gradient from which the splits are chosen. A leaf then moves its rows towards
 the level's quantile of their residuals, which is what lowers quantile loss. All levels go through one pass.
 
 Defined results: rows with a null label are left out of the fit; a null feature is in its first bin; without rows every
@@ -11,11 +11,12 @@ prediction is null; quantiles of a row are sorted, so that they never cross.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,23 +30,34 @@ class Tree:
     splits: dict[int, tuple[int, int]] = field(default_factory=dict)
     values: dict[int, float] = field(default_factory=dict)
 
-    def node(self, bins: Column) -> Column:
-        """The leaf of a row with this array of bins."""
+    def node(self, bins: Column | Sequence[Column]) -> Column:
+        """The leaf of a row with these bins."""
 
+        return self.of_leaf(bins, F.lit)
+
+    def value(self, bins: Column | Sequence[Column]) -> Column:
+        """The step of the leaf of a row with these bins."""
+        return self.of_leaf(bins, lambda n: F.lit(float(self.values.get(n, 0.0))))
+
+    def of_leaf(self, bins: Column | Sequence[Column], result: Callable[[int], Column]) -> Column:
         def at(n: int) -> Column:
             if n not in self.splits:
-                return F.lit(n)
+                return result(n)
             f, b = self.splits[n]
-            return F.when(F.element_at(bins, f + 1) <= b, at(2 * n + 1)).otherwise(at(2 * n + 2))
+            return F.when(bins[f] <= b, at(2 * n + 1)).otherwise(at(2 * n + 2))
 
         return at(0)
 
-    def apply(self, bins: np.ndarray) -> np.ndarray:
+    def leaves(self, bins: np.ndarray) -> np.ndarray:
         at = np.zeros(len(bins), dtype=np.int64)
         for n in sorted(self.splits):
             own = np.flatnonzero(at == n)
             f, b = self.splits[n]
             at[own] = np.where(bins[own, f] <= b, 2 * n + 1, 2 * n + 2)
+        return at
+
+    def apply(self, bins: np.ndarray) -> np.ndarray:
+        at = self.leaves(bins)
         return np.array([self.values.get(n, 0.0) for n in range(int(at.max(initial=0)) + 1)])[at]
 
 
@@ -107,6 +119,31 @@ def best_splits(sums: pd.DataFrame, levels: int, least: int) -> list[dict[int, t
     return out
 
 
+def counts(state: DataFrame, trees: list[Tree], depth: int, features: int, bins: int) -> DataFrame:
+    """(level, node, feature, bin, n, below): rows of (y, b0.., p0..) in the nodes of this depth, and those of them whose y is below the prediction."""
+    first, nodes = 2**depth - 1, 2**depth
+    size = nodes * features * bins
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, below = (np.zeros((len(trees), size), dtype=np.int64) for _ in range(2))
+        for b in batches:
+            y, x = b.column("y").to_numpy(), np.stack([b.column(f"b{f}").to_numpy() for f in range(features)], axis=1)
+            for j, tree in enumerate(trees):
+                at = tree.leaves(x)
+                own = np.flatnonzero(at >= first)
+                low = (y < b.column(f"p{j}").to_numpy())[own]
+                for f in range(features):
+                    place = ((at[own] - first) * features + f) * bins + x[own, f]
+                    n[j] += np.bincount(place, minlength=size)
+                    below[j] += np.bincount(place[low], minlength=size)
+        level, place = np.nonzero(n)
+        columns = [level, place // (features * bins) + first, place // bins % features, place % bins, n[level, place], below[level, place]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["level", "node", "feature", "bin", "n", "below"])
+
+    each = state.mapInArrow(go, "level long, node long, feature long, bin long, n long, below long")
+    return each.groupBy("level", "node", "feature", "bin").agg(F.sum("n").alias("n"), F.sum("below").alias("below"))
+
+
 def pinball(y: Column, prediction: Column, levels: Sequence[float]) -> Column:
     """The mean quantile loss of an array of predictions."""
     parts = [F.when(y >= F.get(prediction, k), q * (y - F.get(prediction, k))).otherwise((q - 1) * (y - F.get(prediction, k))) for k, q in enumerate(levels)]
@@ -126,31 +163,32 @@ def fit_quantiles(train: DataFrame, features: list[str], label: str, levels: Seq
     if first is None:
         return model
 
+    bs, ps = [F.col(f"b{f}") for f in range(len(features))], [F.col(f"p{j}") for j in range(len(levels))]
+
     def prepared(rows: DataFrame) -> DataFrame:
-        return cut(rows.filter(y.isNotNull()).select(y.alias("y"), F.array(*[binned(c, e) for c, e in zip(cols, edges, strict=True)]).alias("bins"), F.array(*[F.lit(float(v)) for v in first]).alias("p")))
+        at = [binned(c, e).cast("int").alias(f"b{f}") for f, (c, e) in enumerate(zip(cols, edges, strict=True))]
+        return cut(rows.filter(y.isNotNull()).select(y.alias("y"), *at, *[F.lit(float(v)).alias(f"p{j}") for j, v in enumerate(first)]))
 
     state, held, best = prepared(known), prepared(valid) if valid is not None else None, (float("inf"), 0)
     for k in range(rounds):
         trees = [Tree() for _ in levels]
-        for d in range(depth):
-            grown = F.array(*[F.struct(F.lit(j).alias("level"), t.node(F.col("bins")).alias("node"), (q - (F.col("y") < F.get("p", j)).cast("double")).alias("g")) for j, (t, q) in enumerate(zip(trees, levels, strict=True))])
-            each = state.select("bins", F.explode(grown).alias("n")).filter(F.col("n.node") >= 2**d - 1)  # the nodes of this depth
-            each = each.select("n.*", F.posexplode("bins").alias("feature", "bin"))
-            sums = each.groupBy("level", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.count(F.lit(1)).alias("n")).toPandas()
+        for d in range(depth if features else 0):
+            sums = counts(state, trees, d, len(features), max(map(len, edges)) + 1).toPandas()
+            sums["g"] = np.array(levels)[sums["level"]] * sums["n"] - sums["below"]
             for tree, splits in zip(trees, best_splits(sums, len(levels), least), strict=True):
                 tree.splits |= splits
-        leaves = F.array(*[F.struct(F.lit(j).alias("level"), t.node(F.col("bins")).alias("node"), (F.col("y") - F.get("p", j)).alias("left")) for j, t in enumerate(trees)])
+        leaves = F.array(*[F.struct(F.lit(j).alias("level"), t.node(bs).alias("node"), (F.col("y") - ps[j]).alias("left")) for j, t in enumerate(trees)])
         steps = state.select(F.explode(leaves).alias("n")).select("n.*").groupBy("level", "node").agg(F.percentile_approx("left", levels, 10_000).alias("q")).collect()
         for r in steps:
             trees[r["level"]].values[r["node"]] = r["q"][r["level"]]
         model.rounds.append(trees)
-        moved = F.array(*[F.get("p", j) + rate * element(t.node(F.col("bins")), t.values) for j, t in enumerate(trees)])
-        state, old = cut(state.withColumn("p", moved)), state
+        moved = {f"p{j}": ps[j] + rate * t.value(bs) for j, t in enumerate(trees)}
+        state, old = cut(state.withColumns(moved)), state
         release(old)
         if held is not None:
-            held, old = cut(held.withColumn("p", moved)), held
+            held, old = cut(held.withColumns(moved)), held
             release(old)
-            loss = held.agg(F.avg(pinball(F.col("y"), F.col("p"), levels))).first()[0]
+            loss = held.agg(F.avg(pinball(F.col("y"), F.array(*ps), levels))).first()[0]
             model.losses.append(loss)
             if loss is not None and loss < best[0]:
                 best = (loss, k + 1)
@@ -159,11 +197,3 @@ def fit_quantiles(train: DataFrame, features: list[str], label: str, levels: Seq
     if held is not None and best[1]:
         del model.rounds[best[1] :]
     return model
-
-
-def element(node: Column, values: dict[int, float]) -> Column:
-    """The value of a leaf."""
-    out = F.lit(0.0)
-    for n, v in sorted(values.items()):
-        out = F.when(node == n, F.lit(float(v))).otherwise(out)
-    return out
