@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import exprs as X
+from stowage.functions.bounds import small
 from stowage.functions.shared import cut, new_folder
 from stowage.operators import anomaly, boosting, decompose, features, forecast, hierarchy, lag_selection, reconcile, smoothing, temporal
 from stowage.plans import bindings as B
@@ -68,12 +69,12 @@ def hierarchy_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     path = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.array(tag("s", "s_suppkey"), tag("n", "n_nationkey"), tag("r", "n_regionkey"), F.lit("all")).alias("nodes"))
     edges = path.select(F.explode(F.array(*[F.struct(F.get("nodes", k).alias("child"), F.get("nodes", k + 1).alias("parent")) for k in range(3)])).alias("e")).select("e.*").distinct()
-    sold = li.join(path, F.col("l_suppkey") == F.col("s_suppkey")).select(F.explode("nodes").alias("node"), F.year("l_shipdate").alias("obs"), "l_quantity")
-    sums = sold.groupBy("node", "obs").agg(F.sum("l_quantity").alias("e"))
+    sold = li.groupBy("l_suppkey", F.year("l_shipdate").alias("obs")).agg(F.sum("l_quantity").alias("q")).join(path.hint("merge"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.explode("nodes").alias("node"), "obs", "q")
+    sums = cut(sold.groupBy("node", "obs").agg(F.sum("q").alias("e")))
     every = path.select(F.explode("nodes").alias("node")).distinct()
-    base = every.join(sums.groupBy("node").agg(F.sum("e").alias("y")), "node", "left").select("node", (F.coalesce("y", F.lit(0.0)) * F.when(F.col("node").startswith("r"), 1.1).otherwise(1.0) / 7.0).alias("yhat"))
+    base = every.join(sums.groupBy("node").agg(F.sum("e").alias("y")).hint("merge"), "node", "left").select("node", (F.coalesce("y", F.lit(0.0)) * F.when(F.col("node").startswith("r"), 1.1).otherwise(1.0) / 7.0).alias("yhat"))
     first, last = sums.agg(F.min("obs"), F.max("obs")).first()
-    residuals = every.withColumn("obs", F.explode(F.sequence(F.lit(first), F.lit(last)))).join(sums, ["node", "obs"], "left").na.fill(0.0, ["e"])
+    residuals = every.withColumn("obs", F.explode(F.sequence(F.lit(first), F.lit(last)))).join(sums.hint("merge"), ["node", "obs"], "left").na.fill(0.0, ["e"])
     return cut(edges), cut(base), cut(residuals)
 
 
@@ -109,8 +110,8 @@ def reconciled_spread(spark, sf_dir):
     """Deviations and correlations of the reconciled regions: their rows of the covariance, asked for one by one."""
     edges, _, residuals = hierarchy_tables(spark, sf_dir)
     asked = edges.filter("parent = 'all'").select(F.col("child").alias("node"))
-    rows = reconcile.covariance_of(asked, edges, residuals, tolerance=1e-9)
-    own = rows.filter("node = other").select(F.col("node").alias("o"), F.sqrt("covariance").alias("sd"))
+    rows = cut(reconcile.covariance_of(asked, edges, residuals, tolerance=1e-9))
+    own = small(rows.filter("node = other").select(F.col("node").alias("o"), F.sqrt("covariance").alias("sd")))
     both = rows.join(own.withColumnsRenamed({"o": "o1", "sd": "sd1"}), F.col("node") == F.col("o1")).join(own, F.col("other") == F.col("o"))
     return both.select("node", "other", F.round("sd1", 3).alias("deviation"), F.round(F.col("covariance") / (F.col("sd1") * F.col("sd")), 6).alias("correlation"))
 
