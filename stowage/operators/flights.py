@@ -57,13 +57,14 @@ def first_of(rows: DataFrame, keys: list[Column | str], order: list[Column | str
 
 
 def at_airport(flights: DataFrame, airport, direction: str = "both") -> DataFrame:
-    """Departures, arrivals or both, one row a flight number and departure day."""
-    out = flights.filter(F.col("origin") == airport).withColumn("direction", F.lit("departure"))
-    into = flights.filter(F.col("destination") == airport).withColumn("direction", F.lit("arrival"))
+    """Departures, arrivals or both, one row a flight number and departure day. Flights are read once, whatever the direction."""
     if direction not in ("departure", "arrival", "both"):
         raise ValueError(f"unknown direction: {direction}")
-    rows = {"departure": out, "arrival": into}.get(direction)
-    rows = out.unionByName(into) if rows is None else rows
+    out, into = F.col("origin") == airport, F.col("destination") == airport
+    if direction == "both":
+        rows = flights.filter(out | into).withColumn("direction", F.explode(F.array(F.lit("departure"), F.lit("arrival")))).filter(F.when(F.col("direction") == "departure", out).otherwise(into))
+    else:
+        rows = flights.filter(out if direction == "departure" else into).withColumn("direction", F.lit(direction))
     return first_of(rows, ["flight_number", F.to_date("departure")], ["departure", F.desc("direction"), "destination"])
 
 
