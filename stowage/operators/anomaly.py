@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,15 +53,41 @@ class CusumState:
         return up, down, side
 
 
-def cusum_with_reset(rows: DataFrame, key: str, order: list[str], x: str, mean: float, slack: float, limit: float) -> DataFrame:
-    """key, position, up, down, side. A reset makes each step depend on the last: one series a group, whose values (8 bytes each, and its order) lie in one task."""
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = CusumState(mean, slack, limit)
-        out = [state.update(v) for v in pdf.sort_values(order)[x]]
-        return pd.DataFrame({key: pdf[key].iloc[0], "position": np.arange(1, len(out) + 1), "up": [o[0] for o in out], "down": [o[1] for o in out], "side": [o[2] for o in out]})
+def step_by_step(rows: DataFrame, key: str, order: list[str], x: str, begin: Callable[[], CusumState | RunLengths], given: str) -> DataFrame:
+    """key, position and what the model that begin() makes anew for each series gives for each value.
 
+    Rows go through Python sorted by series, many series in a batch and a series in as many batches as it fills; beside a
+    batch a task holds one model. A call of Python for each series would take longer than the steps of short ones.
+    """
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, *order, x).groupBy(key).applyInPandas(one, f"{key} {kind}, position long, up double, down double, side string")
+    parts = [part.split() for part in given.split(", ")]
+    types = [{"double": pa.float64(), "string": pa.string()}[t] for _, t in parts]
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own, position = None, None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(0)
+            codes = (keys if last is None else pa.concat_arrays([last, keys])).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            first = np.r_[[True] if last is None else [], codes[1:] != codes[:-1]].astype(bool)
+            last, at, out = keys.slice(b.num_rows - 1), [], []
+            for new, v in zip(first.tolist(), b.column(1).to_numpy(zero_copy_only=False).tolist(), strict=True):
+                if new:
+                    own, position = begin(), 0
+                position += 1
+                at.append(position)
+                out.append(own.update(v))
+            columns = [pa.array(c, t, from_pandas=True) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([keys, pa.array(at, pa.int64()), *columns], names=[key, "position", *(n for n, _ in parts)])
+
+    placed = rows.repartition(key).sortWithinPartitions(key, *[F.col(c).asc_nulls_last() for c in order])
+    return placed.select(key, F.col(x).cast("double").alias("x")).mapInArrow(go, f"{key} {kind}, position long, {given}")
+
+
+def cusum_with_reset(rows: DataFrame, key: str, order: list[str], x: str, mean: float, slack: float, limit: float) -> DataFrame:
+    """key, position, up, down, side. A reset makes each step depend on the last, so a series lies in one task."""
+    return step_by_step(rows.select(key, *order, x), key, order, x, lambda: CusumState(mean, slack, limit), "up double, down double, side string")
 
 
 def zscore(rows: DataFrame, key: str, x: str, limit: float = 3.0) -> DataFrame:
@@ -94,14 +123,8 @@ class RunLengths:
 
 
 def change_points(rows: DataFrame, key: str, order: list[str], x: str, *, hazard: float = 0.01, mean: float = 0.0, prior_var: float = 100.0, var: float = 1.0) -> DataFrame:
-    """key, position, p_change, run_length; the state of a series is pruned, so it stays small; its values and their order lie in one task."""
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = RunLengths(hazard, mean, prior_var, var)
-        out = [state.update(v) for v in pdf.sort_values(order)[x]]
-        return pd.DataFrame({key: pdf[key].iloc[0], "position": np.arange(1, len(out) + 1), "p_change": [o[0] for o in out], "run_length": [o[1] for o in out]})
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, *order, x).groupBy(key).applyInPandas(one, f"{key} {kind}, position long, p_change double, run_length double")
+    """key, position, p_change, run_length; the state of a series is pruned, so it stays small; a series lies in one task."""
+    return step_by_step(rows.select(key, *order, x), key, order, x, lambda: RunLengths(hazard, mean, prior_var, var), "p_change double, run_length double")
 
 
 def grow(x: np.ndarray, depth: int, rng: np.random.Generator) -> tuple:

@@ -158,6 +158,29 @@ def test_cusum_reset_state():
     assert [s.update(v)[2] for v in (3.0, 3.0, 3.0)] == [None, "up", None]
 
 
+def test_series_are_stepped_by_batch(spark):
+    """Many short series, one longer than a batch, a series without a key, values that are null and orders that are null: no group of Python each."""
+    rng = np.random.default_rng(3)
+    rows = [(f"s{k}", t, float(v)) for k in range(40) for t, v in enumerate(rng.exponential(50, 1 + k % 4).round(2))]
+    rows += [("long", t, float(v)) for t, v in enumerate(rng.exponential(50, 30).round(2))] + [(None, 1, 170.0), (None, 0, None), (None, None, 20.0)]
+    t = spark.createDataFrame(rows, "k string, t int, x double").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        cusum, changes = anomaly.cusum_with_reset(t, "k", ["t"], "x", 50.0, 5.0, 60.0), anomaly.change_points(t, "k", ["t"], "x", mean=50.0, prior_var=400.0, var=900.0)
+        for out, begin in ((cusum, lambda: anomaly.CusumState(50.0, 5.0, 60.0)), (changes, lambda: anomaly.RunLengths(0.01, 50.0, 400.0, 900.0))):
+            want = []
+            for k in {r[0] for r in rows}:
+                own = begin()
+                values = [r[2] for r in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is None, r[1]))]
+                want += [(k, i, *own.update(float("nan") if v is None else v)) for i, v in enumerate(values, 1)]
+            by = lambda r: (r[0] is None, r[0] or "", r[1])
+            assert sorted(map(tuple, out.collect()), key=by) == sorted(want, key=by)
+            assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_posterior_without_data_is_the_prior(spark):
     m, v = coldstart.posterior(F.lit(7.0), F.lit(3.0), F.lit(0), F.lit(None).cast("double"), F.lit(None).cast("double"))
     assert (one(spark, m), one(spark, v)) == (7.0, 3.0)
