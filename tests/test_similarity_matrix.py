@@ -1,4 +1,7 @@
+import glob
+
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from stowage.functions import exprs as X
@@ -23,3 +26,36 @@ def test_blocks_give_what_the_expression_gives(spark, monkeypatch):
                 got = {(r["a"], r["b"]): r["similarity"] for r in found}
                 assert len(got) == len(found) and got.keys() == want.keys()
                 assert all(repr(got[k]) == repr(want[k]) for k in want), [(k, got[k], want[k]) for k in want if repr(got[k]) != repr(want[k])][:9]
+
+
+def test_rows_are_sent_about_as_often_whatever_their_number():
+    for rows in (10_000, 100_000, 300_000, 600_000):
+        groups, units = coldstart.dealt(rows // 50, rows)
+        assert groups * rows + units * (rows // 50) < 2.5 * rows and rows / units < 10_000
+    for asked, rows in ((0, 0), (0, 9), (1, 1), (100_000, 100_000), (1_000_000, 50_000_000)):
+        groups, units = coldstart.dealt(asked, rows)
+        assert groups >= 1 and units >= 1 and asked / groups <= coldstart.HELD and rows / units <= 2 * coldstart.HELD
+
+
+def test_equal_similarities_lie_together_on_disk(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    t = spark.createDataFrame([(k, rng.normal(size=64).tolist()) for k in range(8000)], "id long, x array<double>")
+    coldstart.similarity_matrix(t.filter("id % 50 = 0"), t, "cosine", digits=5).write.parquet(str(tmp_path / "out"))
+    groups = [f.row_group(g) for f in (pq.ParquetFile(p).metadata for p in glob.glob(str(tmp_path / "out/*.parquet"))) for g in range(f.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 160 * 7999
+    assert sum(g.column(c).total_compressed_size for g in groups for c in range(3)) < 5 * 160 * 7999
+
+
+def test_groups_and_batches_leave_no_pair_out(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    t = spark.createDataFrame([(k, rng.normal(size=3 + k % 2).tolist()) for k in range(90)], "id long, x array<double>").repartition(5)
+    whole = sorted(map(tuple, coldstart.similarity_matrix(t, t, "cosine", digits=4).collect()))
+    for name, n in (("HELD", 16), ("ASKED", 8), ("ROUTES", 16)):
+        monkeypatch.setattr(coldstart, name, n)
+    assert coldstart.dealt(90, 90) == (6, 6)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        assert sorted(map(tuple, coldstart.similarity_matrix(t, t, "cosine", digits=4).collect())) == whole and len(whole) == 90 * 89
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
